@@ -77,13 +77,26 @@ def _cell(v: Column) -> Column:
     return F.greatest(F.lit(-100.0), F.least(F.lit(1000.0), F.floor(v / CELL).cast("double"))).cast("int")
 
 
+def _within(v: Column, cell: Column) -> Column:
+    """Place of a value relative to its cell in 1/256 of the cell's side, for a coarse check without the exact values."""
+    return F.greatest(F.lit(-4096.0), F.least(F.lit(4096.0), F.floor((v / CELL - cell) * 256).cast("double"))).cast("int")
+
+
 def _token(*cells: Column) -> Column:
     return F.concat(F.lit(";"), F.concat_ws(",", "cat", *cells), F.lit(";"))
 
 
 def texts(b: DataFrame) -> DataFrame:
-    """One token per training box."""
-    return b.filter("train").withColumn("token", _token(*(_cell(F.col(c)) for c in "ltrb")))
+    """One token per training box, and its place in the cell as four bytes and two bits each (code)."""
+    out = b.filter("train").withColumn("token", _token(*(_cell(F.col(c)) for c in "ltrb")))
+    code = F.lit(0).cast("long")
+    for c in "ltrb":
+        code = code * 16384 + (_within(F.col(c), _cell(F.col(c))) + 8192)
+    return out.withColumn("code", code)
+
+
+def _decoded(i: int) -> Column:
+    return F.expr(f"cast(shiftright(code, {14 * (3 - i)}) & 16383 as int) - 8192")
 
 
 def passages(b: DataFrame) -> DataFrame:
@@ -92,12 +105,12 @@ def passages(b: DataFrame) -> DataFrame:
     for c in "ltrb":
         lo, hi = _cell(F.col(c) - (TOLERANCE + SLACK)), _cell(F.col(c) + (TOLERANCE + SLACK))
         out = out.withColumn(f"c_{c}", F.explode(F.when(lo == hi, F.array(lo)).otherwise(F.array(lo, hi))))
-    return out.select("image_id", "n", "box", "cat", *"ltrb", _token(*(F.col(f"c_{c}") for c in "ltrb")).alias("token"))
+    return out.select("image_id", "n", *(_within(F.col(c), F.col(f"c_{c}")).alias(f"q_{c}") for c in "ltrb"), _token(*(F.col(f"c_{c}") for c in "ltrb")).alias("token"))
 
 
 HIT = T.StructType([
     T.StructField("token", T.StringType()), T.StructField("image_id", T.LongType()), T.StructField("n", T.IntegerType()),
-    T.StructField("box", T.LongType()), T.StructField("freq", T.LongType()),
+    T.StructField("box", T.LongType()), T.StructField("code", T.LongType()), T.StructField("freq", T.LongType()),
 ])
 
 
@@ -120,13 +133,13 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not hits:
             continue
         at = np.searchsorted(last, [e for e, _ in hits])
-        out = rows.iloc[at][["token", "image_id", "n", "box"]].copy()
+        out = rows.iloc[at][["token", "image_id", "n", "box", "code"]].copy()
         out["freq"] = [f for _, f in hits]
         yield out
 
 
 def scan(pats: DataFrame, text: DataFrame, n_rows: int) -> DataFrame:
-    """The text rows (token, image_id, n, box) whose token is a passage, with freq of the passage. n_rows: about how many rows both have."""
+    """The text rows (token, image_id, n, box, code) whose token is a passage, with freq of the passage. n_rows: about how many rows both have."""
     spark = text.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // SHARD_ROWS + 1)
     # Tokens that hold more than a quarter of a shard's share: at most 4 times as many as there are shards.
@@ -135,19 +148,19 @@ def scan(pats: DataFrame, text: DataFrame, n_rows: int) -> DataFrame:
     pats = pats.join(heavy, "token", "left").withColumn("salt", F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
     text = text.join(heavy, "token", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("box", "image_id"), F.lit(SPREAD)).cast("int")).otherwise(0))
     null = lambda t: F.lit(None).cast(t)
-    both = pats.select(F.lit(0).alias("kind"), "token", "salt", null("long").alias("image_id"), null("int").alias("n"), null("long").alias("box"), "freq").unionByName(
-        text.select(F.lit(1).alias("kind"), "token", "salt", "image_id", "n", "box", null("long").alias("freq")))
+    both = pats.select(F.lit(0).alias("kind"), "token", "salt", null("long").alias("image_id"), null("int").alias("n"), null("long").alias("box"), null("long").alias("code"), "freq").unionByName(
+        text.select(F.lit(1).alias("kind"), "token", "salt", "image_id", "n", "box", "code", null("long").alias("freq")))
     return both.repartition(shards, "token", "salt").sortWithinPartitions("kind").mapInPandas(_scan, HIT)
 
 
 def probes(hits: DataFrame) -> DataFrame:
-    """The hits that must look up evaluation records: image_id, n, token."""
+    """The hits that must look up evaluation records: image_id, n, token, code."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("image_id")
     few = hits.filter(F.col("n") <= WIDE).withColumn("covered", F.count("*").over(w)).filter(F.col("covered") >= need(F.col("n")))
     few = few.withColumn("k", F.row_number().over(w.orderBy("freq", "token", "box"))).filter(F.col("k") <= F.col("covered") - need(F.col("n")) + 1)
-    return few.select("image_id", "n", "token").unionByName(hits.filter(F.col("n") > WIDE).select("image_id", "n", "token")).distinct()
+    return few.select("image_id", "n", "token", "code").unionByName(hits.filter(F.col("n") > WIDE).select("image_id", "n", "token", "code"))
 
 
 def pairing(edges: list[tuple[int, int]]) -> int:
@@ -192,13 +205,22 @@ def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"image_t": pdf["image_t"], "image_e": pdf["image_e"], "n_t": pdf["n_t"], "n_e": pdf["n_e"], "m": m})
 
 
-def agreeing(b: DataFrame, evals: DataFrame, candidates: DataFrame) -> DataFrame:
+def agreeing(b: DataFrame, candidates: DataFrame) -> DataFrame:
     """image_t, image_e of the candidates whose boxes agree. candidates: image_t, image_e, n_t, n_e."""
-    tb = texts(b).select(F.col("image_id").alias("image_t"), F.col("box").alias("box_t"), "token", *(F.col(c).alias(f"{c}_t") for c in "ltrb"))
-    eb = evals.select(F.col("image_id").alias("image_e"), F.col("box").alias("box_e"), "cat", "token", *"ltrb")
-    near = " and ".join(f"abs({c}_t - {c}) <= {TOLERANCE}" for c in "ltrb")
-    edges = candidates.join(tb, "image_t").join(eb, ["image_e", "token"]).filter(near)
-    per = edges.groupBy("image_t", "image_e", "n_t", "n_e", "cat").agg(F.collect_list(F.struct("box_t", "box_e")).alias("p"))
+    near = " and ".join(f"abs({c}_t - {c}_e) <= {TOLERANCE}" for c in "ltrb")
+
+    def side(k: str, keep: str, key: Column | None = None) -> DataFrame:
+        cols = [F.col("image_id").alias(f"image_{k}"), F.col("box").alias(f"box_{k}"), "cat", *(F.col(c).alias(f"{c}_{k}") for c in "ltrb")]
+        return b.filter(keep).select(*cols, *([] if key is None else [key.alias("strip")]))
+
+    # Pairs of narrow records compare all boxes of a category; those of wide ones only boxes in near vertical strips.
+    wide = F.greatest("n_t", "n_e") > WIDE
+    narrow = candidates.filter(~wide).join(side("t", f"train and n <= {WIDE}"), "image_t").join(side("e", f"not train and n <= {WIDE}"), ["image_e", "cat"]).filter(near)
+    at = F.floor(F.col("l") / TOLERANCE)
+    broad = candidates.filter(wide).join(side("t", f"train and n > {WIDE} * 0.75", at), "image_t").join(
+        side("e", f"not train and n > {WIDE} * 0.75", F.explode(F.array(at - 1, at, at + 1))), ["image_e", "cat", "strip"]).filter(near)
+    edges = narrow.unionByName(broad.drop("strip"))
+    per = edges.groupBy("image_t", "image_e", "n_t", "n_e", "cat").agg(F.collect_set(F.struct("box_t", "box_e")).alias("p"))
     per = per.select("image_t", "image_e", "n_t", "n_e", F.col("p.box_t").alias("a"), F.col("p.box_e").alias("b"))
     m = per.mapInPandas(_paired, "image_t long, image_e long, n_t int, n_e int, m long").groupBy("image_t", "image_e", "n_t", "n_e").agg(F.sum("m").alias("m"))
     return m.filter(f"m >= {MIN_BOXES} and 5 * m >= 4 * greatest(n_t, n_e)").select("image_t", "image_e")
@@ -211,14 +233,18 @@ def pairs(images: DataFrame, annotations: DataFrame) -> DataFrame:
     frames = split_images(images).filter("frame is not null").select("image_id", "split", F.concat(F.lit(";#"), "frame", F.lit(";")).alias("token"))
     eval_frames = frames.filter("split <> 'train'")
     pats = evals.groupBy("token").agg(F.count("*").alias("freq")).unionByName(eval_frames.groupBy("token").agg(F.count("*").alias("freq")))
-    text = texts(b).select("token", "image_id", "n", "box").unionByName(
-        frames.filter("split = 'train'").select("token", "image_id", F.lit(0).alias("n"), F.lit(None).cast("long").alias("box")))
+    text = texts(b).select("token", "image_id", "n", "box", "code").unionByName(
+        frames.filter("split = 'train'").select("token", "image_id", F.lit(0).alias("n"), F.lit(None).cast("long").alias("box"), F.lit(None).cast("long").alias("code")))
     hits = cut(scan(pats, text, 4 * b.count()))
     ask = probes(hits.filter("n > 0")).withColumnRenamed("image_id", "image_t").withColumnRenamed("n", "n_t")
-    look = evals.select("token", F.col("image_id").alias("image_e"), F.col("n").alias("n_e"))
-    candidates = ask.join(look, "token").filter("5 * n_e >= 4 * n_t and 5 * n_t >= 4 * n_e").select("image_t", "image_e", "n_t", "n_e").distinct()
+    look = evals.withColumnRenamed("image_id", "image_e").withColumnRenamed("n", "n_e")
+    reach = int(TOLERANCE / CELL * 256) + 2
+    close = F.lit(True)
+    for i, c in enumerate("ltrb"):
+        close = close & (F.abs(F.col(f"q_{c}") - _decoded(i)) <= reach)
+    candidates = ask.join(look, "token").filter("5 * n_e >= 4 * n_t and 5 * n_t >= 4 * n_e").filter(close).select("image_t", "image_e", "n_t", "n_e").distinct()
     same = hits.filter("n = 0").select("token", F.col("image_id").alias("image_t")).join(eval_frames.select("token", F.col("image_id").alias("image_e")), "token").select("image_t", "image_e")
-    return same.unionByName(agreeing(b, evals, cut(candidates))).distinct()
+    return same.unionByName(agreeing(b, cut(candidates))).distinct()
 
 
 def found(images: DataFrame, annotations: DataFrame) -> DataFrame:
