@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tarmac.llm import grouping, overlap, splitting
+from pyspark.sql import functions as F
+
+from tarmac.llm import grouping, leakage, lexicon, overlap, sentences, splitting
 from tarmac.session import table
 
 
@@ -26,7 +28,25 @@ def p5_report(spark, sf):
     return overlap.report(table(spark, sf, "images"), table(spark, sf, "annotations"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p5_found, p5_report)}
+def p6_ids(spark, sf):
+    return lexicon.encode(table(spark, sf, "documents"))
+
+
+def p7_found(spark, sf):
+    return leakage.found(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p7_evidence(spark, sf):
+    """All candidate pairs of the search with their latent cosine, common order and answer codes."""
+    out = leakage.scored(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return out.withColumn("cosine", F.round("cosine", 4)).withColumn("lcs", F.round("lcs", 6))
+
+
+def p8_found(spark, sf):
+    return sentences.found(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p5_found, p5_report, p6_ids, p7_found, p7_evidence, p8_found)}
 
 SQL = {
     "p2_found": """
