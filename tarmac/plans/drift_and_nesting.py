@@ -45,4 +45,58 @@ def p4_groups(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_table, p4_found, p4_records, p4_schema, p4_groups)}
-SQL: dict[str, str] = {}
+SQL = {
+    "p1_found": """
+WITH RECURSIVE f AS (
+  SELECT file_id, any_value(campaign) AS campaign, any_value(batch_no) AS batch_no, any_value(run) AS run, any_value(body) AS body
+  FROM run_files WHERE campaign IS NOT NULL AND batch_no IS NOT NULL GROUP BY file_id
+), ok AS (SELECT * FROM f WHERE json_valid(body)),
+tree AS (
+  SELECT campaign, batch_no, run, e.key AS field, e.value AS v, e.type AS t FROM ok, json_each(CAST(body AS JSON)) e WHERE json_type(CAST(body AS JSON)) = 'OBJECT'
+  UNION ALL
+  SELECT campaign, batch_no, run, tree.field || '.' || e.key, e.value, e.type FROM tree, json_each(tree.v) e WHERE tree.t = 'OBJECT'
+), leaf AS (
+  SELECT DISTINCT campaign, batch_no, run, field,
+    CASE WHEN t = 'ARRAY' THEN 'array' WHEN t = 'VARCHAR' THEN 'string' WHEN t = 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS type,
+    CASE WHEN t IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') THEN CAST(CAST(v AS DOUBLE) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS value
+  FROM tree WHERE t NOT IN ('OBJECT', 'NULL')
+), b AS (
+  SELECT campaign, batch_no, lag(batch_no) OVER (PARTITION BY campaign ORDER BY batch_no) AS prev_no FROM (SELECT DISTINCT campaign, batch_no FROM ok)
+), runs AS (SELECT DISTINCT campaign, batch_no, run FROM ok WHERE run IS NOT NULL),
+common AS (
+  SELECT b.campaign, b.batch_no, b.prev_no, n.run FROM b
+  JOIN runs n ON n.campaign = b.campaign AND n.batch_no = b.batch_no
+  JOIN runs o ON o.campaign = b.campaign AND o.batch_no = b.prev_no AND o.run = n.run
+), fields AS (SELECT campaign, batch_no, field, list_sort(list(DISTINCT type)) AS types FROM leaf GROUP BY ALL),
+gone AS (
+  SELECT b.campaign, b.batch_no, b.prev_no, o.field FROM b JOIN fields o ON o.campaign = b.campaign AND o.batch_no = b.prev_no
+  WHERE NOT EXISTS (SELECT 1 FROM fields n WHERE n.campaign = b.campaign AND n.batch_no = b.batch_no AND n.field = o.field)
+), come AS (
+  SELECT b.campaign, b.batch_no, b.prev_no, n.field FROM b JOIN fields n ON n.campaign = b.campaign AND n.batch_no = b.batch_no
+  WHERE b.prev_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fields o WHERE o.campaign = b.campaign AND o.batch_no = b.prev_no AND o.field = n.field)
+), ge AS (
+  SELECT g.campaign, g.batch_no, g.field, count(l.value) AS n, list_sort(list(l.run || chr(1) || l.type || chr(1) || l.value)) AS ev
+  FROM gone g JOIN common c USING (campaign, batch_no) JOIN leaf l ON l.campaign = g.campaign AND l.batch_no = g.prev_no AND l.field = g.field AND l.run = c.run GROUP BY ALL
+), ce AS (
+  SELECT g.campaign, g.batch_no, g.field, count(l.value) AS n, list_sort(list(l.run || chr(1) || l.type || chr(1) || l.value)) AS ev
+  FROM come g JOIN common c USING (campaign, batch_no) JOIN leaf l ON l.campaign = g.campaign AND l.batch_no = g.batch_no AND l.field = g.field AND l.run = c.run GROUP BY ALL
+), ren AS (
+  SELECT campaign, batch_no, ge.field AS old_field, ce.field AS new_field FROM ge JOIN ce USING (campaign, batch_no) WHERE ge.n >= 2 AND ge.ev = ce.ev
+)
+SELECT campaign, batch_no, 'renamed' AS change, old_field, new_field FROM ren
+UNION ALL SELECT campaign, batch_no, 'removed', field, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.campaign = g.campaign AND r.batch_no = g.batch_no AND r.old_field = g.field)
+UNION ALL SELECT campaign, batch_no, 'added', '', field FROM come g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.campaign = g.campaign AND r.batch_no = g.batch_no AND r.new_field = g.field)
+UNION ALL SELECT b.campaign, b.batch_no, 'retyped', n.field, n.field FROM b
+  JOIN fields o ON o.campaign = b.campaign AND o.batch_no = b.prev_no
+  JOIN fields n ON n.campaign = b.campaign AND n.batch_no = b.batch_no AND n.field = o.field WHERE n.types <> o.types""",
+    "p4_found": """
+WITH RECURSIVE d AS (
+  SELECT report_id, any_value(regexp_replace(body, '([:,\\[]\\s*)-?(NaN|Infinity)', '\\1 0', 'g')) AS body FROM report_docs WHERE report_id IS NOT NULL GROUP BY report_id
+), t AS (
+  SELECT report_id, '' AS path, '' AS holder, CAST(body AS JSON) AS v, json_type(CAST(body AS JSON)) AS kind FROM d WHERE json_valid(body)
+  UNION ALL
+  SELECT report_id, t.path || '/' || replace(replace(e.key, '~', '~0'), '/', '~1'), CASE WHEN t.kind = 'OBJECT' THEN t.path ELSE t.holder END, e.value, e.type
+  FROM t, json_each(t.v) e WHERE t.kind IN ('OBJECT', 'ARRAY') AND e.type IN ('OBJECT', 'ARRAY')
+)
+SELECT report_id, path AS child_path, holder AS parent_path FROM t WHERE kind = 'OBJECT' AND path <> ''""",
+}

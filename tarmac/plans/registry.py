@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarmac.plans import drift_and_nesting
+from tarmac.plans import detection_queries, drift_and_nesting, group_queries, label_queries, stats_queries
 
-MODULES = (drift_and_nesting,)
+MODULES = (drift_and_nesting, label_queries, detection_queries, group_queries, stats_queries)
 
 
 def queries():
@@ -16,4 +16,5 @@ def oracle_sql():
 
 
 def flagship(spark, sf):
-    return queries()["p4_found"](spark, sf)
+    """Average precision of the derived detections by class, over all images and by country."""
+    return detection_queries.w8_average_precision(spark, sf)
