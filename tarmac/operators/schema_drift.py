@@ -13,8 +13,8 @@ common run exactly if these are equal. Only these per-field figures reach a floo
 size is bounded by the number of fields of two batches.
 
 Edge cases: bodies that are null, empty or don't parse are ignored; a body that parses to
-something other than an object holds no field; rows without campaign or batch number are left
-out; a null run takes part in presence and types but in no comparison; repeated file ids count
+something other than an object holds no field; rows without file id, campaign or batch
+number are left out; a null run takes part in presence and types but in no comparison; repeated file ids count
 once; several files of one run in a batch count by the set of their values. If several pairs pass
 the exact check each is reported, since each fulfils the definition; the united table follows
 one-to-one correspondences chosen by flooding score.
@@ -62,7 +62,7 @@ def field_values(files: DataFrame, keep_id: bool = False) -> DataFrame:
                 out += [(*head, p, jsontree.kind(v), text(v)) for p, v in jsontree.leaves(value) if v is not None]
             yield pd.DataFrame(out, columns=schema.names)
 
-    base = files.filter("campaign is not null and batch_no is not null").dropDuplicates(["file_id"])
+    base = files.filter("file_id is not null and campaign is not null and batch_no is not null").dropDuplicates(["file_id"])
     return base.select("file_id", "campaign", F.col("batch_no").cast("int").alias("batch_no"), "run", "body").mapInPandas(walk, schema)
 
 
