@@ -201,7 +201,8 @@ def frequent_words(texts: DataFrame, k: int) -> list[str]:
             if len(seen) > 200_000:
                 yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
                 seen = Counter()
-        yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
 
     counts = texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
     return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(k).select("word").collect()]

@@ -14,9 +14,10 @@ texts are handled whole; repeated rows each get their rows; other columns are ig
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +58,20 @@ CANDIDATE = regex.compile(rf"[{regex.escape(END)}]+[{regex.escape(CLOSERS)}]*")
 BLANK = regex.compile(r"(?:\r\n|[\n\r \x85])[^\S\n\r]*(?:\r\n|[\n\r \x85])\s*| \s*")
 THAI = regex.compile(r"(?<=[\p{Thai}\p{P}\p{S}])[^\S\n\r]+(?=[\p{Thai}\p{P}\p{S}])")
 LIST_NO = regex.compile(r"\(?(?:[0-9]{1,3}|[a-zA-Z])[.)]")
-LAST_WORD = regex.compile(r"[^\s(\[{“„«\"‘/!?…]+$")
+BREAKS = "([{“„«\"‘/!?…"
 GLUED = regex.compile(r"^.*\p{Ll}\p{Ll}[.](?=\p{Lu})")  # a sentence without a space after its end
 NEXT_NO = regex.compile(r"\(?[0-9]{1,3}[.)]\s")
 TAIL = regex.compile(r"(?<=\p{Ll}\p{Ll}\p{Ll})[.!?](?=\s|$)|[!?。！？।؟]")
 
+MARKS = regex.compile(rf"[\"„{regex.escape(OPEN + CLOSE)}]")
+WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
+LETTER = regex.compile(r"\p{L}")
+DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}")
+SHORT_NO, LONG_NO = regex.compile(r"[0-9]{1,2}"), regex.compile(r"[0-9]{1,3}")
+HINDI = regex.compile(r"\p{Devanagari}$")
+THAI_CHAR = regex.compile(r"\p{Thai}")
+ODD = regex.compile(r"[_/@.\\0-9]|://")
+
 UNBALANCED = 12.0
 BOUND = 40.0
 
@@ -69,33 +79,40 @@ BOUND = 40.0
 def _pairs(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Matched quotations and brackets of a block, as (place of the opener, place of the closer)."""
     out, stack = [], []
-    for i in range(a, b):
-        c = text[i]
-        if c == '"':
-            k = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] == '"'), None)
-            if k is None:
-                stack.append((c, i))
-            else:
-                out.append((stack[k][1], i))
-                del stack[k:]
-        elif c == "„":
-            stack.append((c, i))
-        elif c == "“" and any(x[0] == "„" for x in stack):
-            k = max(j for j in range(len(stack)) if stack[j][0] == "„")
-            out.append((stack[k][1], i))
-            del stack[k:]
-        elif c in OPEN:
+    held = dict.fromkeys('"„' + OPEN, 0)  # openers on the stack, so that a closer without one costs nothing
+
+    def close(kinds: str, at: int) -> bool:
+        if not any(held[k] for k in kinds):
+            return False
+        while True:
+            k, o = stack.pop()
+            held[k] -= 1
+            if k in kinds:
+                out.append((o, at))
+                return True
+
+    for m in MARKS.finditer(text, a, b):
+        i, c = m.start(), text[m.start()]
+        if c == '"' and close('"', i) or c == "“" and close("„", i):
+            continue
+        if c in held:
             stack.append((c, i))
+            held[c] += 1
         elif c in PAIR:
-            k = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] == PAIR[c] or (c == "”" and stack[j][0] == "„")), None)
-            if k is not None:
-                out.append((stack[k][1], i))
-                del stack[k:]
+            close(PAIR[c] + "„" if c == "”" else PAIR[c], i)
     return out
 
 
+def _last_word(text: str, a: int, at: int) -> str:
+    """The word that ends at a place, its last 64 characters at most: no abbreviation is longer."""
+    i, low = at, max(a, at - 64)
+    while i > low and text[i - 1] not in BREAKS and not text[i - 1].isspace():
+        i -= 1
+    return text[i:at]
+
+
 def _next_word(text: str, i: int, b: int) -> str:
-    m = regex.compile(r"[\p{L}\p{M}\p{N}_]+").match(text, i, b)
+    m = WORD.match(text, i, b)
     return m[0] if m else ""
 
 
@@ -126,33 +143,30 @@ def _closing(text: str, a: int, at: int, mark: str, nxt: int, b: int, gap: bool,
     # a full stop
     if not gap:
         before = text[at - 1] if at > a else ""
-        w = LAST_WORD.search(text, a, at)
-        word = w[0] if w else ""
-        if upper and (before.islower() or before in ")]") and len(word) > 1 and not regex.search(r"[_/@.\\0-9]|://", word) and start + 1 < b and text[start + 1].islower():
+        word = _last_word(text, a, at)
+        if upper and (before.islower() or before in ")]") and len(word) > 1 and not ODD.search(word) and start + 1 < b and text[start + 1].islower():
             return 1.5
         return -30.0
     if lower:
         return -14.0
-    w = LAST_WORD.search(text, a, at)
-    word = GLUED.sub("", (w[0] if w else "").rstrip("'’\"”)"))
+    word = GLUED.sub("", _last_word(text, a, at).rstrip("'’\"”)"))
     low = word.lower()
     following = _next_word(text, start, b)
-    if digit and NEXT_NO.match(text, start, b) and not regex.fullmatch(r"[0-9]{1,2}", word):
+    if digit and NEXT_NO.match(text, start, b) and not SHORT_NO.fullmatch(word):
         upper, digit = True, False  # a list number opens the next sentence
-    if regex.fullmatch(r"[0-9]{1,3}", word):
+    if LONG_NO.fullmatch(word):
         k = at - len(word)
         while k > a and text[k - 1].isspace():
             k -= 1
         if k == a or text[k - 1] in END + CLOSERS:
-            w = LAST_WORD.search(text, a, k - 1) if k > a and text[k - 1] == "." else None
-            if not w or w[0].lower() not in BEFORE:
+            if not (k > a and text[k - 1] == "." and _last_word(text, a, k - 1).lower() in BEFORE):
                 return -10.0  # a list number itself
-    if regex.fullmatch(r"\p{L}", word):
+    if LETTER.fullmatch(word):
         # An initial before a name, or a short unit or label that ends a sentence.
         if low in ("z", "u", "d", "o", "s", "p", "e", "i", "v", "č") and word.islower():
             return -8.0
         return -7.0 if upper or caseless else -3.0
-    if regex.fullmatch(r"(?:\p{L}\.)+\p{L}", word):
+    if DOTTED.fullmatch(word):
         if low in BEFORE:
             return -9.0
         if low in EITHER:
@@ -162,13 +176,13 @@ def _closing(text: str, a: int, at: int, mark: str, nxt: int, b: int, gap: bool,
         return -9.0
     if low in BEFORE:
         return -9.0
-    if regex.search(r"\p{Devanagari}$", word):
+    if HINDI.search(word):
         return -6.0
     if low in EITHER:
         return -4.0 if digit and low in ("jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec") else 3.0
-    if regex.fullmatch(r"[0-9]{1,2}", word) and (digit or following.lower() in MONTHS):
+    if SHORT_NO.fullmatch(word) and (digit or following.lower() in MONTHS):
         return -6.0
-    if digit and regex.fullmatch(r"[0-9]{1,2}", word):
+    if digit and SHORT_NO.fullmatch(word):
         return -4.0
     if caseless:
         return 4.0
@@ -225,28 +239,30 @@ def _block(text: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
             g += _speaker(text, a, b, q, nxt, nxt > e)
         if g > -20:
             found[e] = (nxt, g)
-    for m in THAI.finditer(text, a, b):
+    for m in THAI.finditer(text, a, b) if THAI_CHAR.search(text, a, b) else ():
         p, n = text[m.start() - 1], text[m.end()]
-        if regex.match(r"\p{Thai}", p) or regex.match(r"\p{Thai}", n):
+        if THAI_CHAR.match(p) or THAI_CHAR.match(n):
             if not (p in ",;:(" or n in ",;:)" or p.isdigit() or n.isdigit()):
                 found[m.start()] = (m.end(), 6.0)
-    for e in sorted(found):
+    # Candidates inside a matched quotation or bracket would leave it unbalanced on both sides.
+    places = sorted(found)
+    deep = [0] * (len(places) + 1)
+    for o, c in pairs:
+        deep[bisect_left(places, o + 1)] += 1
+        deep[bisect_left(places, c + 1)] -= 1
+    depth = 0
+    for i, e in enumerate(places):
         nxt, g = found[e]
-        ends.append(e)
-        starts.append(nxt)
-        gain.append(g)
+        depth += deep[i]
+        g -= UNBALANCED * depth
+        # Without a cut of negative gain two spans join, and no span's score is worse for that: it is in no best division.
+        if g > 0:
+            ends.append(e)
+            starts.append(nxt)
+            gain.append(g)
     if not ends:
         out.append((a, b))
         return
-    # Candidates inside a matched quotation or bracket would leave it unbalanced on both sides.
-    depth = [0] * len(ends)
-    for o, c in pairs:
-        lo = _bisect(ends, o + 1)
-        for i in range(lo, len(ends)):
-            if ends[i] > c:
-                break
-            depth[i] += 1
-    gain = [g - UNBALANCED * d for g, d in zip(gain, depth, strict=True)]
     begin = [a, *starts]
     stop = [*ends, b]
     n = len(stop)
@@ -270,17 +286,6 @@ def _block(text: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
     out += reversed(cuts)
 
 
-def _bisect(ends: list[int], x: int) -> int:
-    lo, hi = 0, len(ends)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if ends[mid] < x:
-            lo = mid + 1
-        else:
-            hi = mid
-    return lo
-
-
 def _span(text: str, s: int, e: int) -> float:
     """What a whole span adds: its opening and its length."""
     size = e - s
@@ -316,18 +321,17 @@ def _speaker(text: str, a: int, b: int, opener: int, nxt: int, gap: bool) -> flo
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sent_no, start_pos, end_pos of every sentence."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, no, lo, hi = [], [], [], []
-            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                if not t:
-                    continue
-                for i, (s, e) in enumerate(spans(t), 1):
-                    ids.append(d)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, no, lo, hi = [], [], [], []
+            for r, t in enumerate(batch.column(1).to_pylist()):
+                for i, (s, e) in enumerate(spans(t) if t else (), 1):
+                    rows.append(r)
                     no.append(i)
                     lo.append(s)
                     hi.append(e)
-            yield pd.DataFrame({"doc_id": ids, "sent_no": no, "start_pos": lo, "end_pos": hi})
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int32()) for x in (no, lo, hi))], names=["doc_id", "sent_no", "start_pos", "end_pos"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.filter("text is not null and text <> ''").mapInPandas(run, ROW)
+    return base.filter("text is not null and text <> ''").mapInArrow(run, ROW)
