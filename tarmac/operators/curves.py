@@ -95,3 +95,17 @@ def operating_point(curves: DataFrame) -> DataFrame:
     first, last = F.first("f").over(edge), F.last("f").over(edge)
     s = (F.sum("f").over(w) + F.greatest(F.lit(0), half - F.col("i")) * first + F.greatest(F.lit(0), F.col("i") - (GRID - 1 - half)) * last) / (2 * half + 1)
     return m.withColumn("s", F.round(s, 12)).groupBy("subset").agg(F.max_by(F.struct("i", "p", "r", "f"), F.struct(F.col("s"), -F.col("i"))).alias("b")).select("subset", "b.i", "b.p", "b.r", F.col("b.f").alias("f1"))
+
+
+def mean_of_recalls(ranks: DataFrame, tps: DataFrame, n_gt: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """subset, cls, thr, ap as the mean of the envelope at 101 recalls, without interpolation: an independent cross-check.
+
+    A recall level takes the envelope of the first true positive that reaches it, or 0.
+    """
+    p = curve_points(ranks, tps, n_gt)
+    before = F.coalesce(F.floor((F.col("k") - 1) / F.col("n") * 100 + 1e-9).cast("int") + 1, F.lit(0))
+    lo = F.when(F.col("k") == 1, F.lit(0)).otherwise(before)
+    hi = F.floor(F.col("k") / F.col("n") * 100 + 1e-9).cast("int")
+    ap = p.groupBy("subset", "cls", "thr").agg((F.sum(F.when(hi >= lo, (hi - lo + 1) * F.col("envelope")).otherwise(0.0)) / 101).alias("ap"))
+    every = n_gt.select("subset", "cls", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("thr"))
+    return every.join(ap, ["subset", "cls", "thr"], "left").select("subset", "cls", "thr", F.coalesce("ap", F.lit(0.0)).alias("ap"))

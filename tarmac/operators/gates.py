@@ -48,3 +48,10 @@ def metric_gate(got: DataFrame, expected: DataFrame, keys: list[str], tol: float
 def name_collisions(names: DataFrame) -> DataFrame:
     """Written names that several sources share. names: source_name, written_name."""
     return names.groupBy("written_name").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def file_integrity(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """name, size_ok, hash_ok of expected files against those read. files: name, content. expected: name, size, sha256 (may be null)."""
+    got = files.select("name", F.length("content").alias("_size"), F.sha2("content", 256).alias("_sha"))
+    j = expected.join(got, "name", "left")
+    return j.select("name", F.coalesce(F.col("_size") == F.col("size"), F.lit(False)).alias("size_ok"), F.coalesce(F.col("_sha") == F.lower("sha256"), F.col("sha256").isNull() & F.col("_sha").isNotNull()).alias("hash_ok"))
