@@ -100,13 +100,13 @@ def canonical(value) -> str:
     return "{" + ",".join(f"{json.dumps(k)}:{canonical(v)}" for k, v in sorted(value.items())) + "}"
 
 
-def leaves(value, path: str = ""):
+def leaves(value):
     """(path, value) of everything in an object that isn't an object; keys joined by dots, a list is one value."""
-    todo = [(path, value)] if isinstance(value, dict) else []
+    todo = [(None, value)] if isinstance(value, dict) else []
     while todo:
         at, node = todo.pop()
         for k, v in node.items():
-            p = f"{at}.{k}" if at else k
+            p = k if at is None else f"{at}.{k}"
             if isinstance(v, dict):
                 todo.append((p, v))
             else:

@@ -9,8 +9,9 @@ one canonical name, by which all files are cast and united into one table.
 
 Value evidence needs no pairs of rows: each field gets the count and two hash sums of its
 (run, type, value) triples over the runs that both batches hold, so two fields agree in every
-common run exactly if these are equal. Only these per-field figures reach a flooding task, so its
-size is bounded by the number of fields of two batches.
+common run exactly if these are equal. The sums are built up inside the workers that parse, so what
+is shuffled are fields and not values. Only per-field figures reach a flooding task, so its size is
+bounded by the number of fields of two batches.
 
 Edge cases: bodies that are null, empty or don't parse are ignored; a body that parses to
 something other than an object holds no field; rows without file id, campaign or batch
@@ -22,11 +23,14 @@ one-to-one correspondences chosen by flooding score.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +43,15 @@ MIN_RUNS = 2
 DAMP_STEPS, SETTLED = 200, 1e-4
 
 FIELD = T.StructType([
-    T.StructField("campaign", T.StringType()), T.StructField("batch_no", T.IntegerType()), T.StructField("run", T.StringType()),
+    T.StructField("file_id", T.LongType()), T.StructField("campaign", T.StringType()), T.StructField("batch_no", T.IntegerType()), T.StructField("run", T.StringType()),
     T.StructField("field", T.StringType()), T.StructField("type", T.StringType()), T.StructField("value", T.StringType()),
 ])
+ARROW = pa.schema([("campaign", pa.string()), ("batch_no", pa.int32()), ("old_field", pa.string()), ("new_field", pa.string()), ("score", pa.float64()), ("exact", pa.bool_()), ("chosen", pa.bool_())])
 MATCH = "campaign string, batch_no int, old_field string, new_field string, score double, exact boolean, chosen boolean"
 
 
-def field_values(files: DataFrame, keep_id: bool = False) -> DataFrame:
-    """campaign, batch_no, run, field, type, value of every non-null leaf, and one row with a null field per parsed body."""
-    schema = T.StructType(([T.StructField("file_id", T.LongType())] if keep_id else []) + FIELD.fields)
+def field_values(files: DataFrame) -> DataFrame:
+    """file_id, campaign, batch_no, run, field, type, value of every non-null leaf, and one row with a null field per parsed body."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -56,51 +60,128 @@ def field_values(files: DataFrame, keep_id: bool = False) -> DataFrame:
                 value = jsontree.parse(body)
                 if value is jsontree.NOT_JSON:
                     continue
-                head = (fid, c, b, r) if keep_id else (c, b, r)
-                out.append((*head, None, None, None))
-                text = (lambda v: v if isinstance(v, str) else jsontree.canonical(v)) if keep_id else jsontree.canonical
-                out += [(*head, p, jsontree.kind(v), text(v)) for p, v in jsontree.leaves(value) if v is not None]
-            yield pd.DataFrame(out, columns=schema.names)
+                out.append((fid, c, b, r, None, None, None))
+                out += [(fid, c, b, r, p, jsontree.kind(v), v if isinstance(v, str) else jsontree.canonical(v)) for p, v in jsontree.leaves(value) if v is not None]
+            yield pd.DataFrame(out, columns=FIELD.names)
 
     base = files.filter("file_id is not null and campaign is not null and batch_no is not null").dropDuplicates(["file_id"])
-    return base.select("file_id", "campaign", F.col("batch_no").cast("int").alias("batch_no"), "run", "body").mapInPandas(walk, schema)
+    return base.select("file_id", "campaign", F.col("batch_no").cast("int").alias("batch_no"), "run", "body").mapInPandas(walk, FIELD)
 
 
-def transitions(values: DataFrame) -> DataFrame:
-    """Per campaign, later batch and field: types before and after, evidence before and after.
+def runs_of(files: DataFrame) -> DataFrame:
+    """campaign, batch_no, run, n_files (rows) of parsed bodies, with the batches before and after and whether these hold the run too."""
 
-    values: distinct campaign, batch_no, run, field, type, value; read several times, so cut beforehand.
-    """
-    batches = values.select("campaign", "batch_no").distinct()
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [jsontree.parse(b) is not jsontree.NOT_JSON for b in pdf["body"]]
+            yield pdf.loc[ok, ["campaign", "batch_no", "run"]]
+
+    found = files.select("campaign", "batch_no", "run", "body").mapInPandas(parsed, "campaign string, batch_no int, run string")
+    runs = cut(found.groupBy("campaign", "batch_no", "run").agg(F.count("*").alias("n_files")))
     w = Window.partitionBy("campaign").orderBy("batch_no")
+    batches = runs.select("campaign", "batch_no").distinct()
     batches = batches.select("campaign", "batch_no", F.lag("batch_no").over(w).alias("prev_no"), F.lead("batch_no").over(w).alias("next_no"))
-    runs = values.filter("field is null and run is not null").select("campaign", "batch_no", "run").distinct()
     wr = Window.partitionBy("campaign", "run").orderBy("batch_no")
-    runs = runs.join(batches, ["campaign", "batch_no"]).select(
-        "campaign", "batch_no", "run",
-        F.coalesce(F.lag("batch_no").over(wr) == F.col("prev_no"), F.lit(False)).alias("in_prev"),
-        F.coalesce(F.lead("batch_no").over(wr) == F.col("next_no"), F.lit(False)).alias("in_next"),
-    )
-    rows = values.filter("field is not null").join(runs, ["campaign", "batch_no", "run"], "left")
-    h = [F.xxhash64(F.lit(salt), "run", "type", "value").cast("decimal(20,0)") for salt in (17, 71)]
-
-    def evidence(flag: str) -> F.Column:
-        ok = F.coalesce(F.col(flag), F.lit(False))
-        return F.struct(F.count_if(ok).alias("n"), *(F.sum(F.when(ok, x)).alias(f"h{i}") for i, x in enumerate(h)))
-
-    per = rows.groupBy("campaign", "batch_no", "field").agg(
-        F.array_sort(F.collect_set("type")).alias("types"), evidence("in_prev").alias("back"), evidence("in_next").alias("ahead"))
+    held = lambda f, no: F.coalesce((f("batch_no").over(wr) == F.col(no)) & F.col("run").isNotNull(), F.lit(False))
+    return runs.join(batches, ["campaign", "batch_no"]).select("campaign", "batch_no", "run", "n_files", "prev_no", "next_no", held(F.lag, "prev_no").alias("in_prev"), held(F.lead, "next_no").alias("in_next"))
+
+
+PART = "campaign string, batch_no int, field string, run string, triple binary, mask int, " + ", ".join(f"{k}{i} long" for k in ("back", "ahead") for i in range(3))
+PRIME = (1 << 61) - 1
+FLUSH = 100_000
+
+
+def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per campaign, batch and field: types as bits, and count and hash sums of the triples of runs held before or after.
+
+    Files of a run that has several in its batch, repeated rows among them, give one row per triple
+    instead, to be made distinct; so repeated rows count once without a shuffle of bodies.
+    """
+    sums: dict[tuple, list] = {}
+    names = [c.split()[0] for c in PART.split(", ")]
+
+    def rows(several: list) -> pd.DataFrame:
+        return pd.DataFrame(several + [(c, b, f, None, None, *v) for (c, b, f), v in sums.items()], columns=names)
+
+    for pdf in batches:
+        several = []
+        for c, b, run, body, n_files, in_prev, in_next in pdf.itertuples(index=False, name=None):
+            value = jsontree.parse(body)
+            if value is jsontree.NOT_JSON:
+                continue
+            for path, v in jsontree.leaves(value):
+                if v is None:
+                    continue
+                kind = jsontree.kind(v)
+                bit = 1 << TYPES.index(kind)
+                back = ahead = (0, 0, 0)
+                triple = b""
+                if in_prev or in_next or n_files > 1:
+                    triple = hashlib.blake2b(f"{run}\0{kind}\0{jsontree.canonical(v)}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    one = (1, int.from_bytes(triple[:8], "big") % PRIME, int.from_bytes(triple[8:], "big") % PRIME)
+                    back, ahead = (one if in_prev else back), (one if in_next else ahead)
+                if n_files > 1:
+                    several.append((c, b, path, run, triple, bit, *back, *ahead))
+                    continue
+                s = sums.get((c, b, path))
+                if s is None:
+                    sums[c, b, path] = [bit, *back, *ahead]
+                else:
+                    s[0] |= bit
+                    if in_prev:
+                        s[1], s[2], s[3] = s[1] + 1, (s[2] + back[1]) % PRIME, (s[3] + back[2]) % PRIME
+                    if in_next:
+                        s[4], s[5], s[6] = s[4] + 1, (s[5] + ahead[1]) % PRIME, (s[6] + ahead[2]) % PRIME
+        if several or len(sums) > FLUSH:
+            yield rows(several)
+            sums = {}
+    if sums:
+        yield rows([])
+
+
+def transitions(files: DataFrame) -> DataFrame:
+    """Per campaign, later batch and field: types before and after, evidence before and after."""
+    base = files.filter("file_id is not null and campaign is not null and batch_no is not null")
+    base = base.select("campaign", F.col("batch_no").cast("int").alias("batch_no"), "run", "body")
+    runs = cut(runs_of(base))
+    r = runs.select(F.col("campaign").alias("c_"), F.col("batch_no").alias("b_"), F.col("run").alias("r_"), "n_files", "in_prev", "in_next")
+    # Bodies of runs that parse; a body that doesn't is skipped by the worker.
+    with_flags = base.join(r, (F.col("campaign") == F.col("c_")) & (F.col("batch_no") == F.col("b_")) & F.col("run").eqNullSafe(F.col("r_")))
+    part = with_flags.select("campaign", "batch_no", "run", "body", "n_files", "in_prev", "in_next").mapInPandas(_evidence, PART)
+    nums = [f"{k}{i}" for k in ("back", "ahead") for i in range(3)]
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    # Repeated triples of one run count once; sums of the others add up.
+    once = part.groupBy("campaign", "batch_no", "field", "run", "triple").agg(
+        F.bit_or("mask").alias("mask"), *(F.when(F.col("triple").isNotNull(), F.max(wide(c))).otherwise(F.sum(wide(c))).alias(c) for c in nums))
+    per = once.groupBy("campaign", "batch_no", "field").agg(F.bit_or("mask").alias("mask"), *(F.sum(c).alias(c) for c in nums))
+    batches = runs.select("campaign", "batch_no", "prev_no", "next_no").distinct()
     per = per.join(batches, ["campaign", "batch_no"])
-    side = F.struct(F.col("types"), F.col("ev.n").alias("n"), F.concat_ws("/", "ev.n", "ev.h0", "ev.h1").alias("print"))
-    new = per.filter("prev_no is not null").select("campaign", "batch_no", "field", F.col("back").alias("ev"), "types").select("campaign", "batch_no", "field", F.lit("new").alias("side"), side.alias("s"))
-    old = per.filter("next_no is not null").select("campaign", F.col("next_no").alias("batch_no"), "field", F.col("ahead").alias("ev"), "types").select("campaign", "batch_no", "field", F.lit("old").alias("side"), side.alias("s"))
-    return new.unionByName(old).groupBy("campaign", "batch_no", "field").agg(
-        F.max(F.when(F.col("side") == "old", F.col("s"))).alias("old"), F.max(F.when(F.col("side") == "new", F.col("s"))).alias("new"))
 
+    def side(no, evidence: str, name: str) -> DataFrame:
+        n = F.col(f"{evidence}0").cast("long")
+        text = F.concat_ws("/", n, *(F.pmod(f"{evidence}{i}", F.lit(PRIME)) for i in (1, 2)))
+        return per.filter(F.col(no).isNotNull()).select("campaign", F.col("batch_no" if name == "new" else no).alias("batch_no"), "field", F.lit(name).alias("side"), F.struct("mask", n.alias("n"), text.alias("print")).alias("s"))
+
+    both = side("prev_no", "back", "new").unionByName(side("next_no", "ahead", "old"))
+    pick = lambda name: F.max(F.when(F.col("side") == name, F.col("s"))).alias(name)
+    return both.groupBy("campaign", "batch_no", "field").agg(pick("old"), pick("new"))
 
-def _grams(name: str) -> set[str]:
+
+@lru_cache(maxsize=100_000)
+def _grams(name: str) -> tuple[str, ...]:
     plain = re.sub(r"[\W_]+", " ", name.lower()).strip()
-    return {f" {plain} "[i : i + 3] for i in range(len(plain))} or {plain}
+    return tuple({f" {plain} "[i : i + 3] for i in range(len(plain))} or {plain})
+
+
+def _alike(a: list[str], b: list[str]) -> np.ndarray:
+    """Shared three-letter pieces of all pairs of names, as a share of both names' pieces."""
+    at: dict[str, int] = {}
+    rows = [[at.setdefault(g, len(at)) for g in _grams(x)] for x in (*a, *b)]
+    m = np.zeros((len(rows), len(at)))
+    for i, r in enumerate(rows):
+        m[i, r] = 1
+    size = m.sum(1)
+    return (m[: len(a)] @ m[len(a) :].T) / (size[: len(a), None] + size[None, len(a) :])
 
 
 def _graph(fields: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -120,21 +201,19 @@ def _graph(fields: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def flood(old: dict[str, tuple], new: dict[str, tuple]) -> tuple[list[str], list[str], np.ndarray]:
-    """Settled similarity of all node pairs of two schemas. old, new: field -> (types, evidence n, evidence print)."""
+    """Settled similarity of all node pairs of two schemas. old, new: field -> (type bits, evidence n, evidence print)."""
     a, pa, da = _graph(sorted(old))
     b, pb, db = _graph(sorted(new))
-    ga, gb = [_grams(x) for x in a], [_grams(x) for x in b]
-    la, lb = [_grams(x.rpartition(".")[2]) for x in a], [_grams(x.rpartition(".")[2]) for x in b]
-    start = np.zeros((len(a), len(b)))
-    same_type = np.zeros_like(start)
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            names = len(ga[i] & gb[j]) / (len(ga[i]) + len(gb[j])) + len(la[i] & lb[j]) / (len(la[i]) + len(lb[j]))
-            start[i, j] = 0.5 * names
-            if x in old and y in new:
-                same_type[i, j] = old[x][0] == new[y][0]
-                agree = old[x][1] >= MIN_RUNS and old[x][2] == new[y][2]
-                start[i, j] += 0.1 * same_type[i, j] + 1.0 * agree + 0.5 * (x == y)
+    last = lambda xs: [x.rpartition(".")[2] for x in xs]
+    start = 0.5 * (_alike(a, b) + _alike(last(a), last(b)))
+    bits = lambda xs, of, none: np.array([of[x][0] if x in of else none for x in xs])
+    same_type = (bits(a, old, -1)[:, None] == bits(b, new, -2)[None, :]).astype(float)
+    number: dict[str, int] = {}
+    prints = lambda xs, of, none: np.array([number.setdefault(of[x][2], len(number)) if x in of and of[x][1] >= MIN_RUNS else none for x in xs])
+    agree = prints(a, old, -1)[:, None] == prints(b, new, -2)[None, :]
+    leaf = np.outer([x in old for x in a], [x in new for x in b])
+    equal = np.array([number.setdefault("=" + x, len(number)) for x in a])[:, None] == np.array([number.setdefault("=" + x, len(number)) for x in b])[None, :]
+    start += 0.1 * same_type + 1.0 * agree + 0.5 * (equal & leaf)
     start /= max(start.max(), 1e-12)
     up_a, up_b = np.zeros((len(a), len(a))), np.zeros((len(b), len(b)))
     up_a[pa[1:], np.arange(1, len(a))] = 1
@@ -156,12 +235,11 @@ def flood(old: dict[str, tuple], new: dict[str, tuple]) -> tuple[list[str], list
     return a, b, now
 
 
-def _match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    side = lambda s: {f: (tuple(x["types"]), x["n"], x["print"]) for f, x in zip(pdf["field"], pdf[s], strict=True) if x is not None}
-    old, new = side("old"), side("new")
+def match(old: dict[str, tuple], new: dict[str, tuple]) -> list[tuple[str, str, float, bool, bool]]:
+    """old_field, new_field, score, exact, chosen of all pairs of a vanished and an appeared field."""
     gone, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
     if not gone or not come:
-        return pd.DataFrame(columns=["campaign", "batch_no", "old_field", "new_field", "score", "exact", "chosen"])
+        return []
     a, b, score = flood(old, new)
     ia, ib = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
     pairs = [(x, y, float(score[ia[x], ib[y]]), old[x][1] >= MIN_RUNS and old[x][2] == new[y][2]) for x in gone for y in come]
@@ -172,18 +250,29 @@ def _match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if chosen:
             left.add(x)
             right.add(y)
-        out.append((key[0], int(key[1]), x, y, s, bool(exact), bool(chosen)))
-    return pd.DataFrame(out, columns=["campaign", "batch_no", "old_field", "new_field", "score", "exact", "chosen"])
+        out.append((x, y, s, exact, chosen))
+    return out
 
 
 def correspondences(changes: DataFrame) -> DataFrame:
-    """Scored pairs of vanished and appeared fields; exact: they agree in every common run."""
-    return changes.groupBy("campaign", "batch_no").applyInPandas(_match, MATCH)
+    """Scored pairs of vanished and appeared fields; exact: they agree in every common run. A row's list holds the fields of two batches."""
+    lists = changes.groupBy("campaign", "batch_no").agg(F.collect_list(F.struct("field", "old", "new")).alias("f"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                side = lambda s: {x["field"]: (x[s]["mask"], x[s]["n"], x[s]["print"]) for x in r["f"] if x[s] is not None}  # noqa: B023, E731
+                out += [(r["campaign"], r["batch_no"], *m) for m in match(side("old"), side("new"))]
+            cols = list(zip(*out, strict=True)) if out else [()] * len(ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW, strict=True)], schema=ARROW)
+
+    return lists.mapInArrow(run, MATCH)
 
 
 def prepared(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Field changes per transition, and their correspondences."""
-    changes = cut(transitions(cut(field_values(files).distinct())))
+    changes = cut(transitions(files))
     return changes, correspondences(changes)
 
 
@@ -199,7 +288,7 @@ def found(files: DataFrame) -> DataFrame:
         row(renamed, "renamed", F.col("old_field"), F.col("new_field"))
         .unionByName(row(gone.join(renamed, [*key, "old_field"], "left_anti"), "removed", F.col("old_field"), F.lit("")))
         .unionByName(row(come.join(renamed, [*key, "new_field"], "left_anti"), "added", F.lit(""), F.col("new_field")))
-        .unionByName(row(changes.filter("old is not null and new is not null and old.types <> new.types"), "retyped", F.col("field"), F.col("field")))
+        .unionByName(row(changes.filter("old is not null and new is not null and old.mask <> new.mask"), "retyped", F.col("field"), F.col("field")))
     )
 
 
@@ -230,7 +319,7 @@ def united(files: DataFrame, max_columns: int = 2000) -> DataFrame:
     max_columns bounds the schema brought to the driver; a wider one raises an error.
     """
     _, matches = prepared(files)
-    values = cut(field_values(files, keep_id=True))
+    values = cut(field_values(files))
     names = canonical_names(values, matches.filter("chosen"))
     long = cut(values.filter("field is not null").join(names, ["campaign", "batch_no", "field"]).select("file_id", "canonical", "type", "value"))
     schema = long.groupBy("canonical").agg(F.array_sort(F.collect_set("type")).alias("types")).orderBy("canonical").limit(max_columns + 1).collect()

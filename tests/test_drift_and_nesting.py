@@ -52,6 +52,13 @@ def test_edge_cases(spark):
     assert schema_drift.found(f.union(f)).count() == 2
 
 
+def test_runs_with_several_files_in_a_batch_count_by_their_values(spark):
+    rows = [("c", 1, r, {"x": v}) for r, v in (("a", 1), ("b", 2))]
+    twice = [*rows, rows[0], *(("c", 2, r, {"y": v}) for r, v in (("a", 1), ("b", 2)))]
+    assert changes(spark, twice) == {("c", 2, "renamed", "x", "y")}
+    assert changes(spark, [*twice, ("c", 2, "b", {"y": 3})]) == {("c", 2, "removed", "x", ""), ("c", 2, "added", "", "y")}
+
+
 def test_ambiguous_pairs_are_all_reported_and_one_is_chosen(spark):
     rows = [("c", 1, r, {"score": v}) for r, v in (("a", 1), ("b", 2))] + [("c", 2, r, {"score_v2": v, "zz": v}) for r, v in (("a", 1), ("b", 2))]
     assert changes(spark, rows) == {("c", 2, "renamed", "score", "score_v2"), ("c", 2, "renamed", "score", "zz")}
@@ -68,8 +75,8 @@ def test_united_table_follows_renames(spark):
 
 
 def test_flooding_settles_and_prefers_names():
-    old = {"a.x": (("number",), 0, ""), "b": (("string",), 0, "")}
-    new = {"a.x_v2": (("number",), 0, ""), "c": (("string",), 0, "")}
+    old = {"a.x": (1, 0, ""), "b": (2, 0, "")}
+    new = {"a.x_v2": (1, 0, ""), "c": (2, 0, "")}
     a, b, s = schema_drift.flood(old, new)
     assert s[a.index("a.x"), b.index("a.x_v2")] > s[a.index("a.x"), b.index("c")]
 
