@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,23 +47,45 @@ def greedy_split(grouped: DataFrame, fraction: float, seed: int = 0) -> DataFram
     return sizes.groupBy("country").applyInPandas(run, "country string, group_key string, split string")
 
 
-def id_hash(ids: Column) -> Column:
-    """SHA-256 of the ids in numeric order, joined by commas."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(ids)).cast("array<string>"), ","), 256)
-
-
-def name_hash(names: Column) -> Column:
-    """SHA-256 of the sorted names, a line break after each."""
-    return F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(names)), "\n"), F.lit("\n")), 256)
-
-
-def chunk_hashes(ids: DataFrame, key: str, chunk: int = 100_000) -> DataFrame:
-    """key, n, sha256 of a set of ids of any size: ids are hashed in ranges of `chunk` and the ranges' hashes in order.
+def stream_hash(df: DataFrame, key: str, order: Column, text: Column, between: str = "", after: str = "") -> DataFrame:
+    """key, n, sha256 of each key's texts in order, joined by `between` and ended by `after`.
 
-    Unlike id_hash no task holds more than one range. ids: key, id.
+    Rows of a key are sorted (and spilled) by the engine and hashed as they stream by, so a key of
+    any size takes constant memory. Nulls of key or text are left out.
     """
-    part = ids.withColumn("_c", F.floor(F.col("id") / chunk)).groupBy(key, "_c").agg(id_hash(F.col("id")).alias("h"), F.count("*").alias("n"))
-    return part.groupBy(key).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "h"))), lambda x: x["h"]), ","), 256).alias("sha256"))
+    rows = df.select(F.col(key).cast("string").alias("k"), order.alias("o"), text.cast("string").alias("t")).filter("k is not null and t is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, digest, n = None, None, 0
+        done = []
+        for pdf in batches:
+            for k, t in zip(pdf["k"], pdf["t"], strict=True):
+                if k != now:
+                    if digest is not None:
+                        digest.update(after.encode())
+                        done.append((now, n, digest.hexdigest()))
+                    now, digest, n = k, hashlib.sha256(), 0
+                digest.update(((between if n else "") + t).encode())
+                n += 1
+            if done:
+                yield pd.DataFrame(done, columns=["k", "n", "sha256"])
+                done = []
+        if digest is not None:
+            digest.update(after.encode())
+            yield pd.DataFrame([(now, n, digest.hexdigest())], columns=["k", "n", "sha256"])
+
+    out = rows.repartition("k").sortWithinPartitions("k", "o").select("k", "t").mapInPandas(run, "k string, n long, sha256 string")
+    return out.withColumnRenamed("k", key)
+
+
+def id_hashes(df: DataFrame, key: str, ids: str = "id") -> DataFrame:
+    """Hash of the ids in numeric order, joined by commas."""
+    return stream_hash(df, key, F.col(ids), F.col(ids), ",")
+
+
+def name_hashes(df: DataFrame, key: str, names: str = "name") -> DataFrame:
+    """Hash of the sorted names, a line break after each."""
+    return stream_hash(df, key, F.col(names), F.concat(F.col(names), F.lit("\n")))
 
 
 def tail_split(names: DataFrame, key: str, fraction: float) -> DataFrame:

@@ -215,23 +215,15 @@ def a7_class_counts_pivot(spark, sf):
     return a.groupBy("name").pivot("split", ["train", "val", "test"]).agg(F.count(F.lit(1))).fillna(0)
 
 
-@query(sql("im split", "SELECT split, count(*) AS n, sha256(string_agg(h, ',' ORDER BY c)) AS sha256 FROM (SELECT split, image_id // 100000 AS c, count(*) AS k, sha256(string_agg(CAST(image_id AS VARCHAR), ',' ORDER BY image_id)) AS h FROM sp WHERE split IS NOT NULL GROUP BY ALL) GROUP BY split").replace("count(*) AS n, sha256(string_agg(h", "CAST(sum(k) AS BIGINT) AS n, sha256(string_agg(h"))
+@query(sql("im split", "SELECT split, count(*) AS n, sha256(string_agg(CAST(image_id AS VARCHAR), ',' ORDER BY image_id)) AS sha256 FROM sp WHERE split IS NOT NULL GROUP BY split"))
 def a8_split_hashes(spark, sf):
-    i = images(spark, sf).select(F.col("image_id").alias("id"), split_name(F.col("split_hint")).alias("split")).filter("split is not null")
-    return splits.chunk_hashes(i, "split")
+    i = images(spark, sf).select(F.col("image_id").alias("id"), split_name(F.col("split_hint")).alias("split"))
+    return splits.id_hashes(i, "split")
 
 
-@query(sql("im", "SELECT country, sha256(string_agg(file_name || chr(10), '' ORDER BY file_name)) AS sha256 FROM i WHERE file_name IS NOT NULL GROUP BY country"))
+@query(sql("im", "SELECT country, count(*) AS n, sha256(string_agg(file_name || chr(10), '' ORDER BY file_name)) AS sha256 FROM i WHERE file_name IS NOT NULL AND country IS NOT NULL GROUP BY country"))
 def a9_name_hashes(spark, sf):
-    return images(spark, sf).filter("file_name is not null").groupBy("country").agg(splits.name_hash(F.col("file_name")).alias("sha256"))
-
-
-@query(sql("im an split", f", {NORM}, k AS (SELECT nm.*, cls IS NOT NULL AND nw > 0 AND nh > 0 AS ok, (cx < 0 OR cx > 1 OR cy < 0 OR cy > 1 OR nw > 1 OR nh > 1) AS cut FROM nm) SELECT split, count(DISTINCT sp.image_id) AS n_images, count(*) FILTER (ok) AS n_boxes, count(*) FILTER (ok AND cut) AS n_clipped, count(DISTINCT sp.image_id) - count(DISTINCT CASE WHEN ok THEN sp.image_id END) AS n_empty FROM sp LEFT JOIN k USING (image_id) WHERE split IS NOT NULL GROUP BY split"))
-def a10_export_stats(spark, sf):
-    n = normalised(spark, sf).filter("cls is not null and nw > 0 and nh > 0")
-    per = n.groupBy("image_id").agg(F.count("*").alias("b"), F.count_if(F.expr("cx < 0 or cx > 1 or cy < 0 or cy > 1 or nw > 1 or nh > 1")).alias("c"))
-    i = images(spark, sf).select("image_id", split_name(F.col("split_hint")).alias("split")).filter("split is not null").join(per, "image_id", "left").fillna(0, ["b", "c"])
-    return i.groupBy("split").agg(F.count("*").alias("n_images"), F.sum("b").alias("n_boxes"), F.sum("c").alias("n_clipped"), F.count_if(F.col("b") == 0).alias("n_empty"))
+    return splits.name_hashes(images(spark, sf), "country", "file_name")
 
 
 @query(sql("im", "SELECT country, view, count(*) AS n FROM i GROUP BY ALL"))

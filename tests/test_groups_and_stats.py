@@ -100,10 +100,12 @@ def test_greedy_split_like_brute_force_and_input_order(spark):
 def test_hashes_of_ids(spark):
     import hashlib
 
-    df = spark.createDataFrame([("a", i, f"n{i}") for i in (10, 9, 100)], "k string, id long, name string")
-    assert df.groupBy("k").agg(splits.id_hash(F.col("id")).alias("h")).first().h == hashlib.sha256(b"9,10,100").hexdigest()
-    assert df.groupBy("k").agg(splits.name_hash(F.col("name")).alias("h")).first().h == hashlib.sha256(b"n10\nn100\nn9\n").hexdigest()
-    assert splits.chunk_hashes(df, "k", 50).first().n == 3
+    df = spark.createDataFrame([("a", i, f"n{i}") for i in (10, 9, 100)] + [("b", 7, "é"), ("b", None, None), (None, 1, "z")], "k string, id long, name string")
+    ids = {r.k: (r.n, r.sha256) for r in splits.id_hashes(df, "k").collect()}
+    names = {r.k: r.sha256 for r in splits.name_hashes(df, "k").collect()}
+    assert ids == {"a": (3, hashlib.sha256(b"9,10,100").hexdigest()), "b": (1, hashlib.sha256(b"7").hexdigest())}
+    assert names == {"a": hashlib.sha256(b"n10\nn100\nn9\n").hexdigest(), "b": hashlib.sha256("é\n".encode()).hexdigest()}
+    assert splits.id_hashes(df.limit(0), "k").count() == 0
 
 
 def test_seed_statistics(spark):
