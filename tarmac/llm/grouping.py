@@ -29,6 +29,7 @@ from tarmac.session import cut
 
 LARGE_SHARE = 0.002  # at most 500 groups stand alone
 BINS = 64
+LABELS = 1000  # category ids beyond share a stratum by remainder, so units stay bounded
 
 
 def groups(images: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def assign(images: DataFrame, annotations: DataFrame, targets: DataFrame) -> Dat
         raise ValueError("no split has a positive fraction")
     g = cut(groups(images, annotations))
     n_images = g.count()
-    per_image = annotations.filter("image_id is not null").dropDuplicates(["id"]).groupBy("image_id", F.coalesce("category_id", F.lit(-1)).alias("c")).agg(F.count("*").alias("n"))
+    per_image = annotations.filter("image_id is not null").dropDuplicates(["id"]).groupBy("image_id", F.coalesce(F.pmod("category_id", F.lit(LABELS)), F.lit(-1)).alias("c")).agg(F.count("*").alias("n"))
     sizes = g.groupBy("group_key").agg(F.count("*").alias("size"))
     labels = g.join(per_image, "image_id").groupBy("group_key", "c").agg(F.sum("n").alias("n"))
     main = labels.groupBy("group_key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))

@@ -15,7 +15,7 @@ OBJECT_ID = r"^[\s\p{Z}]*(ob-[0-9]+)[\s\p{Z}]*$"
 
 
 def _base(name: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(name, r"^.*[/\\]", "")))
+    return F.lower(F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 
 
 def _number(text: Column) -> Column:
