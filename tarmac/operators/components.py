@@ -55,13 +55,13 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, start: int = 1
 def running(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, value: Column, name: str, agg: str = "sum", reverse: bool = False) -> DataFrame:
     """Running sum or max within keys, exact however large a key's group is.
 
-    bucket must grow with the order (a coarse, bounded version of its first column). Rows run within
-    their bucket, and each bucket adds what the buckets before it come to; only totals of
-    (keys, bucket) meet in one task. reverse: from the last row backwards.
+    Rows run in the given order; bucket is a coarse, bounded version of its first column and must grow
+    along it, or fall if `reverse`. Rows run within their bucket, and each bucket adds what the buckets
+    before it come to; only totals of (keys, bucket) meet in one task. A frame that runs to the end of
+    its partition would cost the square of its rows, so whoever runs backwards orders backwards.
     """
-    b = df.withColumn("_b", bucket)
-    w = Window.partitionBy(*keys, "_b").orderBy(*order)
-    w = w.rowsBetween(Window.currentRow, Window.unboundedFollowing) if reverse else w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = cut(df.withColumn("_b", bucket))  # read by both branches below
+    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     f = {"sum": F.sum, "max": F.max}[agg]
     totals = b.groupBy(*keys, "_b").agg(f(value).alias("_t"))
     wb = Window.partitionBy(*keys).orderBy(F.col("_b").desc() if reverse else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.operators.components import running
+from tarmac.session import cut
 
-BUCKETS = 1024
+BUCKETS = 64  # a class of a billion detections still runs in windows of some 16 million rows
 GRID = 1000
 
 
@@ -29,32 +30,65 @@ def ranked(pred: DataFrame) -> DataFrame:
 def curve_points(ranks: DataFrame, tps: DataFrame, n_gt: DataFrame) -> DataFrame:
     """subset, cls, thr, k (true positives so far), rank, recall, precision, envelope at every true positive.
 
-    ranks: subset, cls, pred_id, conf, rank. tps: subset, cls, thr, pred_id. n_gt: subset, cls, n.
+    ranks: subset, cls, pred_id, conf, rank. tps: pred_id, thr. n_gt: subset, cls, n.
     """
-    t = tps.join(ranks, ["subset", "cls", "pred_id"])
+    t = tps.select("pred_id", "thr").join(ranks, "pred_id")
     t = running(t, ["subset", "cls", "thr"], [F.col("rank")], _bucket(), F.lit(1).cast("long"), "k")
     t = t.join(n_gt, ["subset", "cls"]).withColumn("recall", F.col("k") / F.col("n")).withColumn("precision", F.col("k") / F.col("rank"))
-    return running(t, ["subset", "cls", "thr"], [F.col("rank")], _bucket(), F.col("precision"), "envelope", "max", reverse=True)
+    return running(t, ["subset", "cls", "thr"], [F.desc("rank")], _bucket(), F.col("precision"), "envelope", "max", reverse=True)
+
+
+def masks(tps: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """pred_id, mask: the thresholds at which a detection is true, as bits."""
+    bit = F.lit(0)
+    for i, t in enumerate(thresholds):
+        bit = F.when(F.abs(F.col("thr") - t) < 1e-9, F.lit(1 << i)).otherwise(bit)
+    return tps.groupBy("pred_id").agg(F.bit_or(bit).alias("mask"))
 
 
 def average_precision(ranks: DataFrame, tps: DataFrame, n_gt: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """subset, cls, thr, ap for every class with ground truth: the envelope at 101 recalls, joined by trapezoids.
 
-    A class without detections has 0; a class without ground truth is left out.
+    A class without detections has 0; a class without ground truth is left out. All thresholds run
+    in one row per detection: counts forwards, envelopes backwards, both within confidence buckets
+    and shifted by the buckets before them. A segment between true positives is spelled out only if
+    one of the 101 recalls lies in it.
     """
-    p = curve_points(ranks, tps, n_gt)
-    # The segment that ends at true positive k starts at k - 1 (or the sentinel at recall 0). Its left end is the
-    # envelope there if the two are neighbours in rank, else what the envelope has fallen to before k.
-    prev = p.select("subset", "cls", "thr", (F.col("k") + 1).alias("k"), F.col("rank").alias("r0"), F.col("recall").alias("x0"), F.col("envelope").alias("e0"))
-    s = p.join(prev, ["subset", "cls", "thr", "k"], "left").withColumns({"r0": F.coalesce("r0", F.lit(0)), "x0": F.coalesce("x0", F.lit(0.0)), "e0": F.coalesce("e0", F.lit(1.0))})
-    s = s.withColumn("y0", F.when(F.col("rank") == F.col("r0") + 1, F.col("e0")).otherwise(F.col("envelope")))
-    at = F.sequence(F.floor(F.col("x0") * 100).cast("int"), F.ceil(F.col("recall") * 100).cast("int"))
-    g = s.withColumn("i", F.explode(at)).withColumn("x", F.col("i") * 0.01).filter("i < 100 and x >= x0 and x < recall")
-    y = F.col("y0") + (F.col("envelope") - F.col("y0")) * (F.col("x") - F.col("x0")) / (F.col("recall") - F.col("x0"))
+    n = len(thresholds)
+    flag = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    key = ["subset", "cls"]
+    rows = cut(ranks.join(masks(tps, thresholds), "pred_id").select(*key, _bucket().alias("_b"), "rank", "mask"))
+    w = Window.partitionBy(*key, "_b").orderBy("rank")
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows that are true nowhere are gone; the one before a row counts as its neighbour only if its rank is one less.
+    per = rows.groupBy(*key, "_b").agg(F.max_by(F.struct("rank", "mask"), "rank").alias("last"), *(F.count_if(flag(i)).alias(f"c{i}") for i in range(n)))
+    per = per.select(*key, "_b", F.last("last").over(before).alias("last"), *(F.coalesce(F.sum(f"c{i}").over(before), F.lit(0)).alias(f"c{i}") for i in range(n)))
+    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    k = rows.select(*key, "_b", "rank", "mask", F.lag(F.struct("rank", "mask")).over(w).alias("prev"), *(F.sum(flag(i).cast("long")).over(up).alias(f"k{i}") for i in range(n)))
+    prev = F.coalesce("prev", "last")
+    near = F.when(prev["rank"] == F.col("rank") - 1, prev["mask"]).otherwise(F.lit(0))
+    k = cut(k.join(per, [*key, "_b"]).select(*key, "_b", "rank", near.alias("near"), *(F.when(flag(i), F.col(f"k{i}") + F.col(f"c{i}")).alias(f"k{i}") for i in range(n))))
+    p = lambda i: F.col(f"k{i}") / F.col("rank")
+    after = Window.partitionBy(*key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = k.groupBy(*key, "_b").agg(*(F.max(p(i)).alias(f"m{i}") for i in range(n))).select(*key, "_b", *(F.max(f"m{i}").over(after).alias(f"m{i}") for i in range(n)))
+    # Backwards by order: a frame that runs to the end of its partition would cost the square of its rows.
+    down = Window.partitionBy(*key, "_b").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = k.select(*key, "_b", "rank", "near", *(f"k{i}" for i in range(n)), *(F.max(p(i)).over(down).alias(f"e{i}") for i in range(n))).join(tops, [*key, "_b"]).join(n_gt, key)
+    each = F.array(*(F.struct(F.lit(float(t)).alias("thr"), F.col(f"k{i}").alias("k"), F.greatest(f"e{i}", f"m{i}").alias("e"), (F.col("near").bitwiseAND(F.lit(1 << i)) != 0).alias("next")) for i, t in enumerate(thresholds)))
+    s = e.select(*key, "n", "rank", F.explode(F.filter(each, lambda x: x["k"].isNotNull())).alias("s")).select(*key, "n", "rank", "s.*")
+    s = s.withColumn("x0", (F.col("k") - 1) / F.col("n")).withColumn("x1", F.col("k") / F.col("n"))
+    lo, hi = F.floor(F.col("x0") * 100).cast("int"), F.ceil(F.col("x1") * 100).cast("int")
+    s = s.filter((hi - lo > 1) | (lo * 0.01 >= F.col("x0")) | (hi * 0.01 < F.col("x1")))
+    # The left end is the envelope at the true positive before, if the two are neighbours in rank (the start counts as
+    # rank 0 with envelope 1), else what the envelope has fallen to.
+    first = F.col("k") == 1
+    y0 = F.when(first & (F.col("rank") == 1), 1.0).when(~first & F.col("next"), F.greatest((F.col("k") - 1) / (F.col("rank") - 1), F.col("e"))).otherwise(F.col("e"))
+    g = s.withColumn("y0", y0).withColumn("i", F.explode(F.sequence(lo, hi))).withColumn("x", F.col("i") * 0.01).filter("i < 100 and x >= x0 and x < x1")
+    y = F.col("y0") + (F.col("e") - F.col("y0")) * (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0"))
     # Trapezoids over equal steps: every point counts 0.01, the first one half; the last (recall 1) is 0.
-    ap = g.groupBy("subset", "cls", "thr").agg(F.sum(y * F.when(F.col("i") == 0, 0.005).otherwise(0.01)).alias("ap"))
-    every = n_gt.select("subset", "cls", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("thr"))
-    return every.join(ap, ["subset", "cls", "thr"], "left").select("subset", "cls", "thr", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    ap = g.groupBy(*key, "thr").agg(F.sum(y * F.when(F.col("i") == 0, 0.005).otherwise(0.01)).alias("ap"))
+    every = n_gt.select(*key, F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("thr"))
+    return every.join(ap, [*key, "thr"], "left").select(*key, "thr", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def mean_precision(ap: DataFrame) -> DataFrame:
@@ -68,9 +102,9 @@ def confidence_curves(ranks: DataFrame, tps: DataFrame, n_gt: DataFrame) -> Data
 
     Above the greatest confidence precision is 1 and recall 0; below the least they stay as they end.
     """
-    t = ranks.join(tps.filter("thr = 0.5").select("subset", "cls", "pred_id", F.lit(1).cast("long").alias("tp")), ["subset", "cls", "pred_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0).cast("long")))
+    t = ranks.join(tps.filter("thr = 0.5").select("pred_id", F.lit(1).cast("long").alias("tp")), "pred_id", "left").withColumn("tp", F.coalesce("tp", F.lit(0).cast("long")))
     t = running(t, ["subset", "cls"], [F.col("rank")], _bucket(), F.col("tp"), "k").join(n_gt, ["subset", "cls"])
-    t = t.select("subset", "cls", "conf", "rank", (F.col("k") / F.col("n")).alias("r"), (F.col("k") / F.col("rank")).alias("p"))
+    t = cut(t.select("subset", "cls", "conf", "rank", (F.col("k") / F.col("n")).alias("r"), (F.col("k") / F.col("rank")).alias("p")))
     nxt = t.select("subset", "cls", (F.col("rank") - 1).alias("rank"), F.col("conf").alias("c1"), F.col("r").alias("r1"), F.col("p").alias("p1"))
     s = t.join(nxt, ["subset", "cls", "rank"], "left")
     step = 1.0 / (GRID - 1)

@@ -160,13 +160,17 @@ ap AS (SELECT sg.subset, sg.cls, th.thr, coalesce(sum(y * CASE WHEN i = 0 THEN 0
 def scored(spark, sf):
     """ranks, true positives and ground truth counts of all images and of each country."""
     gt, pred = d_annotations(spark, sf), d_detections(spark, sf)
-    tps = cut(matching.true_positives(matching.overlaps(gt, pred)))
+    tps = cut(matching.true_positives(matching.overlaps(gt, pred)).select("pred_id", "thr"))
     country = d_images(spark, sf).select("image_id", "country")
     both = F.explode(F.array(F.lit("ALL"), F.col("country"))).alias("subset")
     n_gt = gt.join(country, "image_id").select(both, "cls").groupBy("subset", "cls").agg(F.count("*").alias("n"))
     p = pred.join(country, "image_id").select(both, "cls", "pred_id", "conf")
-    t = tps.join(country, "image_id").select(both, "cls", "thr", "pred_id")
-    return cut(curves.ranked(p)), t, n_gt
+    return cut(curves.ranked(p)), tps.select("pred_id", "thr"), n_gt
+
+
+def pooled(ranks, tps, n):
+    """The same over all images only."""
+    return ranks.filter("subset = 'ALL'"), tps, n.filter("subset = 'ALL'")
 
 
 @query(sql("di da dd", f", {IOU} SELECT gt_id, pred_id, round(iou, 6) AS iou FROM pi"))
@@ -201,7 +205,7 @@ def w4_true_positives(spark, sf):
 def w5_precision_recall(spark, sf):
     """w6: the points of the curve at the true positives."""
     ranks, tps, n = scored(spark, sf)
-    c = curves.curve_points(ranks.filter("subset = 'ALL'"), tps.filter("subset = 'ALL' and thr = 0.5"), n)
+    c = curves.curve_points(ranks.filter("subset = 'ALL'"), tps.filter("thr = 0.5"), n)
     return c.select("subset", "cls", "pred_id", "rank", "k", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
 
@@ -228,7 +232,7 @@ c3 AS (SELECT sg.subset, sg.cls, q.i, CASE WHEN h.cls IS NULL THEN 0.0 ELSE coal
 @query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE}, {CONF} SELECT subset, cls, CAST(i AS INTEGER) AS i, round(p, 5) AS p, round(r, 5) AS r FROM c3 WHERE subset = 'ALL'").replace("SELECT subset, cls, CAST(i", "SELECT c3.subset, c3.cls, CAST(i"))
 def w9_confidence_curves(spark, sf):
     ranks, tps, n = scored(spark, sf)
-    c = curves.confidence_curves(*(x.filter("subset = 'ALL'") for x in (ranks, tps, n)))
+    c = curves.confidence_curves(*pooled(ranks, tps, n))
     return c.select("subset", "cls", "i", F.round("p", 5).alias("p"), F.round("r", 5).alias("r"))
 
 
@@ -331,7 +335,7 @@ def sk10_dump_round_trip(spark, sf):
 def q9_metric_gate(spark, sf):
     """Recorded AP50 figures (here a made-up line of them) against those computed, within 0.0005."""
     ranks, tps, n = scored(spark, sf)
-    got = curves.average_precision(*(x.filter("subset = 'ALL'") for x in (ranks, tps, n)), (0.5,)).select("cls", F.col("ap").alias("got"))
+    got = curves.average_precision(*pooled(ranks, tps, n), (0.5,)).select("cls", F.col("ap").alias("got"))
     expected = spark.range(6).select(F.col("id").cast("int").alias("cls"), (0.68 + F.col("id") * 0.001).alias("expected"))
     return gates.metric_gate(got, expected, ["cls"]).filter("got is not null").select("cls", F.round("got", 6).alias("got"), "ok")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarmac.functions import labels as L
 from tarmac.operators import curves, gates, matching, tiling
 from tarmac.plans.base import annotations, images, split_name, sql
-from tarmac.plans.detection_queries import CLIPPED, TILES, scored, tile_detections, tiles_and_boxes
+from tarmac.plans.detection_queries import CLIPPED, TILES, pooled, scored, tile_detections, tiles_and_boxes
 from tarmac.session import cut, table
 from tarmac.sources import config
 
@@ -176,8 +176,7 @@ def g8_stitched_hulls(spark, sf):
 def w15_mean_of_recalls(spark, sf):
     """The independent scorer over the same matches."""
     ranks, tps, n = scored(spark, sf)
-    one = [x.filter("subset = 'ALL'") for x in (ranks, tps, n)]
-    return curves.mean_of_recalls(*one, matching.THRESHOLDS).withColumn("ap", F.round("ap", 6))
+    return curves.mean_of_recalls(*pooled(ranks, tps, n), matching.THRESHOLDS).withColumn("ap", F.round("ap", 6))
 
 
 @query(sql("im", "SELECT country, count(*) AS n FROM i WHERE country IS NOT NULL GROUP BY country ORDER BY n DESC, country LIMIT 10"))

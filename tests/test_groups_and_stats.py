@@ -66,7 +66,7 @@ def test_running_over_buckets(spark):
     df = spark.createDataFrame(rows, "k string, c double, i int, v int")
     b = F.floor(F.col("c") * 7).cast("int")
     s = {r.i: r.s for r in components.running(df, ["k"], [F.col("c")], b, F.col("v"), "s").collect()}
-    m = {r.i: r.s for r in components.running(df, ["k"], [F.col("c")], b, F.col("v"), "s", "max", True).collect()}
+    m = {r.i: r.s for r in components.running(df, ["k"], [F.desc("c")], b, F.col("v"), "s", "max", True).collect()}
     for k, c, i, _ in rows:
         assert s[i] == sum(v for q, d, _, v in rows if q == k and d <= c) and m[i] == max(v for q, d, _, v in rows if q == k and d >= c)
 
