@@ -46,4 +46,4 @@ def stem_of(name: Column) -> Column:
 
 def sequence_of(name: Column) -> Column:
     """Number between the last underscore and the extension, null if there is none."""
-    return F.expr("try_cast(null as bigint)") if name is None else F.nullif(F.regexp_extract(name, r"_(\d+)\.", 1), F.lit("")).try_cast("bigint")
+    return F.nullif(F.regexp_extract(name, r"_(\d+)\.", 1), F.lit("")).try_cast("bigint")

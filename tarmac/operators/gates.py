@@ -19,7 +19,7 @@ def enforce(violations: DataFrame, what: str, most: int = 0) -> None:
 
 def unknown_labels(ann: DataFrame, label_map: DataFrame) -> DataFrame:
     """label, n of labels that the map doesn't have. ann: label."""
-    return ann.filter("label is not null").join(F.broadcast(label_map.select("label")), "label", "left_anti").groupBy("label").agg(F.count("*").alias("n"))
+    return ann.filter("label is not null").join(label_map.select("label"), "label", "left_anti").groupBy("label").agg(F.count("*").alias("n"))
 
 
 def missing_targets(label_map: DataFrame, classes: DataFrame, ignore: str) -> DataFrame:

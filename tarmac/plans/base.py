@@ -39,7 +39,7 @@ def split_name(c):
 
 def d_images(spark, sf):
     o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     side = lambda k: F.element_at(F.array(*(F.lit(SIDES[i][k]) for i in range(6))), (F.col("o_orderkey") % 6 + 1).cast("int"))
     return j.select(F.col("o_orderkey").alias("image_id"), F.col("n_name").alias("country"), F.concat("n_name", F.lit("_"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("stem"), side(0).alias("width"), side(1).alias("height"))
 

@@ -84,11 +84,12 @@ def f7_missing_images(spark, sf):
     return annotations(spark, sf).join(images(spark, sf).select("image_id"), "image_id", "left_anti").agg(F.count("*").alias("n_without_image"))
 
 
-@query(sql("im", "SELECT image_id FROM i WHERE coalesce(view, '') <> 'topdown' AND image_id % 97 <> 0"))
+@query(sql("im", "SELECT image_id FROM i WHERE coalesce(view, '') <> 'topdown' AND image_id NOT IN (SELECT image_id FROM (SELECT image_id, row_number() OVER (PARTITION BY file_name ORDER BY image_id) AS k FROM i WHERE file_name IS NOT NULL) WHERE k > 1)"))
 def f8_exclude(spark, sf):
-    """Images less a drop list and an excluded view. The drop list here: ids divisible by 97."""
+    """Images less a drop list and an excluded view. The drop list here: all but the first image of a file name."""
     i = images(spark, sf)
-    drop = i.filter("image_id % 97 = 0").select("image_id")
+    first = i.filter("file_name is not null").groupBy("file_name").agg(F.min("image_id").alias("first"))
+    drop = i.join(first, "file_name").filter("image_id <> first").select("image_id")
     return i.filter(F.coalesce("view", F.lit("")) != "topdown").join(drop, "image_id", "left_anti").select("image_id")
 
 
@@ -109,14 +110,15 @@ def f10_class_presence(spark, sf):
     val = a.join(sp, "image_id", "left_semi").select("category_id").distinct().withColumn("v", F.lit(True))
     every = a.select("category_id").distinct().withColumn("e", F.lit(True))
     c = classes(spark)
-    j = c.join(F.broadcast(val.withColumnRenamed("category_id", "class_id")), "class_id", "left").join(F.broadcast(every.withColumnRenamed("category_id", "class_id")), "class_id", "left")
+    j = c.join(val.withColumnRenamed("category_id", "class_id"), "class_id", "left").join(every.withColumnRenamed("category_id", "class_id"), "class_id", "left")
     return j.select("name", F.coalesce("v", F.lit(False)).alias("in_val"), F.coalesce("e", F.lit(False)).alias("anywhere"))
 
 
-@query(sql("im an", "SELECT category_id, CAST(dense_rank() OVER (ORDER BY category_id) - 1 AS INTEGER) AS dense_id FROM (SELECT DISTINCT category_id FROM a WHERE category_id % 2 = 0)"))
+@query(sql("im an", "SELECT category_id, CAST(dense_rank() OVER (ORDER BY category_id) - 1 AS INTEGER) AS dense_id FROM (SELECT DISTINCT category_id FROM a WHERE category_id IN (SELECT id FROM categories WHERE supercategory = 'surface'))"))
 def f11_dense_ids(spark, sf):
-    """Dense ids of the kept classes (here the even ones); the window holds one row per class."""
-    c = annotations(spark, sf).filter("category_id % 2 = 0").select("category_id").distinct()
+    """Dense ids of the kept classes (here those of the surface that occur); the window holds one row per class."""
+    kept = table(spark, sf, "categories").filter("supercategory = 'surface'").select(F.col("id").alias("category_id"))
+    c = annotations(spark, sf).select("category_id").distinct().join(kept, "category_id", "left_semi")
     return c.withColumn("dense_id", (F.dense_rank().over(Window.orderBy("category_id")) - 1).cast("int"))
 
 

@@ -32,7 +32,7 @@ me AS (SELECT *, regexp_replace(run, '_s\\d+$', '') AS config FROM mt)"""
 
 def metrics(spark, sf):
     li, o, c, n = (table(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation"))
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     run = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "base6").otherwise("ctrl4"), F.lit("_s"), (F.col("l_suppkey") % 3).cast("string"))
     m = j.select(run.alias("run"), (F.col("l_partkey") % 6).cast("int").alias("cls"), F.col("n_name").alias("country"), F.explode(F.create_map(F.lit("AP50"), F.col("l_discount") * 10, F.lit("AP50_95"), F.col("l_tax") * 10)).alias("metric", "value"))
     return m.groupBy("run", "cls", "country", "metric").agg(F.avg("value").alias("value")).withColumn("config", stats.config_of(F.col("run")))
@@ -151,7 +151,7 @@ def j13_published_counts(spark, sf):
 @query("SELECT coalesce(n_name, 'TOTAL') AS country, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name)")
 def a31_rollup(spark, sf):
     o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return j.rollup("n_name").agg(F.count("*").alias("n")).select(F.coalesce("n_name", F.lit("TOTAL")).alias("country"), "n")
 
 
