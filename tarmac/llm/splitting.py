@@ -16,8 +16,8 @@ per tile and first forbidden position before they are gathered, so a tile gather
 entries as it has pixels of width, however many boxes lie in it.
 
 Edge cases: tiles with null id, plan or extent, with an unknown plan, or not wider than the limit
-give no pieces; repeated tile and box ids count once; boxes with null or swapped edges or null
-retained don't count; specs with null or senseless values (limit < 2, overlap < 0 or not below
+give no pieces; repeated tile and box ids count once; boxes with null, NaN or swapped edges
+or null or NaN retained don't count, edges beyond a billion pixels are taken as that far; specs with null or senseless values (limit < 2, overlap < 0 or not below
 half the limit) raise an error; empty tables give an empty result; other columns are ignored.
 """
 
@@ -101,8 +101,9 @@ def found(tiles: DataFrame, boxes: DataFrame, specs: DataFrame, objective: str =
         .join(spec, "plan").filter("_x1 - _x0 > _limit").dropDuplicates(["tile_id"])
     )
     # A position p is inside a box if x0 < p < x1, in full-image pixels. The same box counted twice forbids nothing more.
+    far = lambda c: F.greatest(F.lit(-1e9), F.least(F.lit(1e9), F.col(c).cast("double")))
     runs = (
-        boxes.select("tile_id", F.col("x0").alias("_b0"), F.col("x1").alias("_b1"), "retained").filter("_b1 > _b0 and retained is not null")
+        boxes.filter("not isnan(x0) and not isnan(x1) and not isnan(retained)").select("tile_id", far("x0").alias("_b0"), far("x1").alias("_b1"), "retained").filter("_b1 > _b0")
         .join(wide, "tile_id").filter("retained >= _least")
         .select("tile_id", (F.floor(F.col("_b0")) + 1 + F.col("_x0")).cast("int").alias("lo"), (F.ceil(F.col("_b1")) - 1 + F.col("_x0")).cast("int").alias("hi"), "_x0", "_x1")
         .select("tile_id", F.greatest("lo", "_x0").alias("lo"), F.least("hi", "_x1").alias("hi")).filter("lo <= hi")

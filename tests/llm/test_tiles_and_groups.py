@@ -40,7 +40,10 @@ def test_pieces_like_brute_force(spark):
     tiles = [(i, rnd.choice([0, 5, -7]), rnd.randint(0, 200), rnd.choice(["g", "h", "x", None])) for i in range(80)] + [(900, 0, None, "g"), (901, None, 90, "g"), (902, 50, 50, "g"), (903, 60, 20, "g")]
     boxes = [(i, rnd.randint(0, 79), x, x + rnd.choice([-3, 0, 0.5, 4, 12, 25]), rnd.choice([None, 0.1, 0.3, 0.5, 1.02])) for i in range(900) for x in [round(rnd.uniform(-5, 190), 1)]]
     boxes += [(5000, 3, None, 4.0, 1.0), (5001, 3, 1.0, None, 1.0), (None, None, 1.0, 9.0, 1.0)]
-    got = run(spark, tiles + tiles[:9], boxes + boxes[:50], specs)
+    nan, inf = float("nan"), float("inf")
+    odd = [(6000, 5, nan, 40.0, 1.0), (6001, 5, 2.0, nan, 1.0), (6002, 5, 2.0, 40.0, nan)]
+    boxes += [(6003, 6, -inf, 3.0, 1.0), (6004, 7, 30.0, inf, 1.0)]
+    got = run(spark, tiles + tiles[:9], boxes + boxes[:50] + odd, specs)
     assert len(got) == len(set(got))
     assert set(got) == brute(tiles, boxes, specs)
 
