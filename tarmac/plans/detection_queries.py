@@ -134,6 +134,11 @@ def g9_canvas(spark, sf):
     return d_images(spark, sf).select("image_id", G.canvas(F.col("width"), longest).alias("cw"), G.canvas(F.col("height"), longest).alias("ch"))
 
 
+FRAG = """fr AS (SELECT t.image_id, t.width, t.height, d.cls, d.conf, d.pred_id || ':' || lpad(CAST(tile_index AS VARCHAR), 4, '0') AS det_id, tile_index, tx0, ty0, tx1, ty1, greatest(d.x0, tx0) AS x0, greatest(d.y0, ty0) AS y0, least(d.x1, tx1) AS x1, least(d.y1, ty1) AS y1,
+  CAST((least(d.x1, tx1) - greatest(d.x0, tx0)) * (least(d.y1, ty1) - greatest(d.y0, ty0)) AS DOUBLE) / ((d.x1 - d.x0) * (d.y1 - d.y0)) AS retained
+  FROM dd d JOIN ti t USING (image_id) WHERE d.x1 > d.x0 AND d.y1 > d.y0 AND least(d.x1, tx1) > greatest(d.x0, tx0) AND least(d.y1, ty1) > greatest(d.y0, ty0)), f AS (SELECT * FROM fr WHERE retained >= 0.1)"""
+
+
 # --- matching and curves -----------------------------------------------------------------------
 IOU = """pr AS (SELECT * FROM (SELECT g.image_id, g.cls, g.country, gt_id, pred_id, conf, CAST((least(g.x1, p.x1) - greatest(g.x0, p.x0)) * (least(g.y1, p.y1) - greatest(g.y0, p.y0)) AS DOUBLE) AS inter,
   CAST((g.x1 - g.x0) * (g.y1 - g.y0) + (p.x1 - p.x0) * (p.y1 - p.y0) AS DOUBLE) AS both_areas FROM da g JOIN dd p ON g.image_id = p.image_id AND g.cls = p.cls
@@ -157,6 +162,18 @@ gx AS (SELECT subset, cls, thr, i, e + (e1 - e) * (i * 0.01 - r) / (r1 - r) AS y
 ap AS (SELECT sg.subset, sg.cls, th.thr, coalesce(sum(y * CASE WHEN i = 0 THEN 0.005 ELSE 0.01 END), 0) AS ap FROM sg JOIN th ON TRUE LEFT JOIN gx ON gx.subset = sg.subset AND gx.cls = sg.cls AND gx.thr = th.thr GROUP BY ALL)"""
 
 
+def _fold(name, conf):
+    """The sequential matcher as a recursion over one image's pairs of one class, in order."""
+    return f"""{name}o AS (SELECT image_id, cls, gt_id, pred_id, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf DESC, pred_id, iou DESC, gt_id) AS rn FROM pi WHERE conf >= {conf}),
+{name}r(image_id, cls, rn, taken, used, gt_id, pred_id, took) AS (
+  SELECT DISTINCT image_id, cls, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), '', '', false FROM {name}o
+  UNION ALL
+  SELECT image_id, cls, rn, CASE WHEN tk THEN list_append(taken, gt_id) ELSE taken END, CASE WHEN tk THEN list_append(used, pred_id) ELSE used END, gt_id, pred_id, tk FROM (
+    SELECT o.image_id, o.cls, o.rn, taken, used, o.gt_id, o.pred_id, NOT list_contains(taken, o.gt_id) AND NOT list_contains(used, o.pred_id) AS tk
+    FROM {name}r s JOIN {name}o o ON o.image_id = s.image_id AND o.cls = s.cls AND o.rn = s.rn + 1)),
+{name} AS (SELECT gt_id, pred_id FROM {name}r WHERE took)"""
+
+
 def scored(spark, sf):
     """ranks, true positives and ground truth counts of all images and of each country."""
     gt, pred = d_annotations(spark, sf), d_detections(spark, sf)
@@ -243,13 +260,13 @@ def w10_operating_point(spark, sf):
     return o.select("subset", F.round("p", 3).alias("p"), F.round("r", 3).alias("r"), F.round("f1", 3).alias("f1"))
 
 
-@query()
+@query(sql("di da dd", f", {IOU}, {_fold('hi', '0.25')} SELECT gt_id, pred_id FROM hi", True))
 def w13_greedy_matches(spark, sf):
-    """The sequential matcher; checked against a brute-force version in the tests."""
+    """The sequential matcher."""
     return matching.greedy(d_annotations(spark, sf), d_detections(spark, sf)).select("gt_id", "pred_id")
 
 
-@query()
+@query(sql("di da dd", f", {IOU}, {_fold('hi', '0.25')}, {_fold('lo', '0.001')} SELECT country, count(*) AS fn_report, count(*) FILTER (gt_id NOT IN (SELECT gt_id FROM lo)) AS fn_floor FROM da WHERE gt_id NOT IN (SELECT gt_id FROM hi) GROUP BY country", True))
 def a24_false_negatives(spark, sf):
     f = matching.false_negatives(d_annotations(spark, sf).drop("width", "height"), d_detections(spark, sf), d_images(spark, sf))
     return f.groupBy("country").agg(F.count("*").alias("fn_report"), F.count_if(~F.col("detected_at_floor")).alias("fn_floor"))
@@ -316,7 +333,15 @@ def g8_stitch(spark, sf):
     return s.select("group_id", "image_id", "cls", F.round("score", 6).alias("score"), "x0", "y0", "x1", "y1", "n_parts", "tiles")
 
 
-@query()
+@query(sql("di da dd", f""", {TILES}, {FRAG}, no AS (SELECT image_id, cls, det_id, struct_pack(a := CAST(x0 AS DOUBLE), b := CAST(y0 AS DOUBLE), c := CAST(x1 AS DOUBLE), d := CAST(y1 AS DOUBLE)) AS bx, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf * retained DESC, det_id) AS rn FROM f),
+nr(image_id, cls, rn, kept, det_id, took) AS (
+  SELECT DISTINCT image_id, cls, CAST(0 AS BIGINT), CAST([] AS STRUCT(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE)[]), '', false FROM no
+  UNION ALL
+  SELECT image_id, cls, rn, CASE WHEN tk THEN list_append(kept, bx) ELSE kept END, det_id, tk FROM (
+    SELECT o.image_id, o.cls, o.rn, kept, o.bx, o.det_id, len(list_filter(kept, lambda k: least(k.c, o.bx.c) > greatest(k.a, o.bx.a) AND least(k.d, o.bx.d) > greatest(k.b, o.bx.b)
+      AND (least(k.c, o.bx.c) - greatest(k.a, o.bx.a)) * (least(k.d, o.bx.d) - greatest(k.b, o.bx.b)) / ((o.bx.c - o.bx.a) * (o.bx.d - o.bx.b) + (k.c - k.a) * (k.d - k.b) - (least(k.c, o.bx.c) - greatest(k.a, o.bx.a)) * (least(k.d, o.bx.d) - greatest(k.b, o.bx.b))) >= 0.5)) = 0 AS tk
+    FROM nr s JOIN no o ON o.image_id = s.image_id AND o.cls = s.cls AND o.rn = s.rn + 1))
+SELECT image_id, cls, det_id FROM nr WHERE took""", True))
 def w14_nms(spark, sf):
     return tiling.nms(tile_detections(spark, sf)).select("image_id", "cls", "det_id")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarmac.functions import labels as L
 from tarmac.operators import curves, gates, matching, tiling
 from tarmac.plans.base import annotations, images, split_name, sql
-from tarmac.plans.detection_queries import CLIPPED, TILES, pooled, scored, tile_detections, tiles_and_boxes
+from tarmac.plans.detection_queries import CLIPPED, CURVE, FRAG, IOU, SUBSETS, TILES, TP, pooled, scored, tile_detections, tiles_and_boxes
 from tarmac.session import cut, table
 from tarmac.sources import config
 
@@ -131,9 +131,6 @@ def _fragments(spark, sf):
     return tile_detections(spark, sf)
 
 
-FRAG = """fr AS (SELECT t.image_id, t.width, t.height, d.cls, d.pred_id || ':' || lpad(CAST(tile_index AS VARCHAR), 4, '0') AS det_id, tile_index, tx0, ty0, tx1, ty1, greatest(d.x0, tx0) AS x0, greatest(d.y0, ty0) AS y0, least(d.x1, tx1) AS x1, least(d.y1, ty1) AS y1,
-  CAST((least(d.x1, tx1) - greatest(d.x0, tx0)) * (least(d.y1, ty1) - greatest(d.y0, ty0)) AS DOUBLE) / ((d.x1 - d.x0) * (d.y1 - d.y0)) AS retained
-  FROM dd d JOIN ti t USING (image_id) WHERE d.x1 > d.x0 AND d.y1 > d.y0 AND least(d.x1, tx1) > greatest(d.x0, tx0) AND least(d.y1, ty1) > greatest(d.y0, ty0)), f AS (SELECT * FROM fr WHERE retained >= 0.1)"""
 CUT = {
     "right": "({t}.tx1 < {t}.width AND {t}.x1 >= {t}.tx1 - 4)", "left": "({t}.tx0 > 0 AND {t}.x0 <= {t}.tx0 + 4)",
     "bottom": "({t}.ty1 < {t}.height AND {t}.y1 >= {t}.ty1 - 4)", "top": "({t}.ty0 > 0 AND {t}.y0 <= {t}.ty0 + 4)",
@@ -172,7 +169,7 @@ def g8_stitched_hulls(spark, sf):
     return tiling.stitch(cut(_fragments(spark, sf))).select("group_id", "n_parts", "x0", "x1")
 
 
-@query()
+@query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE}, lv AS (SELECT cu.subset, cu.cls, cu.thr, i, max(tpc / CAST(rk AS DOUBLE)) AS m FROM cu JOIN range(101) g(i) ON tpc / CAST(n AS DOUBLE) * 100 + 1e-9 >= i WHERE cu.subset = 'ALL' GROUP BY ALL) SELECT sg.subset, sg.cls, th.thr, round(coalesce(sum(m), 0) / 101, 6) AS ap FROM sg JOIN th ON TRUE LEFT JOIN lv ON lv.subset = sg.subset AND lv.cls = sg.cls AND lv.thr = th.thr WHERE sg.subset = 'ALL' GROUP BY ALL"))
 def w15_mean_of_recalls(spark, sf):
     """The independent scorer over the same matches."""
     ranks, tps, n = scored(spark, sf)
