@@ -51,11 +51,12 @@ def gram_hashes(text: str, n: int) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     if len(codes) < n:
         return np.empty(0, np.uint64)
-    h = np.zeros(len(codes) - n + 1, np.uint64)
+    size = len(codes) - n + 1
+    h = codes[:size].copy()
     with np.errstate(over="ignore"):
-        for j in range(n):
-            h = (h ^ (codes[j : j + len(h)] + np.uint64(1))) * BASE
-            h ^= h >> np.uint64(29)
+        for j in range(1, n):  # a polynomial in an odd 64-bit base
+            h *= BASE
+            h += codes[j : j + size]
     return h
 
 
@@ -91,12 +92,29 @@ def document_counts(docs: DataFrame, vocab: dict[int, np.ndarray]) -> tuple[int,
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = {n: np.zeros(len(v), np.int64) for n, v in sent.value.items()}
         total = 0
+
+        def add(texts: list[str]) -> None:
+            joined = " ".join(texts)
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            for n, v in sent.value.items():
+                pos, place = lookup(v, gram_hashes(joined, n))
+                if len(pos):  # each gram once for each text
+                    one = np.unique(np.searchsorted(ends, pos, side="right") * len(v) + place) % len(v)
+                    sums[n] += np.bincount(one, minlength=len(v))
+
         for pdf in batches:
             total += len(pdf)
+            texts, size = [], 0
             for t in pdf["text"]:
                 s = normalise(t)
-                for n, v in sent.value.items():
-                    sums[n][np.unique(lookup(v, gram_hashes(s, n))[1])] += 1
+                if s:
+                    texts.append(s)
+                    size += len(s)
+                if size > CHUNK:
+                    add(texts)
+                    texts, size = [], 0
+            if texts:
+                add(texts)
         rows = [(0, -1, total)] + [(n, int(i), int(x[i])) for n, x in sums.items() for i in np.flatnonzero(x)]
         yield pd.DataFrame(rows, columns=["n", "i", "c"])
 
