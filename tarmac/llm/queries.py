@@ -37,16 +37,20 @@ def p7_found(spark, sf):
 
 
 def p7_evidence(spark, sf):
-    """All candidate pairs of the search with their latent cosine, common order and answer codes."""
+    """All pairs that the search checks on the text, with their cosine, common order and answer codes."""
     out = leakage.scored(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
     return out.withColumn("cosine", F.round("cosine", 4)).withColumn("lcs", F.round("lcs", 6))
 
 
+def p7_paraphrases(spark, sf):
+    return leakage.paraphrases(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 def p8_found(spark, sf):
     return sentences.found(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p5_found, p5_report, p6_ids, p7_found, p7_evidence, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p5_found, p5_report, p6_ids, p7_found, p7_evidence, p7_paraphrases, p8_found)}
 
 SQL = {
     "p2_found": """

@@ -74,25 +74,52 @@ def test_leaks_like_brute_force(spark):
     assert leakage.found(docs(spark, []).limit(0), it).count() == 0 and leakage.found(docs(spark, texts[:5]), it.limit(0)).count() == 0
 
 
-def test_rank_and_passes_lose_nothing(spark, monkeypatch):
+def test_rank_blocks_and_parts_lose_nothing(spark, monkeypatch):
     rnd = random.Random(9)
     items = [(i, "".join(rnd.choice("abcdefghijklmnop ") for _ in range(150)), 30) for i in range(30)]
-    texts = ["zz " * 30 + p[40:85] + " yy" * 30 for _, p, _ in items]
+    items.append((77, "".join(rnd.choice("abcdefghijklmnop ") for _ in range(3000)), 40))
+    texts = ["zz " * 30 + p[40:85] + " yy" * 30 for _, p, _ in items] + [items[-1][1][a : a + 55] for a in range(0, 2900, 97)]
     it = spark.createDataFrame(items, "item_id long, passage string, min_run int")
-    want = {tuple(r) for r in leakage.found(docs(spark, texts), it).collect()}
-    assert len(want) >= 30
-    monkeypatch.setattr(leakage, "PASS", 11)
-    monkeypatch.setattr(leakage, "BLOCK", 7)
+    base = leakage.scored(docs(spark, texts), it).collect()
+    want = {(r.doc_id, r.item_id) for r in base if r.leaked}
+    assert len(want) >= 60
+    few = leakage.scored(docs(spark, texts), it, rank=2).collect()
+    assert {(r.doc_id, r.item_id) for r in few if r.leaked} == want
+    full = leakage.scored(docs(spark, texts), it, rank=64).collect()
+    # the latent space decides how much is searched: the more it holds, the fewer candidates
+    assert sum(r.candidates for r in full) < sum(r.candidates for r in few)
+    monkeypatch.setattr(leakage, "BLOCK", 700)
+    monkeypatch.setattr(leakage, "PART", 300)
     assert {tuple(r) for r in leakage.found(docs(spark, texts), it).collect()} == want
-    # a basis of two directions keeps every case: what it leaves out is added back by its norm
-    vocab = leakage.np.unique(leakage.np.concatenate([leakage.gram_hashes(leakage.normalise(p), 8) for _, p, _ in items]))
-    block = leakage.blocks_of([(i, leakage.normalise(p), m) for i, p, m in items])[0]
-    monkeypatch.setattr(leakage, "RANK", 2)
-    small = leakage.factored(block, vocab, leakage.np.ones(len(vocab)))
-    joined = [leakage.normalise(t) for t in texts]
-    ends = leakage.np.cumsum([len(t) + 1 for t in joined])
-    near = {(t, b["items"][i][0]) for t, b, i, _, _ in leakage._candidates(joined, ends, " ".join(joined), [small])}
-    assert {(k, block["items"][k][0]) for k in range(len(block["items"]))} <= near
+
+
+def test_latent_basis_is_nearly_the_best(spark):
+    np = leakage.np
+    rng = np.random.default_rng(3)
+    dense = rng.standard_normal((60, 5)) @ rng.standard_normal((5, 200)) * 5 + rng.standard_normal((60, 200)) * 0.1
+    rows = [(i, 0, 8, j * 7919, float(dense[i, j])) for i in range(60) for j in range(200)]
+    df = spark.createDataFrame(rows, "item_id long, part int, n int, gram long, idf double").repartition(4, "item_id", "part").sortWithinPartitions("item_id", "part", "gram")
+    got = sorted(leakage.latent(df, 8).collect(), key=lambda r: r.gram)
+    basis = np.stack([np.frombuffer(r.z, "<f4") for r in got]).astype(float)
+    assert np.allclose(basis.T @ basis, np.eye(8), atol=1e-3)
+    best = (np.linalg.svd(dense, compute_uv=False)[:8] ** 2).sum()
+    assert ((dense @ basis) ** 2).sum() > 0.999 * best
+
+
+def test_paraphrases_are_found(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvw") for _ in range(rnd.randint(5, 9)))
+    items = [(i, " ".join([*(word() for _ in range(12)), f"K{rnd.randint(1000, 9999)}", *(word() for _ in range(12))]), 60) for i in range(40)]
+    texts, want = [], set()
+    for i, p, _ in items:
+        words = p.split()
+        texts.append(" ".join(w if k % 6 != 5 else word() for k, w in enumerate(words)))  # every sixth word told otherwise
+        want.add((len(texts) - 1, i))
+        texts.append(" ".join(word() for _ in range(25)))  # nothing of it
+        texts.append(" ".join(w if w[0] != "K" else "K77" for w in " ".join(words[::-1]).split()))  # other order, other code
+    it = spark.createDataFrame(items, "item_id long, passage string, min_run int")
+    got = {(r.doc_id, r.item_id) for r in leakage.paraphrases(docs(spark, texts), it).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
 
 
 def test_common_order():
