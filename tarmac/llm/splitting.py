@@ -1,15 +1,14 @@
 """Splitting of oversized tiles into overlapping pieces at natural boundaries.
 
-Dynamic programming over boundary positions: the value of a start position is the cheapest way to
-cover the rest, a piece costs (cut penalty, size imbalance), and the next start is the end less
-the overlap. Two objectives share the recursion:
+Dynamic programming over boundary positions. A piece from s may end at s + limit or at the last clean
+position before any forbidden run between s + limit/2 and s + limit; the next piece starts overlap
+before that end. The starts that can be reached this way are the states. From the right to the left,
+each state compares all its ends by the piece's own cost, the cut penalty and the size it falls
+short of the limit by, together with the best value of the start that follows. Two ways of adding up:
 
-* ``first`` (default, the rule of the project's data): costs are compared piece by piece from the
-  left, so an earlier clean and longer piece beats anything later. The order is lexicographic and
-  two ends of one piece never cost the same, so the optimum of a state is decided by its own cost
-  and the recursion needs one candidate per state.
-* ``total``: the sum of ``penalty`` per cut box and the squared relative imbalance is minimal over
-  all whole positions allowed.
+* ``first`` (default, the rule of the project's data): values are sequences of (cut, shortness)
+  compared in order, piece by piece from the left, so no later gain makes up for an earlier loss;
+* ``total``: values are sums, ``penalty`` per cut box and the squared relative shortness.
 
 Boxes reach a tile's task as merged forbidden runs of whole positions. They are reduced to one row
 per tile and first forbidden position before they are gathered, so a tile gathers at most as many
@@ -23,7 +22,7 @@ half the limit) raise an error; empty tables give an empty result; other columns
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,43 +44,44 @@ def merged_runs(lo, hi) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def last_clean(starts: list[int], ends: list[int], low: int, high: int) -> int | None:
-    """The largest position p, low <= p <= high, in no run."""
+def boundaries(s: int, limit: int, starts: list[int], ends: list[int]) -> list[tuple[int, bool]]:
+    """Where a piece from s may end, and whether that cuts: at the limit, or right before a run in the second half."""
+    low, high = s + limit // 2 + 1, s + limit
     k = bisect_right(starts, high) - 1
-    p = high
-    if k >= 0 and ends[k] >= p:
-        p = starts[k] - 1
-    return p if p >= low else None
+    out = [(high, k >= 0 and ends[k] >= high)]
+    while k >= 0 and starts[k] - 1 >= low:  # runs are merged, so what lies right before one is clean
+        out.append((starts[k] - 1, False))
+        k -= 1
+    return out
 
 
 def pieces(x0: int, x1: int, limit: int, overlap: int, starts: list[int], ends: list[int], objective: str = "first", penalty: float = 10.0) -> list[tuple[int, int]]:
     """The optimal pieces of one extent."""
-    if x1 - x0 <= limit:
-        return [(x0, x1)]
-    if objective == "first":
-        out, s = [], x0
-        while x1 - s > limit:
-            p = last_clean(starts, ends, s + limit // 2 + 1, s + limit)
-            e = s + limit if p is None else p
-            out.append((s, e))
-            s = e - overlap
-        return [*out, (s, x1)]
-    # Values of the starts, from the right; whatever start can be reached is a whole position.
-    best: dict[int, tuple[float, int]] = {}
-    inside = lambda p: (k := bisect_right(starts, p) - 1) >= 0 and ends[k] >= p
-    for s in range(x1 - 1, x0 - 1, -1):
-        if x1 - s <= limit:
-            best[s] = ((1 - (x1 - s) / limit) ** 2, x1)
-            continue
-        best[s] = min((best[e - overlap][0] + penalty * inside(e) + (1 - (e - s) / limit) ** 2, -e) for e in range(s + limit // 2 + 1, s + limit + 1))
-        best[s] = (best[s][0], -best[s][1])
+    todo, ways = [x0], {}
+    while todo:
+        s = todo.pop()
+        if s not in ways:
+            ways[s] = boundaries(s, limit, starts, ends) if x1 - s > limit else []
+            todo += [e - overlap for e, _ in ways[s]]
+    # Values from the right to the left. For ``first`` a value is (cost of the piece, value of the rest): nested pairs compare
+    # in order, as the sequences of costs that they are, and share their tails.
+    value: dict[int, tuple | float] = {}
+    best: dict[int, int] = {}
+    for s in sorted(ways, reverse=True):
+        if not ways[s]:
+            value[s], best[s] = (() if objective == "first" else (1 - (x1 - s) / limit) ** 2), x1
+        elif objective == "first":
+            cost, rest, e = min(((cut, s + limit - e), value[e - overlap], e) for e, cut in ways[s])
+            value[s], best[s] = (cost, rest), e
+        else:
+            value[s], back = min((penalty * cut + (1 - (e - s) / limit) ** 2 + value[e - overlap], -e) for e, cut in ways[s])
+            best[s] = -back
     out, s = [], x0
     while True:
-        e = best[s][1]
-        out.append((s, e))
-        if e == x1:
+        out.append((s, best[s]))
+        if not ways[s]:
             return out
-        s = e - overlap
+        s = best[s] - overlap
 
 
 def found(tiles: DataFrame, boxes: DataFrame, specs: DataFrame, objective: str = "first") -> DataFrame:

@@ -62,7 +62,7 @@ def test_senseless_specs_are_refused(spark):
 
 
 def test_total_objective_is_never_dearer_than_greedy():
-    rnd = random.Random(2)
+    rnd, differ = random.Random(2), 0
     for _ in range(40):
         lo = sorted(rnd.sample(range(150), 12))
         starts, ends = splitting.merged_runs(lo, [x + rnd.randint(0, 9) for x in lo])
@@ -71,6 +71,35 @@ def test_total_objective_is_never_dearer_than_greedy():
         total = splitting.pieces(0, 160, 20, 4, starts, ends, "total")
         assert total[0][0] == 0 and total[-1][1] == 160 and all(b - a <= 20 for a, b in total) and all(x[1] - 4 == y[0] for x, y in zip(total, total[1:], strict=False))
         assert cost(total) <= cost(first) + 1e-9
+        differ += total != first
+    assert differ > 10
+
+
+def test_pieces_against_all_divisions():
+    """Every whole position may end a piece here: boundary positions lose nothing of the ordered objective."""
+    rnd = random.Random(4)
+
+    def divisions(s, x1, limit, overlap):
+        if x1 - s <= limit:
+            yield [(s, x1)]
+            return
+        for e in range(s + limit // 2 + 1, s + limit + 1):
+            for rest in divisions(e - overlap, x1, limit, overlap):
+                yield [(s, e), *rest]
+
+    for _ in range(150):
+        limit = rnd.randint(6, 9)
+        overlap, x1 = rnd.randint(0, 2), rnd.randint(5, 24)
+        lo = [rnd.randrange(25) for _ in range(rnd.randint(0, 5))]
+        starts, ends = splitting.merged_runs(lo, [x + rnd.randint(0, 4) for x in lo])
+        inside = lambda p: any(a <= p <= b for a, b in zip(starts, ends, strict=True))  # noqa: B023, E731
+        every = list(divisions(0, x1, limit, overlap))
+        ordered = min(every, key=lambda ps: [(inside(e), limit - (e - s)) for s, e in ps[:-1]])  # noqa: B023
+        assert splitting.pieces(0, x1, limit, overlap, starts, ends) == ordered
+        few = [ps for ps in every if all((e, inside(e)) in splitting.boundaries(s, limit, starts, ends) for s, e in ps[:-1])]
+        cost = lambda ps: sum(10 * inside(e) + (1 - (e - s) / limit) ** 2 for s, e in ps[:-1]) + (1 - (ps[-1][1] - ps[-1][0]) / limit) ** 2  # noqa: B023, E731
+        total = splitting.pieces(0, x1, limit, overlap, starts, ends, "total")
+        assert abs(cost(total) - min(map(cost, few))) < 1e-9
 
 
 IMG = "id long, file_name string, object string, drive string"
