@@ -3,9 +3,11 @@
 Per campaign every batch is compared with the one before it by similarity flooding: both schemas
 become graphs (object paths, leaf fields, value types), start scores come from names, types and
 value evidence, and scores flow along parent/child and field/type edges until they settle. The
-settled scores order the correspondences between vanished and appeared fields; an exact check on
-the values of the runs that both batches hold decides which of them are renames. Renames chain to
-one canonical name, by which all files are cast and united into one table.
+settled scores select the correspondences between vanished and appeared fields: a pair is kept if
+its score reaches what the flow must leave to any pair whose values agree (`flood` gives that bound),
+so no rename is lost and most other pairs are. An exact check on the values of the runs that both
+batches hold follows. Renames chain to one canonical name, by which all files are cast and united
+into one table.
 
 Value evidence needs no pairs of rows: each field gets the count and two hash sums of its
 (run, type, value) triples over the runs that both batches hold, so two fields agree in every
@@ -18,7 +20,8 @@ something other than an object holds no field; rows without file id, campaign or
 number are left out; a null run takes part in presence and types but in no comparison; repeated file ids count
 once; several files of one run in a batch count by the set of their values. If several pairs pass
 the exact check each is reported, since each fulfils the definition; the united table follows
-one-to-one correspondences chosen by flooding score.
+one-to-one correspondences chosen by flooding score. Canonical fields beyond the united table's
+column limit are kept in one map column.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.functions import jsontree
+from tarmac.operators.components import least_labels
 from tarmac.session import cut
 
 TYPES = ("number", "string", "boolean", "array")
@@ -153,7 +157,7 @@ def transitions(files: DataFrame) -> DataFrame:
     # Repeated triples of one run count once; sums of the others add up.
     once = part.groupBy("campaign", "batch_no", "field", "run", "triple").agg(
         F.bit_or("mask").alias("mask"), *(F.when(F.col("triple").isNotNull(), F.max(wide(c))).otherwise(F.sum(wide(c))).alias(c) for c in nums))
-    per = once.groupBy("campaign", "batch_no", "field").agg(F.bit_or("mask").alias("mask"), *(F.sum(c).alias(c) for c in nums))
+    per = cut(once.groupBy("campaign", "batch_no", "field").agg(F.bit_or("mask").alias("mask"), *(F.sum(c).alias(c) for c in nums)))  # read by both sides below
     batches = runs.select("campaign", "batch_no", "prev_no", "next_no").distinct()
     per = per.join(batches, ["campaign", "batch_no"])
 
@@ -200,10 +204,11 @@ def _graph(fields: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return paths, parent, np.bincount(parent[1:], minlength=len(paths)).astype(float)
 
 
-def flood(old: dict[str, tuple], new: dict[str, tuple]) -> tuple[list[str], list[str], np.ndarray]:
-    """Settled similarity of all node pairs of two schemas. old, new: field -> (type bits, evidence n, evidence print)."""
-    a, pa, da = _graph(sorted(old))
-    b, pb, db = _graph(sorted(new))
+AGREE = 1.0  # what equal values add to a start score
+
+
+def start_scores(a: list[str], b: list[str], old: dict[str, tuple], new: dict[str, tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Start similarity of all node pairs, and which pairs have equal types. Equal values of two fields add AGREE."""
     last = lambda xs: [x.rpartition(".")[2] for x in xs]
     start = 0.5 * (_alike(a, b) + _alike(last(a), last(b)))
     bits = lambda xs, of, none: np.array([of[x][0] if x in of else none for x in xs])
@@ -213,36 +218,56 @@ def flood(old: dict[str, tuple], new: dict[str, tuple]) -> tuple[list[str], list
     agree = prints(a, old, -1)[:, None] == prints(b, new, -2)[None, :]
     leaf = np.outer([x in old for x in a], [x in new for x in b])
     equal = np.array([number.setdefault("=" + x, len(number)) for x in a])[:, None] == np.array([number.setdefault("=" + x, len(number)) for x in b])[None, :]
-    start += 0.1 * same_type + 1.0 * agree + 0.5 * (equal & leaf)
-    start /= max(start.max(), 1e-12)
-    up_a, up_b = np.zeros((len(a), len(a))), np.zeros((len(b), len(b)))
-    up_a[pa[1:], np.arange(1, len(a))] = 1
-    up_b[pb[1:], np.arange(1, len(b))] = 1
+    return start + 0.1 * same_type + AGREE * agree + 0.5 * (equal & leaf), same_type
+
+
+def flood(old: dict[str, tuple], new: dict[str, tuple], steps: int = DAMP_STEPS) -> tuple[list[str], list[str], np.ndarray, float]:
+    """Settled similarity of all node pairs of two schemas, and the least that a pair of equal values can have.
+
+    old, new: field -> (type bits, evidence n, evidence print). A step adds to each pair its start score and what
+    its neighbours send, and divides by the greatest sum c. A pair of equal values starts with at least AGREE / top and
+    only receives, so after a step it has at least (AGREE / top + its score before) / c: the bound follows the steps.
+    """
+    a, pa, da = _graph(sorted(old))
+    b, pb, db = _graph(sorted(new))
+    start, same_type = start_scores(a, b, old, new)
+    top = max(start.max(), 1e-12)
+    start /= top
+    seed = least = AGREE / top
     share = 1 / np.maximum(np.outer(da, db), 1)
     n_type = max(same_type.sum(), 1)
+    # Members by parent, so that what members send up is summed over runs.
+    ra, rb = np.argsort(pa[1:], kind="stable") + 1, np.argsort(pb[1:], kind="stable") + 1
+    ga, gb = (np.flatnonzero(np.r_[True, p[r][1:] != p[r][:-1]]) if len(r) else np.empty(0, int) for p, r in ((pa, ra), (pb, rb)))
+    ua, ub = pa[ra][ga], pb[rb][gb]
     now, types = start.copy(), 0.0
-    for _ in range(DAMP_STEPS):
+    for _ in range(steps):
         s = start + now
-        down = up_a.T @ (s * share) @ up_b  # a pair of objects feeds its member pairs, in equal parts
-        up = up_a @ s @ up_b.T  # each member pair feeds its objects
-        nxt = s + down + up + same_type * types / n_type  # the pair of equal types feeds its fields
+        nxt = s + same_type * (types / n_type)  # the pair of equal types feeds its fields
+        if len(ra) and len(rb):
+            nxt[1:, 1:] += (s * share)[np.ix_(pa[1:], pb[1:])]  # a pair of objects feeds its member pairs, in equal parts
+            nxt[np.ix_(ua, ub)] += np.add.reduceat(np.add.reduceat(s[np.ix_(ra, rb)], ga, axis=0), gb, axis=1)  # each member pair feeds its objects
         types = (s * same_type).sum() / n_type
-        nxt /= nxt.max()
-        if np.abs(nxt - now).max() < SETTLED:
-            now = nxt
-            break
+        c = nxt.max()
+        nxt /= c
+        least = (seed + least) / c
+        done = np.abs(nxt - now).max() < SETTLED
         now = nxt
-    return a, b, now
+        if done:
+            break
+    return a, b, now, least
 
 
-def match(old: dict[str, tuple], new: dict[str, tuple]) -> list[tuple[str, str, float, bool, bool]]:
-    """old_field, new_field, score, exact, chosen of all pairs of a vanished and an appeared field."""
+def match(old: dict[str, tuple], new: dict[str, tuple], steps: int = DAMP_STEPS) -> list[tuple[str, str, float, bool, bool]]:
+    """old_field, new_field, score, exact, chosen of the pairs of a vanished and an appeared field that the settled scores select."""
     gone, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
     if not gone or not come:
         return []
-    a, b, score = flood(old, new)
+    a, b, score, least = flood(old, new, steps)
     ia, ib = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
-    pairs = [(x, y, float(score[ia[x], ib[y]]), old[x][1] >= MIN_RUNS and old[x][2] == new[y][2]) for x in gone for y in come]
+    part = score[np.ix_([ia[x] for x in gone], [ib[y] for y in come])]
+    pairs = [(gone[i], come[j], float(part[i, j])) for i, j in zip(*np.nonzero(part >= least * (1 - 1e-9)), strict=True)]
+    pairs = [(x, y, s, old[x][1] >= MIN_RUNS and old[x][2] == new[y][2]) for x, y, s in pairs]
     pairs.sort(key=lambda p: (-p[3], -p[2], p[0], p[1]))
     left, right, out = set(), set(), []
     for x, y, s, exact in pairs:
@@ -292,44 +317,37 @@ def found(files: DataFrame) -> DataFrame:
     )
 
 
-NAMES = "campaign string, batch_no int, field string, canonical string"
-
-
 def canonical_names(values: DataFrame, chosen: DataFrame) -> DataFrame:
-    """campaign, batch_no, field, canonical: the first name that a field had. Groups hold a campaign's field names only."""
-    fields = values.filter("field is not null").select("campaign", "batch_no", "field", F.lit(None).cast("string").alias("old_field")).distinct()
-    links = chosen.select("campaign", "batch_no", F.col("new_field").alias("field"), "old_field")
+    """campaign, batch_no, field, canonical: the first name of the chain of renames that a field is in.
 
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        now, out = {}, []
-        for no, part in pdf.sort_values("batch_no").groupby("batch_no"):
-            was = {f: o for f, o in zip(part["field"], part["old_field"], strict=True) if isinstance(o, str)}
-            fresh = {f: now.get(was[f], was[f]) if f in was else now.get(f, f) for f in dict.fromkeys(part["field"])}
-            now |= fresh
-            out += [(key[0], int(no), f, c) for f, c in fresh.items()]
-        return pd.DataFrame(out, columns=["campaign", "batch_no", "field", "canonical"])
-
-    return fields.unionByName(links).groupBy("campaign").applyInPandas(chain, NAMES)
+    Chains are components of the graph of a campaign's field names and renames, so nothing gathers a campaign.
+    """
+    fields = cut(values.filter("field is not null").select("campaign", "batch_no", "field").distinct())
+    node = lambda f: F.to_json(F.struct("campaign", F.col(f).alias("f")))
+    labels = least_labels(chosen.select(node("old_field").alias("a"), node("new_field").alias("b")))
+    named = fields.groupBy("campaign", "field").agg(F.min("batch_no").alias("first")).withColumn("node", node("field")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    firsts = named.groupBy("label").agg(F.min(F.struct("first", "field")).alias("m")).select("label", F.col("m.field").alias("canonical"))
+    return fields.join(named.join(firsts, "label").select("campaign", "field", "canonical"), ["campaign", "field"])
 
 
 def united(files: DataFrame, max_columns: int = 2000) -> DataFrame:
     """One row per parsed file: file_id, campaign, batch_no, run and one column per canonical field.
 
     Columns are cast to double or boolean if all their values have that type, else they are strings.
-    max_columns bounds the schema brought to the driver; a wider one raises an error.
+    The max_columns fields with the most values get columns; where there are more, the others are
+    held in a last column, more_fields, a map of names to texts.
     """
     _, matches = prepared(files)
     values = cut(field_values(files))
     names = canonical_names(values, matches.filter("chosen"))
     long = cut(values.filter("field is not null").join(names, ["campaign", "batch_no", "field"]).select("file_id", "canonical", "type", "value"))
-    schema = long.groupBy("canonical").agg(F.array_sort(F.collect_set("type")).alias("types")).orderBy("canonical").limit(max_columns + 1).collect()
-    if len(schema) > max_columns:
-        raise ValueError(f"more than {max_columns} canonical fields")
+    schema = long.groupBy("canonical").agg(F.array_sort(F.collect_set("type")).alias("types"), F.count("*").alias("n")).orderBy(F.desc("n"), "canonical").limit(max_columns + 1).collect()
+    wide = sorted((r.canonical, r.types) for r in schema[:max_columns])
     cells = long.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "value"))).alias("m"))
     heads = values.filter("field is null").select("file_id", "campaign", "batch_no", "run")
     rows = heads.join(cells, "file_id", "left")
     out, used = [], {"file_id", "campaign", "batch_no", "run"}
-    for name, types in schema:
+    for name, types in wide:
         col = base = re.sub(r"\W+", "_", name)
         i = 1
         while col.lower() in used:
@@ -339,4 +357,6 @@ def united(files: DataFrame, max_columns: int = 2000) -> DataFrame:
         v = F.col("m")[F.lit(name)]
         as_type = {("number",): "double", ("boolean",): "boolean"}.get(tuple(types))
         out.append((v.try_cast(as_type) if as_type else v).alias(col))
+    if len(schema) > max_columns:
+        out.append(F.map_filter("m", lambda k, _: ~k.isin([n for n, _ in wide])).alias("more_fields"))
     return rows.select("file_id", "campaign", "batch_no", "run", *out)

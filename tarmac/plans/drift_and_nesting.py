@@ -13,7 +13,7 @@ def p1_found(spark, sf):
 
 
 def p1_scores(spark, sf):
-    """The settled scores of all pairs of a vanished and an appeared field."""
+    """The pairs of a vanished and an appeared field that the settled scores select."""
     _, matches = schema_drift.prepared(table(spark, sf, "run_files"))
     return matches.withColumn("score", F.round("score", 6))
 

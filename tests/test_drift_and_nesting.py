@@ -70,14 +70,46 @@ def test_united_table_follows_renames(spark):
     rows = [("c", 1, "a", {"n": 1, "s": "x"}), ("c", 1, "b", {"n": 2, "s": "y"}), ("c", 2, "a", {"count": 1, "s": "x"}), ("c", 2, "b", {"count": 2, "s": "y"}), ("c", 3, "b", {"total": 2, "s": 5}), ("c", 3, "a", {"total": 1, "s": 6})]
     t = schema_drift.united(files(spark, rows))
     assert {(r.batch_no, r.run, r.n, r.s) for r in t.collect()} == {(1, "a", 1.0, "x"), (1, "b", 2.0, "y"), (2, "a", 1.0, "x"), (2, "b", 2.0, "y"), (3, "a", 1.0, "6"), (3, "b", 2.0, "5")}
-    with pytest.raises(ValueError):
-        schema_drift.united(files(spark, rows), max_columns=1)
+    few = schema_drift.united(files(spark, rows), max_columns=1)  # fields beyond the limit are kept in a map
+    assert {(r.batch_no, r.run, r.n, r.more_fields["s"]) for r in few.collect()} == {(1, "a", 1.0, "x"), (1, "b", 2.0, "y"), (2, "a", 1.0, "x"), (2, "b", 2.0, "y"), (3, "a", 1.0, "6"), (3, "b", 2.0, "5")}
+    assert few.columns == ["file_id", "campaign", "batch_no", "run", "n", "more_fields"]
+
+
+def test_settled_scores_choose_consistent_correspondences():
+    """x agrees with b.x and c.x alike; that its siblings went to c is what flooding tells, and start scores don't."""
+    one, two, three = (1, 2, "h1"), (1, 2, "h2"), (1, 2, "h3")
+    old = {"a.x": one, "a.y": two, "a.z": three}
+    new = {"b.x": one, "c.x": one, "c.y": two, "c.z": three, "b.q": (2, 2, "h9")}
+    chosen = lambda **k: {(o, n) for o, n, _, _, c in schema_drift.match(old, new, **k) if c}
+    assert chosen() == {("a.x", "c.x"), ("a.y", "c.y"), ("a.z", "c.z")}
+    assert ("a.x", "b.x") in chosen(steps=0)
+    # every pair of equal values is selected, whatever the names, and not every pair is
+    got = {(o, n) for o, n, *_ in schema_drift.match(old, new)}
+    assert {("a.x", "b.x"), ("a.x", "c.x"), ("a.y", "c.y"), ("a.z", "c.z")} <= got
+
+
+def test_selection_never_loses_equal_values():
+    import random
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 4)))
+    pruned = 0
+    for _ in range(60):
+        field = lambda: ".".join(word() for _ in range(rnd.randint(1, 3)))
+        value = lambda: (1 << rnd.randrange(3), rnd.randint(0, 4), f"h{rnd.randrange(12)}")
+        old, new = {field(): value() for _ in range(12)}, {field(): value() for _ in range(12)}
+        gone, come = old.keys() - new.keys(), new.keys() - old.keys()
+        got = {(o, n): e for o, n, _, e, _ in schema_drift.match(old, new)}
+        want = {(o, n) for o in gone for n in come if old[o][1] >= 2 and new[n][1] >= 2 and old[o][2] == new[n][2]}
+        assert want <= got.keys()
+        pruned += len(gone) * len(come) - len(got)
+    assert pruned > 100
 
 
 def test_flooding_settles_and_prefers_names():
     old = {"a.x": (1, 0, ""), "b": (2, 0, "")}
     new = {"a.x_v2": (1, 0, ""), "c": (2, 0, "")}
-    a, b, s = schema_drift.flood(old, new)
+    a, b, s, _ = schema_drift.flood(old, new)
     assert s[a.index("a.x"), b.index("a.x_v2")] > s[a.index("a.x"), b.index("c")]
 
 
