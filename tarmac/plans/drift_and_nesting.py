@@ -27,24 +27,35 @@ def p4_found(spark, sf):
 
 
 def p4_records(spark, sf):
-    recs = nested.keyed(nested.records(table(spark, sf, "report_docs"), "report_id", "body"))
+    recs = nested.records(table(spark, sf, "report_docs"), "report_id", "body")
     return recs.withColumnRenamed("doc_id", "report_id").withColumn("fields", F.to_json("fields")).drop("kinds", "ordinal")
 
 
 def p4_schema(spark, sf):
-    recs = nested.records(table(spark, sf, "report_docs"), "report_id", "body")
-    return nested.merged_schema(recs).withColumn("kinds", F.concat_ws(",", "kinds"))
+    schema = nested.merged_schema(table(spark, sf, "report_docs"), "report_id", "body")
+    return schema.filter("column is not null").select("table", "column", F.concat_ws(",", "kinds").alias("kinds"), "n_records", "optional")
 
 
-def p4_groups(spark, sf):
-    """The flat child table of the duplicate groups that reports list."""
+def p4_links(spark, sf):
+    """Every child record of every table, with its ordinals and the parent that its surrogate key leads to."""
     recs = cut(nested.records(table(spark, sf, "report_docs"), "report_id", "body"))
-    schema = nested.merged_schema(recs.filter(F.col("table") == "/groups")).orderBy("column").limit(1000).collect()
-    out = nested.flat_table(recs, "/groups", [(r.column, list(r.kinds)) for r in schema])
-    return out.withColumn("ordinal", F.concat_ws(",", F.col("ordinal").cast("array<string>")))
+    parents = recs.select(F.col("doc_id").alias("report_id"), F.col("record_key").alias("parent_key"), F.col("table").alias("parent_table"), F.col("path").alias("parent_path"))
+    kids = recs.filter("parent_key is not null").select(F.col("doc_id").alias("report_id"), "parent_key", "table", F.col("path").alias("child_path"), F.concat_ws(",", F.col("ordinal").cast("array<string>")).alias("ordinal"))
+    return kids.join(parents, ["report_id", "parent_key"]).select("report_id", "table", "child_path", "ordinal", "parent_table", "parent_path")
+
+
+def _flat(path):
+    def query(spark, sf):
+        docs = table(spark, sf, "report_docs")
+        schema = cut(nested.merged_schema(docs, "report_id", "body"))
+        out = nested.flat_table(nested.records(docs, "report_id", "body", schema), schema, path)
+        return out.withColumnRenamed("doc_id", "report_id").withColumn("ordinal", F.concat_ws(",", F.col("ordinal").cast("array<string>")))
+
+    return query
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_table, p4_found, p4_records, p4_schema, p4_groups)}
+FLAT = {"p4_groups": "/groups", "p4_members": "/groups/members", "p4_false_negatives": "/false_negatives", "p4_per_class": "/per_class/*", "p4_variants": "/variants/*", "p4_configs": "/configs/*"}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_table, p4_found, p4_records, p4_schema, p4_links)} | {name: _flat(path) for name, path in FLAT.items()}
 SQL = {
     "p1_found": """
 WITH RECURSIVE f AS (
@@ -99,4 +110,17 @@ WITH RECURSIVE d AS (
   FROM t, json_each(t.v) e WHERE t.kind IN ('OBJECT', 'ARRAY') AND e.type IN ('OBJECT', 'ARRAY')
 )
 SELECT report_id, path AS child_path, holder AS parent_path FROM t WHERE kind = 'OBJECT' AND path <> ''""",
+    "p4_links": r"""
+WITH RECURSIVE d AS (
+  SELECT report_id, any_value(regexp_replace(body, '([:,\[]\s*)-?(NaN|Infinity)', '\1 0', 'g')) AS body FROM report_docs WHERE report_id IS NOT NULL GROUP BY report_id
+), t AS (
+  SELECT report_id, '' AS path, '' AS tab, '' AS pos, '' AS holder, '' AS holder_tab, CAST(body AS JSON) AS v, json_type(CAST(body AS JSON)) AS kind FROM d WHERE json_valid(body)
+  UNION ALL
+  SELECT report_id, t.path || '/' || k, CASE WHEN t.kind = 'OBJECT' THEN t.tab || '/' || k ELSE t.tab END,
+    CASE WHEN t.kind = 'OBJECT' THEN '' WHEN t.pos = '' THEN k ELSE t.pos || ',' || k END,
+    CASE WHEN t.kind = 'OBJECT' THEN t.path ELSE t.holder END, CASE WHEN t.kind = 'OBJECT' THEN t.tab ELSE t.holder_tab END, w, ty
+  FROM t, (SELECT replace(replace(e.key, '~', '~0'), '/', '~1') AS k, e.value AS w, e.type AS ty FROM json_each(t.v) e) x
+  WHERE t.kind IN ('OBJECT', 'ARRAY') AND ty IN ('OBJECT', 'ARRAY')
+)
+SELECT report_id, tab AS "table", path AS child_path, pos AS ordinal, holder_tab AS parent_table, holder AS parent_path FROM t WHERE kind = 'OBJECT' AND path <> ''""",
 }

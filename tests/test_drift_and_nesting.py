@@ -155,11 +155,26 @@ def test_very_deep_and_long_bodies(spark):
 
 def test_flat_tables_link_to_their_parents(spark):
     rows = [(1, json.dumps({"groups": [{"keep": "a", "members": [{"id": 1}, {"id": 2}]}, {"keep": "b"}]}), "", ""), (2, json.dumps({"groups": {"keep": "c", "n": 1}}), "", "")]
-    recs = nested.records(spark.createDataFrame(rows, DOCS), "report_id", "body")
-    schema = {(r.table, r.column): (list(r.kinds), r.optional) for r in nested.merged_schema(recs).collect()}
-    assert schema["/groups", "keep"] == (["string"], False) and schema["/groups", "n"] == (["number"], True) and schema["/groups/members", "id"][0] == ["number"]
-    g = nested.flat_table(recs, "/groups", [("keep", ["string"]), ("n", ["number"])]).collect()
-    m = nested.flat_table(recs, "/groups/members", [("id", ["number"])]).collect()
-    keep = {r.record_key: r["0_keep"] for r in g}
+    docs = spark.createDataFrame(rows, DOCS)
+    merged = nested.merged_schema(docs, "report_id", "body")
+    schema = {(r.table, r.column): (list(r.kinds), r.optional, r.parent_table) for r in merged.collect()}
+    assert schema["/groups", "keep"] == (["string"], False, "") and schema["/groups", "n"][:2] == (["number"], True) and schema["/groups/members", "id"][::2] == (["number"], "/groups")
+    recs = nested.records(docs, "report_id", "body", merged)
+    g, m = nested.flat_table(recs, merged, "/groups").collect(), nested.flat_table(recs, merged, "/groups/members").collect()
+    keep = {r.record_key: r.keep for r in g}
     assert [keep[r.parent_key] for r in m] == ["a", "a"] and {tuple(r.ordinal) for r in m} == {(0,), (1,)}
-    assert {(r["0_keep"], tuple(r.ordinal), r["1_n"]) for r in g} == {("a", (0,), None), ("b", (1,), None), ("c", (), 1.0)}
+    assert {(r.keep, tuple(r.ordinal), r.n) for r in g} == {("a", (0,), None), ("b", (1,), None), ("c", (), 1.0)}
+
+
+def test_many_columns_and_keys_that_are_data(spark, monkeypatch):
+    rows = [(1, json.dumps({"per": {f"k{i}": {"v": i, f"c{i}": i} for i in range(1200)}, "plain": [[1, 2], [3]], "mixed": [1, {"x": 2}, [{"y": 3}, 4]]}), "", "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    merged = nested.merged_schema(docs, "report_id", "body")
+    got = nested.flat_table(nested.records(docs, "report_id", "body", merged), merged, "/per/*").collect()
+    assert len(got) == 1200 and all(r.v == int(r.member[1:]) for r in got)
+    assert sum(f"c{r.member[1:]}" in r.more_fields for r in got) == 201 and len(got[0]) == 1006  # 1201 columns, 1000 of them wide
+    plain = lambda: {(r.table, r.path): (r.fields, tuple(r.ordinal)) for r in nested.records(docs, "report_id", "body").collect()}
+    one = plain()
+    assert one["", ""][0] == {"plain": "[[1,2],[3]]", "mixed": "[1,4]"} and one["/mixed", "/mixed/2/0"] == ({"y": "3"}, (2, 0))
+    monkeypatch.setattr(nested, "MAX_TABLES", 3)
+    assert plain() == one
