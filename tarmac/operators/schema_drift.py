@@ -44,7 +44,7 @@ from tarmac.session import cut
 
 TYPES = ("number", "string", "boolean", "array")
 MIN_RUNS = 2
-DAMP_STEPS, SETTLED = 200, 1e-4
+DAMP_STEPS, SETTLED = 200, 1e-3
 
 FIELD = T.StructType([
     T.StructField("file_id", T.LongType()), T.StructField("campaign", T.StringType()), T.StructField("batch_no", T.IntegerType()), T.StructField("run", T.StringType()),
@@ -93,6 +93,7 @@ def runs_of(files: DataFrame) -> DataFrame:
 PART = "campaign string, batch_no int, field string, run string, triple binary, mask int, " + ", ".join(f"{k}{i} long" for k in ("back", "ahead") for i in range(3))
 PRIME = (1 << 61) - 1
 FLUSH = 100_000
+SPREAD_FILES = 10_000  # files of one batch that share a task
 
 
 def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,12 +147,16 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def transitions(files: DataFrame) -> DataFrame:
     """Per campaign, later batch and field: types before and after, evidence before and after."""
     base = files.filter("file_id is not null and campaign is not null and batch_no is not null")
-    base = base.select("campaign", F.col("batch_no").cast("int").alias("batch_no"), "run", "body")
+    base = base.select("file_id", "campaign", F.col("batch_no").cast("int").alias("batch_no"), "run", "body")
     runs = cut(runs_of(base))
     r = runs.select(F.col("campaign").alias("c_"), F.col("batch_no").alias("b_"), F.col("run").alias("r_"), "n_files", "in_prev", "in_next")
     # Bodies of runs that parse; a body that doesn't is skipped by the worker.
     with_flags = base.join(r, (F.col("campaign") == F.col("c_")) & (F.col("batch_no") == F.col("b_")) & F.col("run").eqNullSafe(F.col("r_")))
-    part = with_flags.select("campaign", "batch_no", "run", "body", "n_files", "in_prev", "in_next").mapInPandas(_evidence, PART)
+    # Files of a batch meet, so that its fields add up inside the worker; a large batch is spread over as many tasks as it needs.
+    salts = runs.groupBy("campaign", "batch_no").agg((F.sum("n_files") / SPREAD_FILES).cast("int").alias("salts"))
+    with_flags = with_flags.select("campaign", "batch_no", "run", "body", "n_files", "in_prev", "in_next", F.xxhash64("file_id").alias("h")).join(salts, ["campaign", "batch_no"])
+    together = with_flags.repartition("campaign", "batch_no", F.pmod("h", F.col("salts") + 1))
+    part = together.select("campaign", "batch_no", "run", "body", "n_files", "in_prev", "in_next").mapInPandas(_evidence, PART)
     nums = [f"{k}{i}" for k in ("back", "ahead") for i in range(3)]
     wide = lambda c: F.col(c).cast("decimal(38,0)")
     # Repeated triples of one run count once; sums of the others add up.
@@ -240,13 +245,14 @@ def flood(old: dict[str, tuple], new: dict[str, tuple], steps: int = DAMP_STEPS)
     ra, rb = np.argsort(pa[1:], kind="stable") + 1, np.argsort(pb[1:], kind="stable") + 1
     ga, gb = (np.flatnonzero(np.r_[True, p[r][1:] != p[r][:-1]]) if len(r) else np.empty(0, int) for p, r in ((pa, ra), (pb, rb)))
     ua, ub = pa[ra][ga], pb[rb][gb]
+    above, runs, into = np.ix_(pa[1:], pb[1:]), np.ix_(ra, rb), np.ix_(ua, ub)
     now, types = start.copy(), 0.0
     for _ in range(steps):
         s = start + now
         nxt = s + same_type * (types / n_type)  # the pair of equal types feeds its fields
         if len(ra) and len(rb):
-            nxt[1:, 1:] += (s * share)[np.ix_(pa[1:], pb[1:])]  # a pair of objects feeds its member pairs, in equal parts
-            nxt[np.ix_(ua, ub)] += np.add.reduceat(np.add.reduceat(s[np.ix_(ra, rb)], ga, axis=0), gb, axis=1)  # each member pair feeds its objects
+            nxt[1:, 1:] += (s * share)[above]  # a pair of objects feeds its member pairs, in equal parts
+            nxt[into] += np.add.reduceat(np.add.reduceat(s[runs], ga, axis=0), gb, axis=1)  # each member pair feeds its objects
         types = (s * same_type).sum() / n_type
         c = nxt.max()
         nxt /= c
