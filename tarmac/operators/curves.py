@@ -10,36 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.operators.components import running
+from tarmac.operators.components import ranges, running
 from tarmac.session import cut
 
-BUCKETS = 64  # a class of a billion detections still runs in windows of some 16 million rows
 GRID = 1000
 
 
-def _bucket(conf: str = "conf"):
-    """Grows as confidence falls."""
-    return F.lit(BUCKETS) - F.floor(F.col(conf) * BUCKETS).cast("int")
-
-
 def ranked(pred: DataFrame) -> DataFrame:
-    """pred: subset, cls, pred_id, conf. Adds rank by falling confidence within subset and class."""
-    return running(pred, ["subset", "cls"], [F.desc("conf"), F.col("pred_id")], _bucket(), F.lit(1).cast("long"), "rank")
+    """pred: subset, cls, pred_id, conf. Adds rank by falling confidence within subset and class, and part, the range it lies in.
+
+    Ranges follow the confidences that there are, so it doesn't matter how these are distributed.
+    """
+    order = [F.desc("conf"), F.col("pred_id")]
+    return running(ranges(pred, ["subset", "cls", *order]), ["subset", "cls"], order, F.lit(1).cast("long"), "rank")
 
 
 def curve_points(ranks: DataFrame, tps: DataFrame, n_gt: DataFrame) -> DataFrame:
     """subset, cls, thr, k (true positives so far), rank, recall, precision, envelope at every true positive.
 
-    ranks: subset, cls, pred_id, conf, rank. tps: pred_id, thr. n_gt: subset, cls, n.
+    ranks: as `ranked` gives them. tps: pred_id, thr. n_gt: subset, cls, n.
     """
-    t = tps.select("pred_id", "thr").join(ranks, "pred_id")
-    t = running(t, ["subset", "cls", "thr"], [F.col("rank")], _bucket(), F.lit(1).cast("long"), "k")
-    t = t.join(n_gt, ["subset", "cls"]).withColumn("recall", F.col("k") / F.col("n")).withColumn("precision", F.col("k") / F.col("rank"))
-    return running(t, ["subset", "cls", "thr"], [F.desc("rank")], _bucket(), F.col("precision"), "envelope", "max", reverse=True)
+    t = cut(tps.select("pred_id", "thr").join(ranks, "pred_id"))
+    t = running(t, ["subset", "cls", "thr"], [F.col("rank")], F.lit(1).cast("long"), "k")
+    t = cut(t.join(n_gt, ["subset", "cls"]).withColumn("recall", F.col("k") / F.col("n")).withColumn("precision", F.col("k") / F.col("rank")))
+    return running(t, ["subset", "cls", "thr"], [F.desc("rank")], F.col("precision"), "envelope", "max", reverse=True)
 
 
 def masks(tps: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
-    """pred_id, mask: the thresholds at which a detection is true, as bits."""
+    """pred_id, mask: the thresholds at which a detection is true, as bits. tps: pred_id and mask, or pred_id and thr."""
+    if "mask" in tps.columns:
+        return tps.select("pred_id", "mask")
     bit = F.lit(0)
     for i, t in enumerate(thresholds):
         bit = F.when(F.abs(F.col("thr") - t) < 1e-9, F.lit(1 << i)).otherwise(bit)
@@ -50,14 +50,14 @@ def average_precision(ranks: DataFrame, tps: DataFrame, n_gt: DataFrame, thresho
     """subset, cls, thr, ap for every class with ground truth: the envelope at 101 recalls, joined by trapezoids.
 
     A class without detections has 0; a class without ground truth is left out. All thresholds run
-    in one row per detection: counts forwards, envelopes backwards, both within confidence buckets
-    and shifted by the buckets before them. A segment between true positives is spelled out only if
+    in one row per detection: counts forwards, envelopes backwards, both within ranges of
+    confidence and shifted by the ranges before them. A segment between true positives is spelled out only if
     one of the 101 recalls lies in it.
     """
     n = len(thresholds)
     flag = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
     key = ["subset", "cls"]
-    rows = cut(ranks.join(masks(tps, thresholds), "pred_id").select(*key, _bucket().alias("_b"), "rank", "mask"))
+    rows = cut(ranks.join(masks(tps, thresholds), "pred_id").select(*key, F.col("part").alias("_b"), "rank", "mask"))
     w = Window.partitionBy(*key, "_b").orderBy("rank")
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # Rows that are true nowhere are gone; the one before a row counts as its neighbour only if its rank is one less.
@@ -102,11 +102,17 @@ def confidence_curves(ranks: DataFrame, tps: DataFrame, n_gt: DataFrame) -> Data
 
     Above the greatest confidence precision is 1 and recall 0; below the least they stay as they end.
     """
-    t = ranks.join(tps.filter("thr = 0.5").select("pred_id", F.lit(1).cast("long").alias("tp")), "pred_id", "left").withColumn("tp", F.coalesce("tp", F.lit(0).cast("long")))
-    t = running(t, ["subset", "cls"], [F.col("rank")], _bucket(), F.col("tp"), "k").join(n_gt, ["subset", "cls"])
-    t = cut(t.select("subset", "cls", "conf", "rank", (F.col("k") / F.col("n")).alias("r"), (F.col("k") / F.col("rank")).alias("p")))
-    nxt = t.select("subset", "cls", (F.col("rank") - 1).alias("rank"), F.col("conf").alias("c1"), F.col("r").alias("r1"), F.col("p").alias("p1"))
-    s = t.join(nxt, ["subset", "cls", "rank"], "left")
+    key = ["subset", "cls"]
+    half = tps.filter("mask & 1 <> 0") if "mask" in tps.columns else tps.filter("thr = 0.5")
+    t = cut(ranks.join(half.select("pred_id", F.lit(1).cast("long").alias("tp")), "pred_id", "left").withColumn("tp", F.coalesce("tp", F.lit(0).cast("long"))))
+    t = running(t, key, [F.col("rank")], F.col("tp"), "k").join(n_gt, key)
+    t = cut(t.select(*key, "part", "conf", "rank", (F.col("k") / F.col("n")).alias("r"), (F.col("k") / F.col("rank")).alias("p")))
+    # The next detection is the next row of the range, or the first of the next range that the class has.
+    point = F.struct("conf", "r", "p")
+    firsts = t.groupBy(*key, "part").agg(F.min_by(point, "rank").alias("first"))
+    firsts = firsts.select(*key, "part", F.lead("first").over(Window.partitionBy(*key).orderBy("part")).alias("after"))
+    s = t.withColumn("next", F.lead(point).over(Window.partitionBy(*key, "part").orderBy("rank"))).join(firsts, [*key, "part"])
+    s = s.withColumn("next", F.coalesce("next", "after")).select(*key, "conf", "r", "p", F.col("next.conf").alias("c1"), F.col("next.r").alias("r1"), F.col("next.p").alias("p1"))
     step = 1.0 / (GRID - 1)
     lo = F.when(F.col("c1").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(F.col("c1") * (GRID - 1)).cast("int")))
     s = s.withColumn("i", F.explode(F.sequence(lo, F.least(F.lit(GRID - 1), F.ceil(F.col("conf") * (GRID - 1)).cast("int"))))).withColumn("x", F.col("i") * step)

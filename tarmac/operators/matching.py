@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import geometry as G
+from tarmac.operators.components import least_labels
+from tarmac.session import cut
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 CELL = 1024
@@ -34,30 +36,49 @@ def overlaps(gt: DataFrame, pred: DataFrame, least: float = 0.5, single: bool =
     return pair.withColumn("iou", value).filter((F.col("iou") >= least) & (F.col("iou") > 0)).select("image_id", "cls", "gt_id", "pred_id", "conf", "iou")
 
 
-def true_positives(pairs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """image_id, cls, thr, gt_id, pred_id: each detection takes its best ground truth, each ground truth its most confident detection.
+def true_masks(pairs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """image_id, cls, gt_id, pred_id, mask: the thresholds, as bits, at which a detection is true.
 
-    The best ground truth of a detection is the same at every threshold that it reaches, so it is
-    chosen once and the thresholds are exploded after.
+    Each detection takes its best ground truth, each ground truth its most confident detection. The
+    best ground truth is the same at every threshold a detection reaches, so it is chosen once; a
+    detection then is true at the thresholds up to its overlap that no more confident one has reached.
     """
     w = Window.partitionBy("image_id", "cls", "pred_id").orderBy(F.desc("iou"), "gt_id")
-    best = pairs.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
-    thr = F.array(*(F.lit(float(t)) for t in thresholds))
-    each = best.withColumn("thr", F.explode(F.filter(thr, lambda t: t <= F.col("iou"))))
-    w = Window.partitionBy("image_id", "cls", "thr", "gt_id").orderBy(F.desc("conf"), "pred_id")
-    return each.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("image_id", "cls", "thr", "gt_id", "pred_id")
+    best = pairs.withColumn("_k", F.row_number().over(w)).filter("_k = 1")
+    before = F.max("iou").over(Window.partitionBy("image_id", "cls", "gt_id").orderBy(F.desc("conf"), "pred_id").rowsBetween(Window.unboundedPreceding, -1))
+    best = best.withColumn("_had", F.coalesce(before, F.lit(-1.0)))
+    mask = F.lit(0)
+    for i, t in enumerate(thresholds):
+        mask = mask + F.when((F.col("iou") >= t) & (F.col("_had") < t), 1 << i).otherwise(0)
+    return best.select("image_id", "cls", "gt_id", "pred_id", mask.alias("mask")).filter("mask <> 0")
+
+
+def exploded(masks: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """One row per threshold (thr) of a mask."""
+    each = F.array(*(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(float(t))) for i, t in enumerate(thresholds)))
+    return masks.withColumn("thr", F.explode(F.array_compact(each))).drop("mask")
+
+
+def true_positives(pairs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """image_id, cls, thr, gt_id, pred_id of all true detections at every threshold."""
+    return exploded(true_masks(pairs, thresholds), thresholds).select("image_id", "cls", "thr", "gt_id", "pred_id")
 
 
 def greedy(gt: DataFrame, pred: DataFrame, min_conf: float = 0.25, least: float = 0.5) -> DataFrame:
     """image_id, cls, gt_id, pred_id of the matcher that takes detections by confidence, each its best ground truth still free.
 
-    Only overlapping pairs reach the sequential step; its groups are one image's pairs of one class.
+    Only overlapping pairs reach the sequential step, and each chain of pairs that share a box is settled by itself,
+    so an image of any number of boxes meets no task as a whole.
     """
     pairs = overlaps(gt, pred, least).filter(F.col("conf") >= min_conf)
     kind = dict(pairs.dtypes)
     # Sorting is the engine's: falling confidence, detection, falling overlap, ground truth.
     line = F.struct((-F.col("conf")).alias("c"), F.col("pred_id").alias("p"), (-F.col("iou")).alias("i"), F.col("gt_id").alias("g"))
-    lists = pairs.groupBy("image_id", "cls").agg(F.array_sort(F.collect_list(line)).alias("l")).select("image_id", "cls", F.col("l.p").alias("p"), F.col("l.g").alias("g"))
+    pairs = cut(pairs)
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    chains = least_labels(pairs.select("image_id", "cls", node("g", "gt_id").alias("a"), node("p", "pred_id").alias("b")), near=["image_id", "cls"])
+    pairs = pairs.withColumn("node", node("g", "gt_id")).join(chains, "node")
+    lists = pairs.groupBy("image_id", "cls", "label").agg(F.array_sort(F.collect_list(line)).alias("l")).select("image_id", "cls", F.col("l.p").alias("p"), F.col("l.g").alias("g"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.operators.components import numbered
+
 
 def groups_of(images: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """country, group_key, size; images without a cluster stand alone. images: image_id, country."""
@@ -18,33 +20,36 @@ def groups_of(images: DataFrame, clusters: DataFrame | None = None) -> DataFrame
 
 
 def greedy_split(grouped: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """country, group_key, split: groups in hashed order move to val while that brings the country closer to its share.
+    """country, group_key, split: which groups of each country go to val, in hashed order.
+
+    With v images in val so far and a target of fraction times the country's images, a group of n
+    goes to val if it halves the way or more: v + n - target < target - v. A country always keeps a
+    group in train. Order is a hash of seed and key, so it doesn't depend on the order of the input.
 
-    The last group stays in train if train is empty, a country of one group is all train. The scan
-    is sequential by nature and runs per country over (group, size) pairs, not over rows. Order is a
-    hash of seed and key, so it doesn't depend on the order of the input.
+    The rule looks at one group after the other. The engine sorts (and spills) the groups of a
+    country, which then stream by: a country of any size takes constant memory.
     """
     sizes = grouped.groupBy("country", "group_key").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), "group_key"), 256))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h")
-        total = int(pdf["n"].sum())
-        target = total * fraction
-        val, train_empty, out = 0, True, []
-        for i, (k, n) in enumerate(zip(pdf["group_key"], pdf["n"], strict=True)):
-            stop = i == len(pdf) - 1 and train_empty and len(pdf) > 1
-            if abs(val + n - target) < abs(val - target) and not stop:
-                val += n
-                out.append((key[0], k, "val"))
-            else:
-                train_empty = False
-                out.append((key[0], k, "train"))
-        if train_empty:
-            out = [(c, k, "train") for c, k, _ in out]
-        return pd.DataFrame(out, columns=["country", "group_key", "split"])
-
-    return sizes.groupBy("country").applyInPandas(run, "country string, group_key string, split string")
+    of_country = sizes.groupBy(F.col("country").alias("_c")).agg((F.sum("n") * F.lit(fraction)).alias("target"), F.count("*").alias("groups"))
+    line = sizes.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), "group_key"), 256)).join(of_country, F.col("country").eqNullSafe(F.col("_c")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = object()
+        val = left = 0
+        kept = False  # whether train has a group
+        for pdf in batches:
+            out = []
+            for country, n, target, groups in zip(pdf["country"], pdf["n"], pdf["target"], pdf["groups"], strict=True):
+                if country != now:
+                    now, val, left, kept = country, 0, groups, False
+                left -= 1
+                closer = val + n - target < target - val and (kept or left > 0)
+                val += n if closer else 0
+                kept = kept or not closer
+                out.append("val" if closer else "train")
+            yield pd.DataFrame({"country": pdf["country"], "group_key": pdf["group_key"], "split": out})
+
+    return line.repartition("country").sortWithinPartitions("country", "h").select("country", "group_key", "n", "target", "groups").mapInPandas(run, "country string, group_key string, split string")
 
 
 def stream_hash(df: DataFrame, key: str, order: Column, text: Column, between: str = "", after: str = "") -> DataFrame:
@@ -91,5 +96,5 @@ def name_hashes(df: DataFrame, key: str, names: str = "name") -> DataFrame:
 def tail_split(names: DataFrame, key: str, fraction: float) -> DataFrame:
     """The last max(1, round(n * fraction)) names of each key are val, the others train. names: key, name."""
     n = names.groupBy(key).agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(fraction), 0).cast("long")).alias("_v"), F.count("*").alias("_n"))
-    w = Window.partitionBy(key).orderBy("name")
-    return names.join(n, key).withColumn("_k", F.row_number().over(w)).withColumn("split", F.when(F.col("_k") > F.col("_n") - F.col("_v"), "val").otherwise("train")).drop("_k", "_n", "_v")
+    placed = numbered(names, ["name"], "_k", keys=[key])
+    return placed.join(n, key).withColumn("split", F.when(F.col("_k") > F.col("_n") - F.col("_v"), "val").otherwise("train")).drop("_k", "_n", "_v")

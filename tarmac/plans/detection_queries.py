@@ -136,7 +136,7 @@ def g9_canvas(spark, sf):
 
 FRAG = """fr AS (SELECT t.image_id, t.width, t.height, d.cls, d.conf, d.pred_id || ':' || lpad(CAST(tile_index AS VARCHAR), 4, '0') AS det_id, tile_index, tx0, ty0, tx1, ty1, greatest(d.x0, tx0) AS x0, greatest(d.y0, ty0) AS y0, least(d.x1, tx1) AS x1, least(d.y1, ty1) AS y1,
   CAST((least(d.x1, tx1) - greatest(d.x0, tx0)) * (least(d.y1, ty1) - greatest(d.y0, ty0)) AS DOUBLE) / ((d.x1 - d.x0) * (d.y1 - d.y0)) AS retained
-  FROM dd d JOIN ti t USING (image_id) WHERE d.x1 > d.x0 AND d.y1 > d.y0 AND least(d.x1, tx1) > greatest(d.x0, tx0) AND least(d.y1, ty1) > greatest(d.y0, ty0)), f AS (SELECT * FROM fr WHERE retained >= 0.1)"""
+  FROM dd d JOIN ti t USING (image_id) WHERE d.x1 > d.x0 AND d.y1 > d.y0 AND least(d.x1, tx1) > greatest(d.x0, tx0) AND least(d.y1, ty1) > greatest(d.y0, ty0)), f AS MATERIALIZED (SELECT * FROM fr WHERE retained >= 0.1)"""
 
 
 # --- matching and curves -----------------------------------------------------------------------
@@ -177,17 +177,12 @@ def _fold(name, conf):
 def scored(spark, sf):
     """ranks, true positives and ground truth counts of all images and of each country."""
     gt, pred = d_annotations(spark, sf), d_detections(spark, sf)
-    tps = cut(matching.true_positives(matching.overlaps(gt, pred)).select("pred_id", "thr"))
+    tps = cut(matching.true_masks(matching.overlaps(gt, pred)).select("pred_id", "mask"))
     country = d_images(spark, sf).select("image_id", "country")
     both = F.explode(F.array(F.lit("ALL"), F.col("country"))).alias("subset")
     n_gt = gt.join(country, "image_id").select(both, "cls").groupBy("subset", "cls").agg(F.count("*").alias("n"))
     p = pred.join(country, "image_id").select(both, "cls", "pred_id", "conf")
-    return cut(curves.ranked(p)), tps.select("pred_id", "thr"), n_gt
-
-
-def pooled(ranks, tps, n):
-    """The same over all images only."""
-    return ranks.filter("subset = 'ALL'"), tps, n.filter("subset = 'ALL'")
+    return cut(curves.ranked(p)), tps, n_gt
 
 
 @query(sql("di da dd", f", {IOU} SELECT gt_id, pred_id, round(iou, 6) AS iou FROM pi"))
@@ -218,12 +213,12 @@ def w4_true_positives(spark, sf):
     return t.select("thr", "gt_id", "pred_id")
 
 
-@query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE} SELECT subset, cls, pred_id, CAST(rk AS BIGINT) AS rank, CAST(tpc AS BIGINT) AS k, round(tpc / CAST(n AS DOUBLE), 6) AS recall, round(tpc / CAST(rk AS DOUBLE), 6) AS precision FROM cu JOIN tp USING (pred_id, thr) WHERE thr = 0.5 AND subset = 'ALL'").replace("SELECT subset, cls, pred_id", "SELECT cu.subset, cu.cls, cu.pred_id"))
+@query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE} SELECT cu.subset, cu.cls, cu.thr, cu.pred_id, CAST(rk AS BIGINT) AS rank, CAST(tpc AS BIGINT) AS k, tpc / CAST(n AS DOUBLE) AS recall, tpc / CAST(rk AS DOUBLE) AS precision FROM cu JOIN tp USING (pred_id, thr)"))
 def w5_precision_recall(spark, sf):
     """w6: the points of the curve at the true positives."""
     ranks, tps, n = scored(spark, sf)
-    c = curves.curve_points(ranks.filter("subset = 'ALL'"), tps.filter("thr = 0.5"), n)
-    return c.select("subset", "cls", "pred_id", "rank", "k", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+    c = curves.curve_points(ranks, matching.exploded(tps), n)
+    return c.select("subset", "cls", "thr", "pred_id", "rank", "k", "recall", "precision")
 
 
 @query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE} SELECT subset, cls, thr, round(ap, 6) AS ap FROM ap"))
@@ -246,10 +241,10 @@ c2 AS (SELECT subset, cls, i, p + coalesce((conf - i / 999.0) / (conf - c1) * (p
 c3 AS (SELECT sg.subset, sg.cls, q.i, CASE WHEN h.cls IS NULL THEN 0.0 ELSE coalesce(c2.p, 1.0) END AS p, coalesce(c2.r, 0.0) AS r FROM sg JOIN range(1000) q(i) ON TRUE LEFT JOIN (SELECT DISTINCT subset, cls FROM sd) h ON h.subset = sg.subset AND h.cls = sg.cls LEFT JOIN c2 ON c2.subset = sg.subset AND c2.cls = sg.cls AND c2.i = q.i)"""
 
 
-@query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE}, {CONF} SELECT subset, cls, CAST(i AS INTEGER) AS i, round(p, 5) AS p, round(r, 5) AS r FROM c3 WHERE subset = 'ALL'").replace("SELECT subset, cls, CAST(i", "SELECT c3.subset, c3.cls, CAST(i"))
+@query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE}, {CONF} SELECT subset, cls, CAST(i AS INTEGER) AS i, round(p, 5) AS p, round(r, 5) AS r FROM c3").replace("SELECT subset, cls, CAST(i", "SELECT c3.subset, c3.cls, CAST(i"))
 def w9_confidence_curves(spark, sf):
     ranks, tps, n = scored(spark, sf)
-    c = curves.confidence_curves(*pooled(ranks, tps, n))
+    c = curves.confidence_curves(ranks, tps, n)
     return c.select("subset", "cls", "i", F.round("p", 5).alias("p"), F.round("r", 5).alias("r"))
 
 
@@ -325,14 +320,6 @@ def tile_detections(spark, sf):
                     full("x0", "tx0"), full("y0", "ty0"), full("x1", "tx0"), full("y1", "ty0"), "tx0", "ty0", "tx1", "ty1")
 
 
-@query()
-def g8_stitch(spark, sf):
-    """Fragments joined across seams; whole images pass through."""
-    d = cut(tile_detections(spark, sf))
-    s = tiling.stitch(d)
-    return s.select("group_id", "image_id", "cls", F.round("score", 6).alias("score"), "x0", "y0", "x1", "y1", "n_parts", "tiles")
-
-
 @query(sql("di da dd", f""", {TILES}, {FRAG}, no AS (SELECT image_id, cls, det_id, struct_pack(a := CAST(x0 AS DOUBLE), b := CAST(y0 AS DOUBLE), c := CAST(x1 AS DOUBLE), d := CAST(y1 AS DOUBLE)) AS bx, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf * retained DESC, det_id) AS rn FROM f),
 nr(image_id, cls, rn, kept, det_id, took) AS (
   SELECT DISTINCT image_id, cls, CAST(0 AS BIGINT), CAST([] AS STRUCT(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE)[]), '', false FROM no

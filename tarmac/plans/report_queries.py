@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarmac.functions import labels as L
 from tarmac.operators import curves, gates, matching, tiling
 from tarmac.plans.base import annotations, images, split_name, sql
-from tarmac.plans.detection_queries import CLIPPED, CURVE, FRAG, IOU, SUBSETS, TILES, TP, pooled, scored, tile_detections, tiles_and_boxes
+from tarmac.plans.detection_queries import CLIPPED, CURVE, FRAG, IOU, SUBSETS, TILES, TP, scored, tile_detections, tiles_and_boxes
 from tarmac.session import cut, table
 from tarmac.sources import config
 
@@ -147,7 +147,9 @@ def _seam(l, r, ends, along, across):
 SEAM = f"((CASE WHEN a.x0 <= b.x0 THEN {_seam('a', 'b', ('right', 'left'), 'x', 'y')} ELSE {_seam('b', 'a', ('right', 'left'), 'x', 'y')} END) OR (CASE WHEN a.y0 <= b.y0 THEN {_seam('a', 'b', ('bottom', 'top'), 'y', 'x')} ELSE {_seam('b', 'a', ('bottom', 'top'), 'y', 'x')} END))"
 INTER = f"CAST({LAP('a', 'b', 'x')} * {LAP('a', 'b', 'y')} AS DOUBLE)"
 AREA = "(({t}.x1 - {t}.x0) * ({t}.y1 - {t}.y0))"
-LINK = f"""lk0 AS (SELECT a.det_id AS a, b.det_id AS b FROM f a JOIN f b ON a.image_id = b.image_id AND a.cls = b.cls AND a.det_id < b.det_id AND a.tile_index <> b.tile_index
+LINK = f"""fx AS MATERIALIZED (SELECT f.*, unnest(generate_series(CAST(floor((x0 - 9) / 512) AS BIGINT), CAST(floor((x1 + 9) / 512) AS BIGINT))) AS cx FROM f),
+fc AS MATERIALIZED (SELECT *, unnest(generate_series(CAST(floor((y0 - 9) / 512) AS BIGINT), CAST(floor((y1 + 9) / 512) AS BIGINT))) AS cy FROM fx),
+lk0 AS MATERIALIZED (SELECT DISTINCT a.det_id AS a, b.det_id AS b FROM fc a JOIN fc b ON a.image_id = b.image_id AND a.cls = b.cls AND a.cx = b.cx AND a.cy = b.cy AND a.det_id < b.det_id AND a.tile_index <> b.tile_index
   WHERE {INTER} / ({AREA.format(t='a')} + {AREA.format(t='b')} - {INTER}) >= 0.5 OR ({INTER} / least({AREA.format(t='a')}, {AREA.format(t='b')}) >= 0.7 AND ({ANY.format(t='a')} OR {ANY.format(t='b')})) OR {SEAM})"""
 
 
@@ -161,7 +163,7 @@ def g6_truncated(spark, sf):
 @query(sql("di da dd", f", {TILES}, {FRAG}, {LINK} SELECT a, b FROM lk0"))
 def g7_seam_relations(spark, sf):
     """j9: fragments of one object in different tiles: duplicates, truncated views, seam continuations."""
-    return tiling.relations(cut(_fragments(spark, sf)))
+    return tiling.relations(cut(_fragments(spark, sf))).select("a", "b")
 
 
 @query(sql("di da dd", f", {TILES}, {FRAG}, {LINK}, e AS (SELECT a AS u, b AS v FROM lk0 UNION SELECT b, a FROM lk0), cc(n, l) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, cc.l FROM cc JOIN e ON cc.n = e.u), lb AS (SELECT n, min(l) AS label FROM cc GROUP BY n) SELECT coalesce(label, det_id) AS group_id, count(*) AS n_parts, CAST(greatest(0, min(x0)) AS DOUBLE) AS x0, CAST(least(max(width), max(x1)) AS DOUBLE) AS x1 FROM f LEFT JOIN lb ON n = det_id GROUP BY 1", True))
@@ -169,11 +171,17 @@ def g8_stitched_hulls(spark, sf):
     return tiling.stitch(cut(_fragments(spark, sf))).select("group_id", "n_parts", "x0", "x1")
 
 
-@query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE}, lv AS (SELECT cu.subset, cu.cls, cu.thr, i, max(tpc / CAST(rk AS DOUBLE)) AS m FROM cu JOIN range(101) g(i) ON tpc / CAST(n AS DOUBLE) * 100 + 1e-9 >= i WHERE cu.subset = 'ALL' GROUP BY ALL) SELECT sg.subset, sg.cls, th.thr, round(coalesce(sum(m), 0) / 101, 6) AS ap FROM sg JOIN th ON TRUE LEFT JOIN lv ON lv.subset = sg.subset AND lv.cls = sg.cls AND lv.thr = th.thr WHERE sg.subset = 'ALL' GROUP BY ALL"))
+@query(sql("di da dd", f", {TILES}, {FRAG}, {LINK}, e AS (SELECT a AS u, b AS v FROM lk0 UNION SELECT b, a FROM lk0), cc(n, l) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, cc.l FROM cc JOIN e ON cc.n = e.u), lb AS (SELECT n, min(l) AS label FROM cc GROUP BY n) SELECT coalesce(label, det_id) AS group_id, image_id, cls, round(max(conf * retained), 5) AS score, CAST(greatest(0, min(x0)) AS DOUBLE) AS x0, CAST(greatest(0, min(y0)) AS DOUBLE) AS y0, CAST(least(max(width), max(x1)) AS DOUBLE) AS x1, CAST(least(max(height), max(y1)) AS DOUBLE) AS y1, count(*) AS n_parts, array_to_string(list_sort(list(DISTINCT tile_index)), ',') AS tiles FROM f LEFT JOIN lb ON n = det_id GROUP BY 1, 2, 3", True))
+def g8_stitch(spark, sf):
+    """Fragments joined across seams; whole images pass through."""
+    return tiling.stitch(cut(_fragments(spark, sf))).withColumn("score", F.round("score", 5)).select("group_id", "image_id", "cls", "score", "x0", "y0", "x1", "y1", "n_parts", "tiles")
+
+
+@query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE}, lv AS (SELECT cu.subset, cu.cls, cu.thr, i, max(tpc / CAST(rk AS DOUBLE)) AS m FROM cu JOIN range(101) g(i) ON tpc / CAST(n AS DOUBLE) * 100 + 1e-9 >= i GROUP BY ALL) SELECT sg.subset, sg.cls, th.thr, round(coalesce(sum(m), 0) / 101, 6) AS ap FROM sg JOIN th ON TRUE LEFT JOIN lv ON lv.subset = sg.subset AND lv.cls = sg.cls AND lv.thr = th.thr GROUP BY ALL"))
 def w15_mean_of_recalls(spark, sf):
     """The independent scorer over the same matches."""
     ranks, tps, n = scored(spark, sf)
-    return curves.mean_of_recalls(*pooled(ranks, tps, n), matching.THRESHOLDS).withColumn("ap", F.round("ap", 6))
+    return curves.mean_of_recalls(ranks, matching.exploded(tps), n, matching.THRESHOLDS).withColumn("ap", F.round("ap", 6))
 
 
 @query(sql("im", "SELECT country, count(*) AS n FROM i WHERE country IS NOT NULL GROUP BY country ORDER BY n DESC, country LIMIT 10"))

@@ -60,41 +60,54 @@ def test_components_and_numbering(spark):
     assert [(r.v, r.i) for r in n.orderBy("k").collect()] == sorted((v, i) for i, v in enumerate(vals)) and {r.k for r in n.collect()} == set(range(500))
 
 
-def test_running_over_buckets(spark):
+def test_running_over_ranges_of_skewed_values(spark):
     rnd = random.Random(5)
-    rows = [("a" if rnd.random() < 0.8 else "b", rnd.random(), i, rnd.randint(-5, 9)) for i in range(400)]
-    df = spark.createDataFrame(rows, "k string, c double, i int, v int")
-    b = F.floor(F.col("c") * 7).cast("int")
-    s = {r.i: r.s for r in components.running(df, ["k"], [F.col("c")], b, F.col("v"), "s").collect()}
-    m = {r.i: r.s for r in components.running(df, ["k"], [F.desc("c")], b, F.col("v"), "s", "max", True).collect()}
+    # almost all values in a thousandth of their span, as confidences are
+    rows = [("a" if rnd.random() < 0.8 else "b", rnd.random() * (1 if i % 50 == 0 else 0.001), i, rnd.randint(-5, 9)) for i in range(400)]
+    df = components.ranges(spark.createDataFrame(rows, "k string, c double, i int, v int"), ["k", "c"])
+    sizes = [r["count"] for r in df.groupBy("part").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 200
+    s = {r.i: r.s for r in components.running(df, ["k"], [F.col("c")], F.col("v"), "s").collect()}
+    m = {r.i: r.s for r in components.running(df, ["k"], [F.desc("c")], F.col("v"), "s", "max", True).collect()}
+    n = {r.i: r.n for r in components.numbered(df.drop("part"), ["c"], "n", keys=["k"]).collect()}
     for k, c, i, _ in rows:
         assert s[i] == sum(v for q, d, _, v in rows if q == k and d <= c) and m[i] == max(v for q, d, _, v in rows if q == k and d >= c)
+        assert n[i] == sum(q == k and d <= c for q, d, *_ in rows)
 
 
-def test_greedy_split_like_brute_force_and_input_order(spark):
+def test_split_of_groups_keeps_its_promises(spark):
+    import hashlib
+    from itertools import accumulate
+
     rnd = random.Random(6)
-    rows = [(c, f"k{rnd.randint(0, n)}") for c, n in (("x", 60), ("y", 3), ("z", 0)) for _ in range(200)]
+    rows = [(c, f"k{rnd.randint(0, n)}") for c, n in (("x", 60), ("y", 3), ("z", 0), (None, 9)) for _ in range(200)] + [("one", f"solo{i}") for i in range(40)]
     df = spark.createDataFrame(rows, "country string, group_key string")
     got = {(r.country, r.group_key): r.split for r in splits.greedy_split(df, 0.15, 3).collect()}
+    assert len(got) == len(set(rows))  # each group is in one split
     assert got == {(r.country, r.group_key): r.split for r in splits.greedy_split(df.orderBy(F.rand(1)), 0.15, 3).collect()}
-    import hashlib
-
-    for c in "xyz":
-        sizes = {}
-        for q, k in rows:
-            if q == c:
-                sizes[k] = sizes.get(k, 0) + 1
-        order = sorted(sizes, key=lambda k: hashlib.sha256(f"3:{k}".encode()).hexdigest())
-        val = train = 0
-        for i, k in enumerate(order):
-            stop = i == len(order) - 1 and train == 0 and len(order) > 1
-            if abs(val + sizes[k] - 30) < abs(val - 30) and not stop:
-                assert got[c, k] == "val"
-                val += sizes[k]
-            else:
-                assert got[c, k] == "train"
-                train += sizes[k]
-        assert train > 0
+    for c in ("x", "y", "z", None, "one"):
+        mine = sorted((k for k in got if k[0] == c), key=lambda k: hashlib.sha256(f"3:{k[1]}".encode()).hexdigest())
+        size = [rows.count(k) for k in mine]
+        in_val = [got[k] == "val" for k in mine]
+        goal = 0.15 * sum(size)
+        filled = [0, *accumulate(n * v for n, v in zip(size, in_val, strict=True))]
+        off = [abs(f - goal) for f in filled]
+        assert "train" in {got[k] for k in mine}
+        for i, v in enumerate(in_val):
+            if v:  # a group went over because val came nearer to its share
+                assert off[i + 1] < off[i]
+            elif i < len(mine) - 1 or not all(in_val[:i]):  # one stayed because it wouldn't have
+                assert abs(filled[i] + size[i] - goal) >= off[i]
+
+
+def test_last_names_of_each_key(spark):
+    rnd = random.Random(8)
+    rows = [(k, f"n{rnd.randint(0, 10**6):06}") for k, n in (("a", 300), ("b", 1), ("c", 7), ("hot", 2000)) for _ in range(n)]
+    got = splits.tail_split(spark.createDataFrame(rows, "k string, name string"), "k", 0.1).collect()
+    assert len(got) == len(rows)
+    for k, v in (("a", 30), ("b", 1), ("c", 1), ("hot", 200)):
+        names = sorted(n for x, n in rows if x == k)
+        assert sorted(r.name for r in got if r.k == k and r.split == "val") == names[-v:]
 
 
 def test_hashes_of_ids(spark):
