@@ -8,9 +8,10 @@ grow with the logarithm of the longest chain. All steps are joins and partial ag
 keys; a hot entity only adds to a map-side minimum, never to a gathered group.
 
 The assignment is stratified: groups become units (each large group alone, small groups hashed
-into a bounded number of bins per main class), and units are placed largest first where the
-deviation of sizes and label counts from the targets stays least. Only unit totals reach the
-driver; their number is bounded by parameters, whatever the number of groups.
+into bins of their main class), and units are placed largest first where the deviation of sizes and
+label counts from the targets stays least. Only unit totals reach the driver: at most 1/LARGE_SHARE
+large groups and UNITS bins, or one bin per class where there are more classes than that, so their
+number doesn't grow with the groups. The splits of `targets` are all taken.
 
 Edge cases: records with null id are left out; records without entity stand alone; repeated rows
 count once; entities named by records that don't exist link nothing; empty tables give an empty
@@ -28,8 +29,7 @@ from tarmac.operators.components import least_labels
 from tarmac.session import cut
 
 LARGE_SHARE = 0.002  # at most 500 groups stand alone
-BINS = 64
-LABELS = 1000  # category ids beyond share a stratum by remainder, so units stay bounded
+UNITS = 4096  # bins of small groups, shared out among the classes
 
 
 def groups(images: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def groups(images: DataFrame, annotations: DataFrame) -> DataFrame:
 
     An entity is a string that sorts drives before objects: '0' + drive key or '1' + object id.
     """
-    drives = images.filter("id is not null").groupBy(F.col("id").alias("image_id")).agg(F.max(names.drive_key(F.col("file_name"))).alias("drive"))
+    drives = cut(images.filter("id is not null").groupBy(F.col("id").alias("image_id")).agg(F.max(names.drive_key(F.col("file_name"))).alias("drive")))
     objects = annotations.select("image_id", names.object_key(F.col("object_uid")).alias("object")).filter("object is not null and image_id is not null").distinct()
     seen = cut(objects.join(drives, "image_id").select("image_id", "object", "drive"))
     # Each image has one home: its drive, or else its least object. Its other entities link to that.
@@ -92,18 +92,19 @@ def place(units: list[tuple[str, int, dict]], targets: dict[str, float]) -> dict
 
 
 def assign(images: DataFrame, annotations: DataFrame, targets: DataFrame) -> DataFrame:
-    """image_id, group_key, split of every image. targets: split, fraction (at most 100 rows)."""
-    goal = {r.split: float(r.fraction) for r in targets.filter("split is not null and fraction > 0").limit(100).collect()}
+    """image_id, group_key, split of every image. targets: split, fraction."""
+    goal = {r.split: float(r.fraction) for r in targets.filter("split is not null and fraction > 0").collect()}
     if not goal:
         raise ValueError("no split has a positive fraction")
     g = cut(groups(images, annotations))
     n_images = g.count()
-    per_image = annotations.filter("image_id is not null").dropDuplicates(["id"]).groupBy("image_id", F.coalesce(F.pmod("category_id", F.lit(LABELS)), F.lit(-1)).alias("c")).agg(F.count("*").alias("n"))
+    per_image = annotations.filter("image_id is not null").dropDuplicates(["id"]).groupBy("image_id", F.coalesce(F.col("category_id").cast("long"), F.lit(-1)).alias("c")).agg(F.count("*").alias("n"))
     sizes = g.groupBy("group_key").agg(F.count("*").alias("size"))
-    labels = g.join(per_image, "image_id").groupBy("group_key", "c").agg(F.sum("n").alias("n"))
+    labels = cut(g.join(per_image, "image_id").groupBy("group_key", "c").agg(F.sum("n").alias("n")))
+    bins = max(1, UNITS // (labels.select("c").distinct().count() + 1))
     main = labels.groupBy("group_key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
     unit = F.when(F.col("size") > LARGE_SHARE * n_images, F.concat(F.lit("g:"), "group_key")).otherwise(
-        F.concat(F.lit("b:"), F.coalesce("main", F.lit(-2)), F.lit(":"), F.pmod(F.xxhash64("group_key"), F.lit(BINS))))
+        F.concat(F.lit("b:"), F.coalesce("main", F.lit(-2)), F.lit(":"), F.pmod(F.xxhash64("group_key"), F.lit(bins))))
     units = cut(sizes.join(main, "group_key", "left").select("group_key", "size", unit.alias("unit")))
     totals = {r.unit: int(r.n) for r in units.groupBy("unit").agg(F.sum("size").alias("n")).collect()}
     hists: dict[str, dict] = {u: {} for u in totals}

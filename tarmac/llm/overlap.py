@@ -10,9 +10,9 @@ one, so only that many probes, those with the rarest passages, look up evaluatio
 check follows: box pairs within the tolerance, then the largest one-to-one pairing.
 
 No step gathers a group that grows with the data: shards stream, tokens that a large share of the
-texts hold are spread over several shards, records with more than WIDE boxes skip the ordered
-choice of probes (all of theirs are probes), and only the box pairs of one candidate pair and one
-category are matched together.
+texts hold are spread over several shards, probes are numbered over ranges of (record, rarity), boxes
+meet in near vertical strips, and only box pairs that share boxes, directly or not, are matched
+together. All records go the same way, whatever their number of boxes.
 
 Edge cases: nulls in id, category, box or size, non-finite numbers, boxes without positive width or
 height and images without positive size give no box; images in no split take no part; repeated ids
@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.llm import names
+from tarmac.operators.components import least_labels, numbered
 from tarmac.session import cut
 
 TOLERANCE = 0.01
 CELL = 0.05  # side of a grid cell, a fraction of the image
 MIN_BOXES = 3
 SLACK = 1e-9  # for rounding in the grid only; the exact check has none
-WIDE = 4096
 SHARD_ROWS = 200_000
 SPREAD = 16
 
@@ -49,15 +49,15 @@ def need(n: Column) -> Column:
 
 
 def split_images(images: DataFrame) -> DataFrame:
-    """image_id, split, source, frame, w, h of every image in a split, once each."""
+    """Cut, as several steps read it: image_id, split, source, frame, w, h of every image in a split, once each."""
     src = F.lower(F.regexp_replace("source_dataset", r"[^0-9\p{L}]", "")) if "source_dataset" in images.columns else F.lit(None).cast("string")
     one = images.filter("id is not null").groupBy(F.col("id").alias("image_id")).agg(
         F.max(F.struct(names.split_of(F.col("split_hint")).alias("split"), src.alias("source"), names.frame_key(F.col("file_name")).alias("frame"), F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"))).alias("i"))
-    return one.select("image_id", "i.*").filter("split is not null")
+    return cut(one.select("image_id", "i.*").filter("split is not null"))
 
 
-def boxes(images: DataFrame, annotations: DataFrame) -> DataFrame:
-    """image_id, train, n, box, cat and the edges as fractions, of images with at least three counting boxes."""
+def boxes(known: DataFrame, annotations: DataFrame) -> DataFrame:
+    """image_id, train, n, box, cat and the edges as fractions, of images with at least three counting boxes. known: as `split_images` gives it."""
     b = F.col("bbox")
     edge = [F.get(b, i).cast("double") for i in range(4)]
     a = annotations.select("id", "image_id", F.col("category_id").alias("cat"), *(e.alias(k) for e, k in zip(edge, "xywh", strict=True)))
@@ -65,7 +65,7 @@ def boxes(images: DataFrame, annotations: DataFrame) -> DataFrame:
     a = a.filter(f"id is not null and image_id is not null and cat is not null and w > 0 and h > 0 and {finite}")
     a = a.groupBy("id").agg(F.max(F.struct("image_id", "cat", "x", "y", "w", "h")).alias("r")).select("id", "r.*")
     counts = a.groupBy("image_id").agg(F.count("*").cast("int").alias("n")).filter(F.col("n") >= MIN_BOXES)
-    sized = split_images(images).filter("w > 0 and h > 0").select("image_id", (F.col("split") == "train").alias("train"), F.col("w").alias("iw"), F.col("h").alias("ih"))
+    sized = known.filter("w > 0 and h > 0").select("image_id", (F.col("split") == "train").alias("train"), F.col("w").alias("iw"), F.col("h").alias("ih"))
     return a.join(sized.join(counts, "image_id"), "image_id").select(
         "image_id", "train", "n", F.col("id").alias("box"), "cat",
         (F.col("x") / F.col("iw")).alias("l"), (F.col("y") / F.col("ih")).alias("t"),
@@ -155,12 +155,10 @@ def scan(pats: DataFrame, text: DataFrame, n_rows: int) -> DataFrame:
 
 def probes(hits: DataFrame) -> DataFrame:
     """The hits that must look up evaluation records: image_id, n, token, code."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("image_id")
-    few = hits.filter(F.col("n") <= WIDE).withColumn("covered", F.count("*").over(w)).filter(F.col("covered") >= need(F.col("n")))
-    few = few.withColumn("k", F.row_number().over(w.orderBy("freq", "token", "box"))).filter(F.col("k") <= F.col("covered") - need(F.col("n")) + 1)
-    return few.select("image_id", "n", "token", "code").unionByName(hits.filter(F.col("n") > WIDE).select("image_id", "n", "token", "code"))
+    covered = hits.groupBy("image_id").agg(F.count("*").alias("covered"), F.max("n").alias("_n")).filter(F.col("covered") >= need(F.col("_n"))).select("image_id", "covered")
+    few = hits.join(covered, "image_id").select("image_id", "n", "token", "code", "freq", "box", "covered")
+    few = numbered(few, ["freq", "token", "box"], "k", keys=["image_id"]).filter(F.col("k") <= F.col("covered") - need(F.col("n")) + 1)
+    return few.select("image_id", "n", "token", "code")
 
 
 def pairing(edges: list[tuple[int, int]]) -> int:
@@ -213,24 +211,23 @@ def agreeing(b: DataFrame, candidates: DataFrame) -> DataFrame:
         cols = [F.col("image_id").alias(f"image_{k}"), F.col("box").alias(f"box_{k}"), "cat", *(F.col(c).alias(f"{c}_{k}") for c in "ltrb")]
         return b.filter(keep).select(*cols, *([] if key is None else [key.alias("strip")]))
 
-    # Pairs of narrow records compare all boxes of a category; those of wide ones only boxes in near vertical strips.
-    wide = F.greatest("n_t", "n_e") > WIDE
-    narrow = candidates.filter(~wide).join(side("t", f"train and n <= {WIDE}"), "image_t").join(side("e", f"not train and n <= {WIDE}"), ["image_e", "cat"]).filter(near)
     at = F.floor(F.col("l") / TOLERANCE)
-    broad = candidates.filter(wide).join(side("t", f"train and n > {WIDE} * 0.75", at), "image_t").join(
-        side("e", f"not train and n > {WIDE} * 0.75", F.explode(F.array(at - 1, at, at + 1))), ["image_e", "cat", "strip"]).filter(near)
-    edges = narrow.unionByName(broad.drop("strip"))
-    per = edges.groupBy("image_t", "image_e", "n_t", "n_e", "cat").agg(F.collect_set(F.struct("box_t", "box_e")).alias("p"))
-    per = per.select("image_t", "image_e", "n_t", "n_e", F.col("p.box_t").alias("a"), F.col("p.box_e").alias("b"))
+    pair = ["image_t", "image_e"]
+    edges = candidates.join(side("t", "train", at), "image_t").join(side("e", "not train", F.explode(F.array(at - 1, at, at + 1))), ["image_e", "cat", "strip"]).filter(near)
+    edges = cut(edges.select(*pair, "n_t", "n_e", "box_t", "box_e").distinct())
+    # The largest pairing of a record pair is the sum of those of its chains of box pairs.
+    node = lambda kind, c: F.concat_ws(",", "image_t", "image_e", F.lit(kind), c)
+    chains = least_labels(edges.select(*pair, node("e", "box_e").alias("a"), node("t", "box_t").alias("b")), near=pair)
+    per = edges.withColumn("node", node("e", "box_e")).join(chains, "node").groupBy(*pair, "n_t", "n_e", "label").agg(F.collect_list("box_t").alias("a"), F.collect_list("box_e").alias("b"))
     m = per.mapInPandas(_paired, "image_t long, image_e long, n_t int, n_e int, m long").groupBy("image_t", "image_e", "n_t", "n_e").agg(F.sum("m").alias("m"))
     return m.filter(f"m >= {MIN_BOXES} and 5 * m >= 4 * greatest(n_t, n_e)").select("image_t", "image_e")
 
 
-def pairs(images: DataFrame, annotations: DataFrame) -> DataFrame:
-    """image_t, image_e of all training and evaluation images that agree by frame or boxes."""
-    b = cut(boxes(images, annotations))
+def pairs(known: DataFrame, annotations: DataFrame) -> DataFrame:
+    """image_t, image_e of all training and evaluation images that agree by frame or boxes. known: as `split_images` gives it."""
+    b = cut(boxes(known, annotations))
     evals = passages(b)
-    frames = split_images(images).filter("frame is not null").select("image_id", "split", F.concat(F.lit(";#"), "frame", F.lit(";")).alias("token"))
+    frames = known.filter("frame is not null").select("image_id", "split", F.concat(F.lit(";#"), "frame", F.lit(";")).alias("token"))
     eval_frames = frames.filter("split <> 'train'")
     pats = evals.groupBy("token").agg(F.count("*").alias("freq")).unionByName(eval_frames.groupBy("token").agg(F.count("*").alias("freq")))
     text = texts(b).select("token", "image_id", "n", "box", "code").unionByName(
@@ -249,10 +246,11 @@ def pairs(images: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def found(images: DataFrame, annotations: DataFrame) -> DataFrame:
     """image_a, image_b, image_a < image_b."""
-    return pairs(images, annotations).select(F.least("image_t", "image_e").alias("image_a"), F.greatest("image_t", "image_e").alias("image_b"))
+    return pairs(split_images(images), annotations).select(F.least("image_t", "image_e").alias("image_a"), F.greatest("image_t", "image_e").alias("image_b"))
 
 
 def report(images: DataFrame, annotations: DataFrame) -> DataFrame:
     """split, source: evaluation images that overlap training, and pairs."""
-    which = split_images(images).select(F.col("image_id").alias("image_e"), "split", "source")
-    return pairs(images, annotations).join(which, "image_e").groupBy("split", "source").agg(F.count_distinct("image_e").alias("n_images"), F.count("*").alias("n_pairs"))
+    known = split_images(images)
+    which = known.select(F.col("image_id").alias("image_e"), "split", "source")
+    return pairs(known, annotations).join(which, "image_e").groupBy("split", "source").agg(F.count_distinct("image_e").alias("n_images"), F.count("*").alias("n_pairs"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarmac.llm import grouping, leakage, lexicon, names, overlap, sentences, splitting
+from tarmac.llm import grouping, leakage, lexicon, overlap, sentences, splitting
 from tarmac.session import table
 
 
@@ -76,15 +76,15 @@ FROM p""",
     "p3_found": r"""
 WITH RECURSIVE i AS (SELECT id AS image_id, any_value(file_name) AS f FROM images WHERE id IS NOT NULL GROUP BY id),
 b AS (SELECT image_id, lower(trim(regexp_replace(f, '^.*[/\\]', ''))) AS f FROM i),
-k AS (SELECT image_id, f, regexp_matches(f, 'FILE_NAME') AS ok FROM b),
-ent AS (SELECT image_id, '0' || regexp_replace(regexp_extract(f, 'FILE_NAME', 1), '[^\p{L}]', '', 'g') || '-' || CAST(CAST(regexp_extract(f, 'FILE_NAME', 2) AS HUGEINT) AS VARCHAR) AS e FROM k WHERE ok
+k AS (SELECT image_id, regexp_extract(f, '^([^0-9]+?)[ ._-]*[ ._-]d(?:rive)?[ ._-]*([0-9]+)[ ._-]+(?:f(?:rame)?[ ._-]*)?([0-9]+)(?:$|[^0-9\p{L}])', ['country', 'drive', 'frame']) AS m FROM b),
+ent AS (SELECT image_id, '0' || regexp_replace(m.country, '[ ._-]', '', 'g') || '-' || CAST(CAST(m.drive AS HUGEINT) AS VARCHAR) AS e FROM k WHERE m.drive <> '' AND NOT regexp_matches(m.country, '[^\p{L} ._-]') AND regexp_matches(m.country, '^\p{L}')
   UNION SELECT image_id, '1' || regexp_extract(lower(object_uid), '^\s*(ob-[0-9]+)\s*$', 1) FROM annotations WHERE regexp_matches(lower(object_uid), '^\s*(ob-[0-9]+)\s*$') AND image_id IN (SELECT image_id FROM i)),
 lk AS (SELECT DISTINCT x.e AS u, y.e AS v FROM ent x JOIN ent y USING (image_id) WHERE x.e <> y.e),
 cc(n, l) AS (SELECT DISTINCT e, e FROM ent UNION SELECT lk.v, cc.l FROM cc JOIN lk ON cc.n = lk.u),
 lb AS (SELECT n, min(l) AS label FROM cc GROUP BY n),
 g AS (SELECT image_id, min(label) AS label FROM ent JOIN lb ON n = e GROUP BY image_id),
 s AS (SELECT label, count(*) AS n, min(image_id) AS first FROM g GROUP BY label HAVING count(*) > 1)
-SELECT image_id, CASE WHEN label LIKE '0%' THEN substr(label, 2) ELSE 'image-' || first END AS group_key FROM g JOIN s USING (label)""".replace("FILE_NAME", names.FILE_NAME),
+SELECT image_id, CASE WHEN label LIKE '0%' THEN substr(label, 2) ELSE 'image-' || first END AS group_key FROM g JOIN s USING (label)""",
 }
 
 

@@ -3,7 +3,6 @@
 import itertools
 import random
 
-import pytest
 
 from tarmac.llm import overlap
 
@@ -87,9 +86,17 @@ def test_frames_and_edge_cases(spark):
     assert [tuple(r) for r in overlap.report(i, a).collect()] == [("val", "s", 1, 1)]
 
 
-@pytest.mark.parametrize("wide", [2, 5])
-def test_hot_tokens_and_wide_records(spark, monkeypatch, wide):
-    monkeypatch.setattr(overlap, "WIDE", wide)
+def test_records_of_very_many_boxes(spark):
+    """More boxes than any usual record has go the same way."""
+    rnd = random.Random(4)
+    grid = [[float(x), float(y), 6.0, 6.0] for x in range(0, 590, 12) for y in range(0, 590, 6)]  # 5,000 boxes
+    part = rnd.sample(grid, 4100)
+    images = [(1, None, 600, 600, "train"), (2, None, 600, 600, "val"), (3, None, 600, 600, "test")]
+    boxes = [(1, 0, b) for b in grid] + [(2, 0, b) for b in part] + [(3, 0, b) for b in part[:3900]]
+    assert {tuple(r) for r in overlap.found(*tables(spark, images, boxes)).collect()} == {(1, 2)}
+
+
+def test_hot_tokens_and_wide_records(spark):
     images = [(i, None, 600, 600, "train" if i % 4 else "val") for i in range(60)]
     whole = [0.0, 0.0, 600.0, 600.0]
     boxes = [(i, 0, whole) for i in range(60)] + [(i, 1, [float(7 * (i // 8)), 5.0, 20.0 + k * 30, 60.0]) for i in range(60) for k in range(3)]

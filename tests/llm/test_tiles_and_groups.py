@@ -148,3 +148,42 @@ def test_splits_keep_groups_whole_and_near_targets(spark):
     assert grouping.assign(i.limit(0), a.limit(0), t).count() == 0
     with pytest.raises(ValueError):
         grouping.assign(i, a, t.limit(0))
+
+
+def deviation(units, placed, targets):
+    """Squared relative deviation of sizes and label counts from the targets."""
+    classes = sorted({c for _, _, h in units for c in h})
+    out = 0.0
+    for column in (lambda u: u[1], *(lambda u, c=c: u[2].get(c, 0) for c in classes)):
+        total = sum(map(column, units))
+        out += sum((sum(column(u) for u in units if placed[u[0]] == s) / total - f) ** 2 for s, f in targets.items())
+    return out
+
+
+def test_labels_are_spread_nearly_as_well_as_can_be():
+    """Several classes, against the best of all assignments of a few groups."""
+    import itertools
+
+    rnd = random.Random(9)
+    targets = {"train": 0.6, "val": 0.2, "test": 0.2}
+    near, chance = [], []
+    for _ in range(12):
+        units = [(f"u{i}", n, {c: rnd.randint(0, 3 * n) for c in range(4)}) for i, n in enumerate(rnd.randint(1, 30) for _ in range(9))]
+        best = min(deviation(units, dict(zip((u[0] for u in units), way, strict=True)), targets) for way in itertools.product(targets, repeat=9))
+        near.append(deviation(units, grouping.place(units, targets), targets) - best)
+        chance.append(deviation(units, {u[0]: rnd.choices(list(targets), list(targets.values()))[0] for u in units}, targets) - best)
+    assert sum(near) < 0.2 * sum(chance) and max(near) < 0.2
+
+
+def test_every_class_keeps_its_shares(spark):
+    """Many classes, ids far apart, more splits than a hundred."""
+    images = spark.createDataFrame([(i, f"Japan_d{i // 3:04d}_{i:06d}.jpg", "o", "d") for i in range(3000)], IMG)
+    cls = [7, 1007, 2007, 5]  # equal by remainder, yet classes of their own
+    a = spark.createDataFrame([(k, k % 3000, cls[(k % 3000) // 3 % 4], None, "l") for k in range(9000)], ANN)
+    many = spark.createDataFrame([("train", 0.7), ("val", 0.3)], "split string, fraction double")
+    got = {r.image_id: r.split for r in grouping.assign(images, a, many).collect()}
+    for c in cls:
+        of = [got[k % 3000] for k in range(9000) if cls[(k % 3000) // 3 % 4] == c]
+        assert abs(of.count("val") / len(of) - 0.3) < 0.05
+    lots = spark.createDataFrame([(f"s{i}", 1.0) for i in range(150)], "split string, fraction double")
+    assert len({r.split for r in grouping.assign(images, a, lots).collect()}) == 150
