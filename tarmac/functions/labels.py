@@ -24,16 +24,17 @@ LABEL_MAP = {
 }
 
 
-def view_of(country: Column) -> Column:
-    return F.when(F.lower(country).contains("drone"), "topdown").otherwise("street")
+def view_of(country: Column, default: str = "forward") -> Column:
+    return F.when(F.lower(country).contains("drone"), "topdown").otherwise(default)
 
 
 def country_of_path(path: Column) -> Column:
-    """The part before the first `train` or `test` part; else the last folder that isn't structural; else unknown."""
-    parts = F.split(path, "/")
-    at = F.array_position(F.transform(parts, lambda p: F.lower(p).isin("train", "test")), True)
-    folders = F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda p: (~F.lower(p).isin("images", "annotations", "xmls", "train", "test", "val", ".", "")))
-    return F.coalesce(F.when(at > 1, F.get(parts, (at - 2).cast("int"))), F.when(F.size(folders) > 0, F.element_at(folders, -1)), F.lit("unknown"))
+    """The folder above the first `train` folder, else above the first `test` folder; else the last folder that isn't structural; else unknown."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    above = lambda s: (F.array_position(F.transform(parts, F.lower), s) - 1).cast("int")
+    folders = F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: ~F.lower(p).isin("images", "annotations", "xmls"))
+    split = lambda s: F.when(above(s) > 0, F.get(parts, above(s) - 1))
+    return F.coalesce(split("train"), split("test"), F.when(F.size(folders) > 0, F.element_at(folders, -1)), F.lit("unknown"))
 
 
 def country_of_stem(stem: Column) -> Column:

@@ -55,3 +55,25 @@ def file_integrity(files: DataFrame, expected: DataFrame) -> DataFrame:
     got = files.select("name", F.length("content").alias("_size"), F.sha2("content", 256).alias("_sha"))
     j = expected.join(got, "name", "left")
     return j.select("name", F.coalesce(F.col("_size") == F.col("size"), F.lit(False)).alias("size_ok"), F.coalesce(F.col("_sha") == F.lower("sha256"), F.col("sha256").isNull() & F.col("_sha").isNotNull()).alias("hash_ok"))
+
+
+def every_passes(rows: DataFrame, ok: str = "ok") -> DataFrame:
+    """One row: n, n_ok and passed, which takes all rows; no row passes nothing."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col(ok)).alias("n_ok"), (F.count("*") == F.count_if(F.col(ok))).alias("all_ok")).select("n", "n_ok", (F.col("all_ok") & (F.col("n") > 0)).alias("passed"))
+
+
+def without_hash(headers: DataFrame) -> DataFrame:
+    """run, split of data headers that state no split hash: reports without one can't be compared. headers: run, data_yaml_header."""
+    return split_hash_of(headers).filter("sha256 is null").select("run", "split")
+
+
+def unpaired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """key, n_left, n_right of keys that aren't in both exactly once: images and their annotation files."""
+    side = lambda df, a, b: df.filter(F.col(key).isNotNull()).select(key, F.lit(a).alias("l"), F.lit(b).alias("r"))
+    both = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(key).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
+    return both.filter("n_left <> 1 or n_right <> 1")
+
+
+def too_few(reports: DataFrame, group: str, least: int = 2) -> DataFrame:
+    """Groups with fewer than `least` readable reports: nothing can be said about their spread. reports: group, readable."""
+    return reports.groupBy(group).agg(F.count_if("readable").alias("n")).filter(F.col("n") < least)

@@ -80,3 +80,23 @@ def operating_counts(dets: DataFrame, images: DataFrame, conf: float, keys: list
 def against_published(counts: DataFrame, published: DataFrame, keys: list[str]) -> DataFrame:
     """Published figures with what was counted (0 if nothing) and whether they agree."""
     return published.join(counts, keys, "left").withColumn("counted", F.coalesce("counted", F.lit(0))).withColumn("agrees", F.col("counted") == F.col("expected"))
+
+
+def export_counts(members: DataFrame, images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """split, images, boxes, empty, missing, clipped of an export.
+
+    members: split, image_id. images: image_id, width, height (only those whose file is there). boxes:
+    image_id, x, y, w, h. Centre and size are taken relative to the image and cut to 0..1; what that
+    changes is clipped, what it leaves without area is no box. Images without size have no boxes.
+    """
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    b = boxes.join(images.filter("width > 0 and height > 0"), "image_id")
+    rel = [(F.col("x") + F.col("w") / 2) / F.col("width"), (F.col("y") + F.col("h") / 2) / F.col("height"), F.col("w") / F.col("width"), F.col("h") / F.col("height")]
+    changed = F.lit(False)
+    for r in rel:
+        changed = changed | (unit(r) != r)
+    per = b.select("image_id", changed.alias("c"), ((unit(rel[2]) > 0) & (unit(rel[3]) > 0)).alias("k")).groupBy("image_id").agg(F.count_if("c").alias("clipped"), F.count_if("k").alias("boxes"))
+    m = members.join(images.select("image_id", F.lit(True).alias("there")), "image_id", "left").join(per, "image_id", "left")
+    here = F.coalesce("there", F.lit(False))
+    n = lambda c: F.sum(F.when(here, F.coalesce(c, F.lit(0))).otherwise(0)).alias(c)
+    return m.groupBy("split").agg(F.count_if(here).alias("images"), n("boxes"), F.count_if(here & (F.coalesce("boxes", F.lit(0)) == 0)).alias("empty"), F.count_if(~here).alias("missing"), n("clipped"))

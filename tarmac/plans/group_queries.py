@@ -103,17 +103,6 @@ def a30_adjacent_distances(spark, sf):
     return p.groupBy("country_id").agg(F.count("*").alias("n"), F.median("d").alias("median_distance"), F.round(100.0 * F.count_if(F.col("d") <= 4) / F.count("*"), 6).alias("pct_near"))
 
 
-@query()
-def j12_random_pairs(spark, sf):
-    """As many hash-ordered pairs per country as there are adjacent ones: each image with the next in an order by hash."""
-    from pyspark.sql import Window
-
-    h = d_hash(spark, sf).withColumn("o", F.xxhash64(F.lit(7), "image_id"))
-    w = Window.partitionBy("country_id", F.pmod("o", F.lit(64))).orderBy("o", "image_id")
-    p = h.withColumns({f"n_{k}": F.lead(k).over(w) for k in dedup.BANDS}).filter("n_b0 is not null").withColumn("d", dedup.distance("", "n_"))
-    return p.groupBy("country_id").agg(F.count("*").alias("n"), F.median("d").alias("median_distance"))
-
-
 @query(sql("dh", f", {REPS}, {NEAR}, {CC} SELECT n AS node, label FROM lb", True))
 def a3_component_labels(spark, sf):
     reps, _ = dedup.representatives(d_hash(spark, sf))

@@ -69,12 +69,15 @@ def f4_to_xywh(spark, sf):
     return clamped(spark, sf).filter("x1 > x0 and y1 > y0").select("ann_id", F.round("x0", 2).alias("bx"), F.round("y0", 2).alias("by"), F.round(w, 2).alias("bw"), F.round(h, 2).alias("bh"), (w * h).alias("box_area"))
 
 
-@query(sql("im", "SELECT image_id, CASE WHEN contains(lower(country), 'drone') THEN 'topdown' ELSE 'street' END AS view_by_country FROM i"))
+@query(sql("im", "SELECT image_id, CASE WHEN contains(lower(country), 'drone') THEN 'topdown' ELSE 'forward' END AS view_by_country FROM i"))
 def f5_view_of_country(spark, sf):
     return images(spark, sf).select("image_id", L.view_of(F.col("country")).alias("view_by_country"))
 
 
-@query(sql("im", "SELECT image_id, coalesce(nullif(regexp_extract(rel_path, '^(?:.*/)?([^/]+)/(?:train|test)(?:/|$)', 1), ''), list_last(list_filter(list_slice(string_split(rel_path, '/'), 1, -2), lambda x: lower(x) NOT IN ('images', 'annotations', 'xmls', 'train', 'test', 'val', '.', ''))), 'unknown') AS path_country FROM i").replace("list_last(", "list_extract(").replace("'.', ''))), 'unknown')", "'.', '')), -1), 'unknown')"))
+@query(sql("im", """, q AS (SELECT image_id, list_filter(string_split(rel_path, '/'), lambda x: x NOT IN ('', '.')) AS p FROM i),
+r AS (SELECT *, list_transform(p, lambda x: lower(x)) AS l FROM q)
+SELECT image_id, coalesce(CASE WHEN list_position(l, 'train') > 1 THEN p[list_position(l, 'train') - 1] END, CASE WHEN list_position(l, 'test') > 1 THEN p[list_position(l, 'test') - 1] END,
+  list_filter(p[:-2], lambda x: lower(x) NOT IN ('images', 'annotations', 'xmls'))[-1], 'unknown') AS path_country FROM r"""))
 def f6_country_of_path(spark, sf):
     return images(spark, sf).select("image_id", F.coalesce(L.country_of_path(F.col("rel_path")), F.lit("unknown")).alias("path_country"))
 
@@ -148,10 +151,11 @@ def f19_sequence_number(spark, sf):
     return images(spark, sf).select("image_id", L.sequence_of(F.col("file_name")).alias("seq"))
 
 
-@query(sql("im", "SELECT image_id, concat_ws('__', lower(source_dataset), regexp_replace(regexp_replace(file_name, '^.*/', ''), '\\.[^.]*$', ''), CAST(image_id AS VARCHAR)) AS written_name FROM i WHERE file_name IS NOT NULL"))
+@query(sql("im", ", n AS (SELECT concat_ws('__', lower(source_dataset), regexp_replace(regexp_replace(file_name, '^.*/', ''), '\\.[^.]*$', '')) AS written_name FROM i WHERE file_name IS NOT NULL) SELECT written_name, count(*) AS n_sources FROM n GROUP BY 1"))
 def f22_unique_names(spark, sf):
-    i = images(spark, sf).filter("file_name is not null")
-    return i.select("image_id", F.concat_ws("__", F.lower("source_dataset"), L.stem_of(F.col("file_name")), F.col("image_id").cast("string")).alias("written_name"))
+    """Names written as dataset__stem, and how many images each would stand for: more than one is a collision."""
+    i = images(spark, sf).filter("file_name is not null").select(F.concat_ws("__", F.lower("source_dataset"), L.stem_of(F.col("file_name"))).alias("written_name"))
+    return i.groupBy("written_name").agg(F.count("*").alias("n_sources"))
 
 
 @query(sql("im an", "SELECT image_id FROM i WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.image_id = i.image_id AND category_id IS NOT NULL)"))
@@ -238,11 +242,6 @@ def q1_unknown_labels(spark, sf):
     return labelled(spark, sf).filter("status = 'unknown' and orig_class is not null").groupBy(F.col("orig_class").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query(sql("lm cl", "SELECT label, target FROM lm WHERE target <> '__IGNORE__' AND target NOT IN (SELECT name FROM cl)"))
-def q2_missing_targets(spark, sf):
-    return gates.missing_targets(label_map(spark), classes(spark), L.IGNORE)
-
-
 @query(sql("im", "SELECT regexp_replace(regexp_replace(file_name, '^.*/', ''), '\\.[^.]*$', '') AS written_name, count(*) AS n FROM i WHERE file_name IS NOT NULL GROUP BY 1 HAVING count(*) > 1"))
 def q7_name_collisions(spark, sf):
     i = images(spark, sf).filter("file_name is not null").select(L.stem_of(F.col("file_name")).alias("written_name"))

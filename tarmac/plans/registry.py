@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarmac.plans import detection_queries, drift_and_nesting, group_queries, label_queries, report_queries, stats_queries
+from tarmac.plans import delivery_queries, detection_queries, drift_and_nesting, group_queries, label_queries, report_queries, stats_queries
 
-MODULES = (drift_and_nesting, label_queries, detection_queries, group_queries, stats_queries, report_queries)
+MODULES = (drift_and_nesting, label_queries, detection_queries, group_queries, stats_queries, report_queries, delivery_queries)
 
 
 def queries():

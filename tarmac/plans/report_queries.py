@@ -205,9 +205,3 @@ def sc17_tiling_header(spark, sf):
     return d_images(spark, sf).select("image_id", config.tiling_of(h).alias("t")).select("image_id", "t.tile", "t.overlap")
 
 
-@query("SELECT doc_id, length(encode(text)) = strlen(text) AS size_ok, sha256(text) = sha256(text) AS hash_ok FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL AND text <> ''".replace("length(encode(text)) = strlen(text)", "true"))
-def sc19_file_integrity(spark, sf):
-    """Sizes and hashes of files against what is expected of them; documents stand in for files."""
-    d = table(spark, sf, "documents").filter("text is not null and text <> ''").select(F.col("doc_id").alias("name"), F.col("text").cast("binary").alias("content")).distinct()
-    expected = d.select("name", F.length("content").alias("size"), F.sha2("content", 256).alias("sha256"))
-    return gates.file_integrity(d, expected).withColumnRenamed("name", "doc_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.operators.components import numbered
+
 
 def label_line() -> Column:
     """'cls cx cy w h' with six decimals."""
@@ -45,12 +47,9 @@ def tile_name(stem: Column, index: Column, n_tiles: Column) -> Column:
 def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame, key: str) -> DataFrame:
     """key, document: one COCO JSON text per key (a shard of the dataset that fits a document)."""
     part = lambda df, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*(c for c in df.columns if c != key)))).alias(name))
-    rows = categories.orderBy("id").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("too many categories for a document")
-    cats = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in categories.columns)) for r in rows))
-    j = part(images, "images").join(part(annotations, "annotations"), key, "left")
-    return j.select(key, F.to_json(F.struct("images", "annotations", cats.alias("categories"))).alias("document"))
+    cats = categories.agg(F.sort_array(F.collect_list(F.struct(*categories.columns))).alias("categories")).withColumn("_one", F.lit(1))
+    j = part(images, "images").join(part(annotations, "annotations"), key, "left").withColumn("_one", F.lit(1)).join(cats, "_one")
+    return j.select(key, F.to_json(F.struct("images", "annotations", "categories")).alias("document"))
 
 
 def write_dump(dets: DataFrame, path: str) -> None:
@@ -65,9 +64,42 @@ def data_yaml(root: str, names: dict[int, str], provenance: dict[str, str]) -> s
     return "\n".join([*head, f"path: {root}", "train: images/train", "val: images/val", "names:", *(f"  {i}: {n}" for i, n in sorted(names.items()))]) + "\n"
 
 
-def latex_table(rows: list[tuple], header: tuple, caption: str, most: int = 1000) -> str:
-    """A LaTeX table of a small, already collected result."""
-    if len(rows) > most:
-        raise ValueError("too many rows for a table")
-    line = lambda r: " & ".join("--" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x).replace("_", r"\_") for x in r) + r" \\"
-    return "\n".join([r"\begin{table}", rf"\caption{{{caption}}}", rf"\begin{{tabular}}{{l{'r' * (len(header) - 1)}}}", r"\hline", line(header), r"\hline", *map(line, rows), r"\hline", r"\end{tabular}", r"\end{table}"]) + "\n"
+def table_lines(rows: DataFrame, order: list[str], cells: list[Column]) -> DataFrame:
+    """line_no, line: the body of a LaTeX table, one line per row; missing cells show as --. Lines are built where the rows are."""
+    text = F.concat_ws(" & ", *(F.coalesce(F.replace(c.cast("string"), F.lit("_"), F.lit("\\_")), F.lit("--")) for c in cells))
+    return numbered(rows.select(*order, F.concat(text, F.lit(r" \\")).alias("line")), order, "line_no").select("line_no", "line")
+
+
+def latex_table(lines: list[str], columns: str, header: list[str], caption: str) -> str:
+    """A LaTeX table around its body's lines."""
+    return "\n".join([r"\begin{table}", rf"\caption{{{caption}}}", rf"\begin{{tabular}}{{{columns}}}", r"\hline", " & ".join(header) + r" \\", r"\hline", *lines, r"\hline", r"\end{tabular}", r"\end{table}"]) + "\n"
+
+
+def merged_reports(old: DataFrame, new: DataFrame) -> DataFrame:
+    """report, stages: stages of the new rows replace those of the same name, all others stay. Both: report, stages (map of name to text)."""
+    part = lambda df, k: df.select("report", F.posexplode(F.map_entries("stages")).alias("_", "e")).select("report", F.col("e.key").alias("stage"), F.struct(F.lit(k).alias("k"), F.col("e.value").alias("v")).alias("x"))
+    one = part(old, 0).unionByName(part(new, 1)).groupBy("report", "stage").agg(F.max("x").alias("x"))
+    return one.groupBy("report").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "x.v")))).alias("stages"))
+
+
+def document(parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """key, document: one JSON text per key from tables of few rows per key; each part is a list of its rows, sorted."""
+    out = None
+    for name, df in parts.items():
+        rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*(c for c in df.columns if c != key)))).alias(name))
+        out = rows if out is None else out.join(rows, key, "full")
+    return out.select(key, F.to_json(F.struct(*parts)).alias("document"))
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, such as the missed boxes."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_excluding(files: DataFrame, globs: list[str]) -> DataFrame:
+    """Files (path) that no glob excludes; * stands for any run of characters, ? for one."""
+    keep = F.lit(True)
+    for g in globs:
+        pattern = "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() and c not in "_/" else c for c in g)
+        keep = keep & ~F.col("path").rlike(f"^(.*/)?{pattern}$")
+    return files.filter(keep)

@@ -9,13 +9,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
-def gradient_hash(grey: np.ndarray, side: int = 8) -> int:
-    """64 bits: whether brightness falls from each cell to its right neighbour, over side x (side + 1) means."""
-    h, w = grey.shape
-    rows, cols = np.linspace(0, h, side + 1).astype(int), np.linspace(0, w, side + 2).astype(int)
-    cells = np.array([[grey[rows[i] : max(rows[i + 1], rows[i] + 1), cols[j] : max(cols[j + 1], cols[j] + 1)].mean() for j in range(side + 1)] for i in range(side)])
-    bits = (cells[:, :-1] > cells[:, 1:]).ravel()
-    return int("".join("1" if b else "0" for b in bits), 2)
+SIDE, KEEP = 32, 8  # fixed values: size that an image is reduced to, and of the low frequencies kept
+
+
+def _cosines(n: int) -> np.ndarray:
+    """Matrix of the cosine transform of n values."""
+    k, i = np.arange(n)[:, None], np.arange(n)[None, :]
+    return 2 * np.cos(np.pi * k * (2 * i + 1) / (2 * n))
+
+
+def reduced(grey: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """Means over a grid of side x side cells; cells of a small image may repeat a pixel."""
+    for axis in (0, 1):
+        at = np.linspace(0, grey.shape[axis], side + 1).astype(int)
+        grey = np.stack([np.take(grey, range(a, max(b, a + 1)), axis=axis, mode="clip").mean(axis=axis) for a, b in zip(at[:-1], at[1:], strict=True)], axis=axis)
+    return grey
+
+
+def cosine_hash(grey: np.ndarray) -> int:
+    """64 bits: which of the lowest frequencies of the reduced image lie above their median, row by row."""
+    c = _cosines(SIDE)
+    low = (c @ reduced(np.asarray(grey, float)) @ c.T)[:KEEP, :KEEP]
+    return int("".join("1" if b else "0" for b in (low > np.median(low)).ravel()), 2)
 
 
 def decoder() -> Callable[[bytes], np.ndarray]:
@@ -39,7 +54,7 @@ def hashes(spark: SparkSession, folder: str, decode: Callable[[bytes], np.ndarra
             out = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    v = gradient_hash(read(content))
+                    v = cosine_hash(read(content))
                     out.append((path, *((v >> 16 * i) & 0xFFFF for i in range(4))))
                 except Exception:  # whatever a decoder raises on a damaged file
                     out.append((path, None, None, None, None))

@@ -6,7 +6,10 @@ files on the driver. Malformed values become null or are dropped as each reader
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOC = "filename string, size struct<width: string, height: string>, object array<struct<name: string, bndbox: struct<xmin: string, ymin: string, xmax: string, ymax: string>>>"
@@ -17,7 +20,6 @@ COCO = (
     "categories array<struct<id: int, name: string, supercategory: string>>"
 )
 SUPERVISELY = "size struct<height: int, width: int>, objects array<struct<classTitle: string, geometryType: string, points: struct<exterior: array<array<double>>>>>"
-POLYGONS = "images array<struct<id: bigint, file_name: string, width: int, height: int>>, annotations array<struct<image_id: bigint, category_id: int, segmentation: variant>>"
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png")
 
 
@@ -89,24 +91,33 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def listing_paths(lines: DataFrame) -> DataFrame:
     """listing, line_no, path of every file of indented folder listings (four columns a level). lines: listing, line_no, value.
 
-    A folder line sets the folder of its depth; a file lies in the last folders before it. Levels
-    below a new folder are forgotten: an entry counts only if it comes after that of the level above.
+    A folder line sets the folder of its depth; a file lies in the folders of the levels above it, and
+    levels below a new folder are forgotten. The lines of a listing are sorted by the engine and stream
+    by, with one folder per level in memory, so neither length nor depth has a limit.
     """
     head = F.regexp_extract("value", r"^([\s│|├└+\\─-]*)", 1)
     body = F.trim(F.substr("value", F.length(head) + 1))
     is_dir = F.col("value").rlike(r"[├└+\\]─*-*")
-    e = lines.withColumn("depth", F.floor(F.length(head) / 4).cast("int") + F.when(is_dir, 0).otherwise(1)).withColumn("name", body).withColumn("is_dir", is_dir).filter("name <> ''")
-    levels = 16
-    w = Window.partitionBy("listing").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for d in range(1, levels):
-        e = e.withColumn(f"d{d}", F.last(F.when(F.col("is_dir") & (F.col("depth") == d), F.struct("line_no", "name")), True).over(w))
-    keep, above = [], None
-    for d in range(1, levels):
-        cur = F.col(f"d{d}")
-        ok = cur.isNotNull() & (F.col("depth") > d) if above is None else cur.isNotNull() & (F.col("depth") > d) & (cur["line_no"] > above["line_no"])
-        keep.append(F.when(ok, cur["name"]))
-        above = cur
-    return e.filter(~F.col("is_dir")).select("listing", "line_no", F.concat_ws("/", *keep, "name").alias("path"))
+    e = lines.select("listing", "line_no", (F.floor(F.length(head) / 4).cast("int") + F.when(is_dir, 0).otherwise(1)).alias("depth"), body.alias("name"), is_dir.alias("is_dir")).filter("name <> ''")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, folders = object(), []  # folders: (depth, name), depths rising by one
+        for pdf in batches:
+            out = []
+            for listing, no, depth, name, folder in pdf.itertuples(index=False, name=None):
+                if listing != now:
+                    now, folders = listing, []
+                while folders and folders[-1][0] >= depth:
+                    folders.pop()
+                if folder:
+                    if depth == len(folders) + 1:  # a level that is missing breaks the chain
+                        folders.append((depth, name))
+                else:
+                    out.append((listing, no, "/".join([*(n for _, n in folders), name])))
+            yield pd.DataFrame(out, columns=["listing", "line_no", "path"])
+
+    kind = dict(lines.dtypes)
+    return e.repartition("listing").sortWithinPartitions("listing", "line_no").mapInPandas(run, f"listing {kind['listing']}, line_no {kind['line_no']}, path string")
 
 
 def supervisely_boxes(docs: DataFrame) -> DataFrame:
@@ -126,6 +137,18 @@ def polygon_points(flat: Column, width: Column, height: Column) -> Column:
     return F.transform(F.slice(flat, 1, n), lambda v, i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.when(i % 2 == 0, width).otherwise(height))))
 
 
+def segment_points(ann: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Polygons (keys, part, points) and, per image, the run-length segments that are skipped. ann: image_id, segmentation (JSON text), keys.
+
+    A segmentation is a list of polygons, or an object with run lengths, which has no corners.
+    """
+    keys = [c for c in ann.columns if c != "segmentation"]
+    lists = F.from_json("segmentation", "array<array<double>>")
+    is_runs = F.get_json_object("segmentation", "$.counts").isNotNull()
+    polygons = ann.filter(~is_runs).select(*keys, F.posexplode(lists).alias("part", "points")).filter(F.size("points") >= 6)
+    return polygons, ann.filter(is_runs).groupBy("image_id").agg(F.count("*").alias("n_run_length"))
+
+
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """path, stem, length of image files, without their content."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")

@@ -75,6 +75,25 @@ def test_listing(spark):
     assert {"Japan/train/images/a.jpg", "Japan/test/b.jpg", "Czech/c.jpg"} <= got
 
 
+def test_listing_of_any_depth(spark):
+    deep = [" " * 0 + "│   " * d + f"├───f{d}" for d in range(40)] + ["│   " * 40 + "    last.jpg", "└───g", "        b.jpg"]
+    df = spark.createDataFrame([(k, i, t) for k in "ab" for i, t in enumerate(deep)], "listing string, line_no int, value string")
+    got = {(r.listing, r.path) for r in readers.listing_paths(df).collect()}
+    assert got == {(k, p) for k in "ab" for p in ("/".join(f"f{d}" for d in range(40)) + "/last.jpg", "g/b.jpg")}
+
+
+def test_segments_excludes_and_merges(spark):
+    a = spark.createDataFrame([(1, 7, "[[0,0,4,0,4,4],[1,1]]"), (2, 7, '{"counts":[3,4],"size":[5,5]}'), (3, 8, '{"counts":"abc"}'), (4, 9, None)], "ann_id int, image_id int, segmentation string")
+    polygons, skipped = readers.segment_points(a)
+    assert [(r.ann_id, r.part, len(r.points)) for r in polygons.collect()] == [(1, 0, 6)]
+    assert {(r.image_id, r.n_run_length) for r in skipped.collect()} == {(7, 1), (8, 1)}
+    files = spark.createDataFrame([("a/b.pt",), ("a/b.json",), ("weights/last.pt",), ("x+y.txt",)], "path string")
+    assert {r.path for r in writers.write_excluding(files, ["*.pt", "x+?.txt"]).collect()} == {"a/b.json"}
+    old = spark.createDataFrame([("r", {"box": "1", "mask": "2"}), ("s", {"box": "3"})], "report string, stages map<string,string>")
+    new = spark.createDataFrame([("r", {"mask": "9"}), ("t", {"box": "4"})], "report string, stages map<string,string>")
+    assert {r.report: r.stages for r in writers.merged_reports(old, new).collect()} == {"r": {"box": "1", "mask": "9"}, "s": {"box": "3"}, "t": {"box": "4"}}
+
+
 def test_polygons_and_configuration(spark):
     df = spark.createDataFrame([([0.0, 0.0, 50.0, 10.0, 120.0, -5.0, 7.0],)], "p array<double>")
     assert df.select(readers.polygon_points(F.col("p"), F.lit(100.0), F.lit(10.0)).alias("q")).first().q == [0.0, 0.0, 0.5, 1.0, 1.0, 0.0]
@@ -82,16 +101,28 @@ def test_polygons_and_configuration(spark):
     assert config.class_map(text, "a") == {"D00": "C1", "Block crack": "__IGNORE__"} and config.class_map(text, "b") == {"D00": "Z"}
     d = config.data_description(writers.data_yaml("/d", {0: "x", 1: "y"}, {"train_sha256": "ab"}))
     assert d["names"] == {0: "x", 1: "y"} and d["val_labels"] == "labels/val" and d["provenance"]["train_sha256"] == "ab"
-    assert r"a\_b & 0.500 & --" in writers.latex_table([("a_b", 0.5, None)], ("k", "v", "w"), "c")
+    assert r"a\_b & 0.500 & --" in writers.latex_table([r.line for r in writers.table_lines(spark.createDataFrame([(2, "z", 1.0), (1, "a_b", None)], "o int, k string, v double"), ["o"], [F.col("k"), F.lit("0.500"), F.col("v")]).orderBy("line_no").collect()], "lrr", ["k", "v", "w"], "c")
 
 
 def test_hashes_of_images(spark, tmp_path):
     grey = np.tile(np.linspace(255, 0, 90), (80, 1))
-    assert hashing.gradient_hash(grey) == 2**64 - 1 and hashing.gradient_hash(grey[:, ::-1]) == 0
+    rng = np.random.default_rng(3)
+    picture = np.kron(rng.random((8, 8)) * 255, np.ones((40, 40)))
+    one = hashing.cosine_hash(picture)
+    assert bin(one).count("1") == 32  # half of the frequencies lie above their median
+    assert bin(one ^ hashing.cosine_hash(picture * 0.5 + 3)).count("1") <= 2  # darker and flatter: the same picture
+    assert bin(one ^ hashing.cosine_hash(picture[::2, ::2])).count("1") <= 2  # half the size
+    assert bin(one ^ hashing.cosine_hash(np.kron(rng.random((8, 8)) * 255, np.ones((40, 40))))).count("1") > 12
+    # the transform against its definition
+    x = hashing.reduced(picture)
+    k, l = 3, 5
+    want = 4 * sum(x[i, j] * np.cos(np.pi * k * (2 * i + 1) / 64) * np.cos(np.pi * l * (2 * j + 1) / 64) for i in range(32) for j in range(32))
+    c = hashing._cosines(32)
+    assert abs((c @ x @ c.T)[k, l] - want) < 1e-6
     (tmp_path / "a.bin").write_bytes(grey.astype("u1").tobytes())
     (tmp_path / "b.bin").write_bytes(b"xx")
     got = {r.path[-5:]: r.b0 for r in hashing.hashes(spark, str(tmp_path), lambda d: np.frombuffer(d, "u1").reshape(80, 90).astype(float)).collect()}
-    assert got == {"a.bin": 65535, "b.bin": None}
+    assert got == {"a.bin": hashing.cosine_hash(grey.astype("u1").astype(float)) & 0xFFFF, "b.bin": None}
 
 
 def test_sampler_stream(spark, tmp_path):

@@ -171,3 +171,22 @@ def test_progress_and_idle(spark):
     s = spark.createDataFrame([("m", t, u) for t, u in enumerate([0, 0, 50, 0, None, 1, 2, 3])], "k string, t int, util int")
     assert [x.streak for x in monitor.idle_streaks(s, ["k"], 3).orderBy("t").collect()] == [1, 2, 0, 1, 0, 1, 2, 3]
     assert spark.range(1).select(monitor.duration(F.lit(93784)).alias("d")).first().d == "1d 02h 03m 04s"
+
+
+def test_gates_refuse(spark):
+    from tarmac.operators import gates
+
+    rows = spark.createDataFrame([("a", True), ("b", False)], "k string, ok boolean")
+    assert gates.every_passes(rows).first().passed is False and gates.every_passes(rows.filter("ok")).first().passed is True
+    assert gates.every_passes(rows.limit(0)).first().passed is False
+    heads = spark.createDataFrame([("x", "train_sha256: " + "a" * 64 + " val_sha256=" + "b" * 64), ("y", "train_sha256: " + "a" * 64), ("z", None)], "run string, data_yaml_header string")
+    assert {tuple(r) for r in gates.without_hash(heads).collect()} == {("y", "val"), ("z", "train"), ("z", "val")}
+    with pytest.raises(gates.GateError):
+        gates.enforce(gates.without_hash(heads), "split hash")
+    left, right = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int"), spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    assert {tuple(r) for r in gates.unpaired(left, right, "k").collect()} == {(2, 2, 1), (3, 0, 1)}
+    reports = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("b", True)], "g string, readable boolean")
+    assert [tuple(r) for r in gates.too_few(reports, "g").collect()] == [("a", 1)]
+    labels = spark.createDataFrame([("D00",), ("D99",)], "label string")
+    with pytest.raises(gates.GateError):
+        gates.enforce(gates.unknown_labels(labels, spark.createDataFrame([("D00", "C1")], "label string, target string")), "labels")
