@@ -4,8 +4,9 @@ The words of the corpus (the pieces of the tokenizer's pattern) are counted over
 most frequent ones are compiled into a minimal acyclic transducer: sorted words are added one by
 one, equal suffix states are shared, and ids are pushed as far to the front as their common
 prefixes allow. It is written as flat arrays to the shared folder and memory-mapped by every
-worker. Words that aren't in it are merged exactly, pair by pair in rank order. The lexicon decides
-only speed: every word gets the same ids with or without it, so its size is a plain parameter.
+worker. The distinct words of a batch walk it together, a byte of all of them at a time; words that
+aren't in it are merged exactly, pair by pair in rank order. The lexicon decides only speed: every
+word gets the same ids with or without it, so its size is a plain parameter.
 
 Edge cases: null and empty texts give an empty list; a special token's string is ordinary text;
 very long texts and words are handled whole (merging takes n log n steps); repeated rows each get
@@ -15,6 +16,7 @@ their row; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import mmap
 import os
@@ -35,7 +37,7 @@ from tarmac.session import shared_dir
 TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed values: the vocabulary's word pattern
 LEXICON_WORDS = 50_000
-MEMO = 400_000
+LONGEST = 64  # characters of a word that is counted for the lexicon
 MAGIC = b"TMLX0001"
 
 
@@ -170,6 +172,39 @@ class Lexicon:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """The arrays over the map itself: arc keys (state, label) in order, targets, outputs of arcs, of states, and their ids."""
+        first, target, arc_out, final, starts, flat = (np.frombuffer(x, "<i4") for x in (self.first, self.target, self.arc_out, self.final, self.starts, self.flat))
+        key = np.repeat(np.arange(len(first) - 1, dtype=np.int64), np.diff(first)) << 8 | np.frombuffer(self.label, np.uint8)
+        return key, target, arc_out, final, starts, flat
+
+    def walk(self, words: list[bytes], tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are held, how many ids each of them has (0 if not), and their ids in a row."""
+        key, target, arc_out, final, starts, flat = tables
+        size = np.array([len(w) for w in words])
+        longest = int(size.max(initial=0))
+        text = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(len(words), longest)
+        state, alive = np.full(len(words), self.root, np.int64), np.full(len(words), len(key) > 0)
+        out = np.zeros((len(words), longest + 1), np.int64)  # output 0 is empty
+        for i in range(longest):
+            at = np.flatnonzero(alive & (size > i))
+            if not len(at):
+                break
+            want = state[at] << 8 | text[at, i]
+            arc = np.searchsorted(key, want)
+            arc[arc == len(key)] = 0
+            ok = key[arc] == want
+            alive[at[~ok]] = False
+            at, arc = at[ok], arc[ok]
+            state[at] = target[arc]
+            out[at, i] = arc_out[arc]
+        end = np.where(alive, final[state], -1)
+        held = end >= 0
+        out[~held] = 0
+        out[:, longest] = np.where(held, end, 0)
+        n = starts[out + 1] - starts[out]
+        return held, n.sum(1), _spans(starts[out].ravel(), n.ravel(), flat)
+
     def get(self, word: bytes) -> list[int] | None:
         state, out = self.root, []
         for b in word:
@@ -189,20 +224,33 @@ class Lexicon:
         return None if end < 0 else out + self.flat[self.starts[end] : self.starts[end + 1]].tolist()
 
 
+def _spans(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of all spans, one after the other."""
+    some = size > 0
+    start, size = start[some].astype(np.int64), size[some].astype(np.int64)
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))] if len(size) else flat[:0]
+
+
 def frequent_words(texts: DataFrame, k: int) -> list[str]:
     """The k most frequent words that occur twice or more, counted over all texts. texts: one column, text."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, seen = regex.compile(PATTERN).findall, Counter()
+
+        def rows() -> pd.DataFrame:
+            some = [w for w in seen if len(w) <= LONGEST]
+            return pd.DataFrame({"word": some, "n": [seen[w] for w in some]})
+
         for pdf in batches:
             for t in pdf["text"]:
                 if t:
-                    seen.update(w for w in find(t) if len(w) <= 64)
+                    seen.update(find(t))
             if len(seen) > 200_000:
-                yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
-                seen = Counter()
+                yield rows()
+                seen.clear()
         if seen:
-            yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+            yield rows()
 
     counts = texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
     return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(k).select("word").collect()]
@@ -219,36 +267,52 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     shared = shared_dir(spark)
     path = None
     if shared.startswith("file:") or shared.startswith("/"):
-        path = os.path.join("/" + shared.removeprefix("file:").lstrip("/"), f"lexicon-{uuid.uuid4().hex}.bin")
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(data)
-    # A shared folder without a file path (an object store) can't be mapped: the bounded bytes are broadcast instead.
-    sent = spark.sparkContext.broadcast((raw, None if path else data))
+        # Named by its content, so that encoding again writes nothing new.
+        path = os.path.join("/" + shared.removeprefix("file:").lstrip("/"), f"lexicon-{hashlib.sha256(data).hexdigest()[:32]}.bin")
+        if not os.path.exists(path):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(f"{path}.{uuid.uuid4().hex}", "wb") as f:
+                f.write(data)
+            os.replace(f.name, path)
+    # The lexicon is bounded by lexicon_words: where a worker can't map the file (an object store, say), it uses the bytes.
+    sent = spark.sparkContext.broadcast((raw, data))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, own = sent.value
-        known = ranks_of(vocab)
-        lex = Lexicon.mapped(path) if path else Lexicon(own)
-        find, memo = regex.compile(PATTERN).findall, {}
+        known = None
+        lex = Lexicon.mapped(path) if path and os.path.exists(path) else Lexicon(own)
+        tables = lex.tables()
+        find = regex.compile(PATTERN).findall
         for batch in batches:
-            values, offsets = [], [0]
+            number: dict[str, int] = {}
+            tokens, per_text = [], []
             for t in batch.column(1).to_pylist():
-                for w in find(t) if t else ():
-                    ids = memo.get(w)
-                    if ids is None:
-                        b = w.encode()
-                        ids = lex.get(b)
-                        if ids is None:
-                            ids = merge(b, known)
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        if len(w) <= 64:
-                            memo[w] = ids
-                    values += ids
-                offsets.append(len(values))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
+                found = find(t) if t else ()
+                tokens += [number.setdefault(w, len(number)) for w in found]
+                per_text.append(len(found))
+            words = [w.encode() for w in number]
+            short = np.array([len(w) <= 4 * LONGEST for w in words], bool)  # longer ones aren't in it: at most four bytes a character
+            held, size, ids = np.zeros(len(words), bool), np.zeros(len(words), np.int64), np.empty(0, np.int32)
+            if short.any():
+                held[short], size[short], ids = lex.walk([w for w, s in zip(words, short, strict=True) if s], tables)
+            start = np.cumsum(size) - size
+            rest, at = [], len(ids)
+            if not held.all() and known is None:
+                known = ranks_of(vocab)
+            for i in np.flatnonzero(~held):
+                one = merge(words[i], known)
+                start[i], size[i] = at, len(one)
+                at += len(one)
+                rest += one
+            flat = np.concatenate([ids, np.array(rest, np.int32)]).astype(np.int32)
+            order = np.array(tokens, np.int64)
+            values = _spans(start[order], size[order], flat) if len(order) else flat[:0]
+            ends = np.r_[0, np.cumsum(size[order])] if len(order) else np.zeros(1, np.int64)
+            offsets = ends[np.r_[0, np.cumsum(np.array(per_text, np.int64))]]
+            if offsets[-1] > 2**31 - 1:
+                raise ValueError("a batch has more ids than a list array holds: set spark.sql.execution.arrow.maxRecordsPerBatch lower")
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "ids"])
 
     base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
     return base.mapInArrow(run, f"{id_col} long, ids array<int>")

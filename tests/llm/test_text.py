@@ -46,6 +46,14 @@ def test_transducer_holds_exactly_its_words(tmp_path):
     lex = lexicon.Lexicon.mapped(str(path))
     assert all(lex.get(w) == ids for w, ids in entries.items())
     assert all(lex.get(w + b"zz") is None and lex.get(w[:-1] + b"\xff") is None for w in words[:500])
+    rows = [*words[::7], b"", b"zzz", b" walkin", b"\xff" * 9]
+    held, size, ids = lex.walk(rows, lex.tables())
+    at = 0
+    for w, h, n in zip(rows, held, size, strict=True):
+        assert h == (w in entries) and ids[at : at + n].tolist() == (entries[w] if h else [])
+        at += n
+    empty = lexicon.Lexicon(lexicon.compile_lexicon({}))
+    assert not empty.walk([b"a", b"bc"], empty.tables())[0].any()
     assert lex.get(b"") is None and lexicon.Lexicon(lexicon.compile_lexicon({})).get(b"a") is None
     assert len(lex.final) < sum(map(len, words)) / 2  # suffixes are shared
 
