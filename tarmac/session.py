@@ -12,12 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; a temporary one is set only where none is (tests)."""
+    """The checkpoint folder of the cluster. Where none is named, a local session (tests) gets a temporary one; a cluster is refused, as its machines would share none."""
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarmac-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
