@@ -85,17 +85,12 @@ def pieces(x0: int, x1: int, limit: int, overlap: int, starts: list[int], ends:
 
 
 def found(tiles: DataFrame, boxes: DataFrame, specs: DataFrame, objective: str = "first") -> DataFrame:
-    """tile_id, piece_no, x0, x1 of every tile wider than its plan's limit.
-
-    specs (one row per plan) is brought to the driver; more than 10,000 rows raise an error.
-    """
-    rows = specs.select("plan", "limit_px", "overlap_px", "min_retained").filter("plan is not null").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("too many plans")
-    for r in rows:
-        if None in (r.limit_px, r.overlap_px, r.min_retained) or r.limit_px < 2 or not 0 <= r.overlap_px < r.limit_px / 2:
-            raise ValueError(f"plan {r.plan}: {r}")
-    spec = F.broadcast(specs.filter("plan is not null").select("plan", F.col("limit_px").alias("_limit"), F.col("overlap_px").alias("_overlap"), F.col("min_retained").alias("_least")))
+    """tile_id, piece_no, x0, x1 of every tile wider than its plan's limit."""
+    named = specs.select("plan", "limit_px", "overlap_px", "min_retained").filter("plan is not null")
+    bad = named.filter("limit_px is null or overlap_px is null or min_retained is null or limit_px < 2 or overlap_px < 0 or overlap_px >= limit_px / 2").head(1)
+    if bad:
+        raise ValueError(f"plan {bad[0].plan}: {bad[0]}")
+    spec = named.select("plan", F.col("limit_px").alias("_limit"), F.col("overlap_px").alias("_overlap"), F.col("min_retained").alias("_least"))
     wide = (
         tiles.select("tile_id", "plan", F.col("x0").alias("_x0"), F.col("x1").alias("_x1")).filter("tile_id is not null")
         .join(spec, "plan").filter("_x1 - _x0 > _limit").dropDuplicates(["tile_id"])
