@@ -290,12 +290,14 @@ def a22_operating_counts(spark, sf):
     return o.select("cls", "predictions", F.round("mean_conf", 6).alias("mean_conf"), "images_with", F.round("frac_with", 6).alias("frac_with")).filter("predictions > 0")
 
 
-@query(sql("di da dd", ", ng AS (SELECT country, image_id FROM di WHERE image_id NOT IN (SELECT image_id FROM da WHERE cls = 3)) SELECT ng.country, count(DISTINCT ng.image_id) AS n_images, count(pred_id) AS predictions, round(count(pred_id) / CAST(greatest(count(DISTINCT ng.image_id), 1) AS DOUBLE), 6) AS fp_per_image FROM ng LEFT JOIN (SELECT image_id, pred_id FROM dd WHERE cls = 3 AND conf >= 0.25) d USING (image_id) GROUP BY ng.country"))
+@query(sql("di da dd", ", ng AS (SELECT CAST(c AS INTEGER) AS cls, country, image_id FROM di, range(6) r(c) WHERE NOT EXISTS (SELECT 1 FROM da WHERE da.image_id = di.image_id AND da.cls = c)) SELECT ng.cls, ng.country, count(DISTINCT ng.image_id) AS n_images, count(pred_id) AS predictions, round(count(pred_id) / CAST(greatest(count(DISTINCT ng.image_id), 1) AS DOUBLE), 6) AS fp_per_image FROM ng LEFT JOIN (SELECT image_id, cls, pred_id FROM dd WHERE conf >= 0.25) p USING (image_id, cls) GROUP BY ng.cls, ng.country"))
 def a23_false_positive_rate(spark, sf):
-    """Detections of class 3 on images that hold none of it."""
-    neg = d_images(spark, sf).select("country", "image_id").join(d_annotations(spark, sf).filter("cls = 3").select("image_id"), "image_id", "left_anti")
-    d = d_detections(spark, sf).filter("cls = 3").join(neg, "image_id")
-    return stats.operating_counts(d, neg, 0.25, ["country"]).select("country", "n_images", "predictions", F.round("fp_per_image", 6).alias("fp_per_image"))
+    """Detections of every class on images that hold none of it."""
+    every = d_images(spark, sf).select("country", "image_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("cls"))
+    neg = every.join(d_annotations(spark, sf).select("image_id", "cls").distinct(), ["image_id", "cls"], "left_anti")
+    d = d_detections(spark, sf).join(neg, ["image_id", "cls"])
+    return stats.operating_counts(d, neg, 0.25, ["cls", "country"]).select("cls", "country", "n_images", "predictions", F.round("fp_per_image", 6).alias("fp_per_image"))
+
 
 
 @query(sql("di da", "SELECT image_id, country FROM di WHERE NOT EXISTS (SELECT 1 FROM da WHERE da.image_id = di.image_id)"))

@@ -98,15 +98,15 @@ def a20_verdict(spark, sf):
     return v.select(F.round("mean_delta", 6).alias("mean_delta"), F.round("max_abs_effect", 4).alias("max_abs_effect"), "within_noise")
 
 
-@query(sq(", lf AS (SELECT 'pooled' AS grain, NULL AS country, NULL AS cls, metric, run, avg(value) AS v FROM me WHERE config = 'base6' GROUP BY ALL UNION ALL SELECT 'class', NULL, cls, metric, run, avg(value) FROM me WHERE config = 'base6' GROUP BY ALL UNION ALL SELECT 'country', country, NULL, metric, run, avg(value) FROM me WHERE config = 'base6' GROUP BY ALL UNION ALL SELECT 'class_country', country, cls, metric, run, avg(value) FROM me WHERE config = 'base6' GROUP BY ALL) SELECT grain, country, cls, metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(v) AS n, round(min(v), 6) AS min, round(max(v), 6) AS max FROM lf GROUP BY ALL"))
+@query(sq(", lf AS (SELECT config, 'pooled' AS grain, NULL AS country, NULL AS cls, metric, run, avg(value) AS v FROM me GROUP BY ALL UNION ALL SELECT config, 'class', NULL, cls, metric, run, avg(value) FROM me GROUP BY ALL UNION ALL SELECT config, 'country', country, NULL, metric, run, avg(value) FROM me GROUP BY ALL UNION ALL SELECT config, 'class_country', country, cls, metric, run, avg(value) FROM me GROUP BY ALL) SELECT config, grain, country, cls, metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(v) AS n, round(min(v), 6) AS min, round(max(v), 6) AS max FROM lf GROUP BY ALL"))
 def a21_seed_spread(spark, sf):
     """a15, u4: population deviation over seeds at four grains, from values of each grain."""
-    m = metrics(spark, sf).filter("config = 'base6'")
+    m = metrics(spark, sf)
     none = lambda t: F.lit(None).cast(t)
-    part = lambda grain, *k: m.groupBy("run", "metric", *k).agg(F.avg("value").alias("value")).select(F.lit(grain).alias("grain"), (F.col("country") if "country" in k else none("string")).alias("country"), (F.col("cls") if "cls" in k else none("int")).alias("cls"), "metric", "run", "value")
+    part = lambda grain, *k: m.groupBy("config", "run", "metric", *k).agg(F.avg("value").alias("value")).select("config", F.lit(grain).alias("grain"), (F.col("country") if "country" in k else none("string")).alias("country"), (F.col("cls") if "cls" in k else none("int")).alias("cls"), "metric", "run", "value")
     lf = part("pooled").unionByName(part("class", "cls")).unionByName(part("country", "country")).unionByName(part("class_country", "country", "cls"))
-    s = stats.mean_population_std(lf, ["grain", "country", "cls", "metric"])
-    return s.select("grain", "country", "cls", "metric", *(F.round(c, 6).alias(c) for c in ("mean", "std")), "n", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
+    s = stats.mean_population_std(lf, ["config", "grain", "country", "cls", "metric"])
+    return s.select("config", "grain", "country", "cls", "metric", *(F.round(c, 6).alias(c) for c in ("mean", "std")), "n", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
 
 
 @query(sq(f", {PER.format(k='cls,')}, m AS (SELECT config, cls, avg(v) AS mean FROM pr WHERE metric = 'AP50' GROUP BY ALL) SELECT b.cls, round(b.mean, 6) AS base, CASE WHEN b.cls < 4 THEN round(c.mean, 6) END AS variant, coalesce(CASE WHEN b.cls < 4 THEN printf('%+.4f', c.mean - b.mean) END, '-') AS diff FROM m b JOIN m c ON b.config = 'base6' AND c.config = 'ctrl4' AND b.cls = c.cls"))
