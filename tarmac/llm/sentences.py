@@ -76,7 +76,7 @@ PAIR = dict(zip(CLOSE, OPEN, strict=True))
 OPENING = "\"„" + OPEN
 CLOSERS = CLOSE + "\"'’“"
 CANDIDATE = regex.compile(rf"[{regex.escape(END)}]+[{regex.escape(CLOSERS)}]*")
-BLANK = regex.compile(r"(?:\r\n|[\n\r \x85])[^\S\n\r]*(?:\r\n|[\n\r \x85])\s*| \s*")
+BLANK = regex.compile(r"(?>\r\n|[\n\r \x85])[^\S\n\r]*(?>\r\n|[\n\r \x85])\s*| \s*")
 THAI = regex.compile(r"(?<=[\p{Thai}\p{P}\p{S}])[^\S\n\r]+(?=[\p{Thai}\p{P}\p{S}])")
 LIST_NO = regex.compile(r"\(?(?:[0-9]{1,3}|[a-zA-Z])[.)]")
 BREAKS = "([{“„«\"‘/!?…"

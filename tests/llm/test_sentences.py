@@ -59,6 +59,10 @@ def test_a_speaker_may_be_far_away():
     assert len(sentences.spans(f'"Is it a crack?" The woman from {far}house left. It rained.')) == 3
 
 
+def test_line_breaks_of_two_characters():
+    assert len(sentences.spans("It rained in\r\nthe night.\r\nThe crew left.\r\n \r\nOpen points\r\n\r\nNone.")) == 4
+
+
 def test_no_word_is_too_long():
     assert len(sentences.spans("Seen at " + "x" * 300 + ". It rained.")) == 2
     assert len(sentences.spans(" ".join(["x" * 100_000 + "."] * 3 + ["It rained."]))) >= 1
