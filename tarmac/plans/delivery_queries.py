@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import geometry as G
 from tarmac.functions import labels as L
-from tarmac.operators import curves, dedup, gates, matching, stats, tiling
+from tarmac.operators import curves, dedup, gates, matching, monitor, stats, tiling
 from tarmac.plans.base import annotations, d_annotations, d_detections, d_hash, d_images, images, split_name, sql
 from tarmac.plans.detection_queries import CURVE, IOU, SUBSETS, TILES, TP, _fold, scored
 from tarmac.plans.group_queries import CC, NAMES, NEAR, REPS, SEQS, names, seqs
+from tarmac.plans.label_queries import NORM, normalised
 from tarmac.plans.report_queries import RUNS, field, runs
-from tarmac.plans.stats_queries import METRICS, PER, per_run
+from tarmac.plans.stats_queries import METRICS, PER, RES, per_run
 from tarmac.session import cut, table
 from tarmac.sinks import writers
 from tarmac.sources import readers
@@ -237,3 +238,38 @@ def g10_predict_tiles(spark, sf):
     t = tiling.grid(d_images(spark, sf)).select("image_id", "tx0", "ty0", "tx1", "ty1")
     out = tiling.predict_tiles(t, whole, "image_id long, pixels long")
     return out.groupBy("image_id").agg(F.count("*").alias("n_tiles"), F.sum("pixels").alias("pixels"))
+
+
+@query(sql("im an", f", {NORM} SELECT i.image_id FROM i LEFT JOIN (SELECT DISTINCT image_id FROM nm WHERE cls IS NOT NULL AND nw > 0 AND nh > 0) ok USING (image_id) WHERE ok.image_id IS NULL"))
+def f24_blank_label_files(spark, sf):
+    """Negatives as an export shows them: images whose label file is there and blank."""
+    n = normalised(spark, sf).filter("cls is not null and nw > 0 and nh > 0").select("image_id", "cls", "cx", "cy", F.col("nw").alias("w"), F.col("nh").alias("h"))
+    return writers.label_files(images(spark, sf), n, "image_id").filter(F.trim("content") == "").select("image_id")
+
+
+@query(f"WITH {RES}, pl AS (SELECT 'run' || i AS run, 6 AS epochs FROM range(8) q(i)), g AS (SELECT run, max(epoch) AS done, max(time) AS t FROM re GROUP BY run), p AS (SELECT run, greatest(epochs - coalesce(done, 0), 0) AS remaining, coalesce(t / done, 600) AS pace FROM pl LEFT JOIN g USING (run)) SELECT run, round(remaining * pace, 3) AS eta_s, printf('%dd %02dh %02dm %02ds', CAST(floor(remaining * pace / 86400) AS BIGINT), CAST(floor(remaining * pace % 86400 / 3600) AS BIGINT), CAST(floor(remaining * pace % 3600 / 60) AS BIGINT), CAST(floor(remaining * pace % 60) AS BIGINT)) AS left_over, round(remaining * pace / 3600.0 * 0.526, 4) AS cost FROM p")
+def a32_eta_and_cost(spark, sf):
+    """What planned runs still take, as a duration, and cost at an hourly rate."""
+    li = table(spark, sf, "lineitem").filter("l_linenumber <= 2 + l_suppkey % 7")
+    r = li.groupBy(F.concat(F.lit("run"), (F.col("l_suppkey") % 7).cast("string")).alias("run"), F.col("l_linenumber").alias("epoch")).agg(F.round(F.avg("l_discount"), 5).alias("map50")).withColumn("time", F.col("epoch") * 550.0)
+    planned = spark.range(8).select(F.concat(F.lit("run"), F.col("id").cast("string")).alias("run"), F.lit(6).alias("epochs"))
+    p = monitor.progress(r, planned)
+    return p.select("run", F.round("eta_s", 3).alias("eta_s"), monitor.duration(F.col("eta_s")).alias("left_over"), F.round(monitor.cost(F.col("eta_s"), 0.526), 4).alias("cost"))
+
+
+@query("SELECT CASE WHEN grouping(n_name) = 1 THEN 'TOTAL' ELSE n_name END AS country, CASE WHEN grouping(o_orderstatus) = 1 THEN 'all' ELSE o_orderstatus END AS split, count(*) AS n, min(o_orderkey) AS sample_first, max(o_orderkey) AS sample_last FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, o_orderstatus)")
+def a31_rollup_levels(spark, sf):
+    """Counts by country and split, by country, and in all, with samples of each."""
+    o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    level = lambda k, all_: F.when(F.grouping(k) == 1, all_).otherwise(F.col(k))
+    g = j.rollup("n_name", "o_orderstatus").agg(level("n_name", "TOTAL").alias("country"), level("o_orderstatus", "all").alias("split"), F.count("*").alias("n"), F.min("o_orderkey").alias("sample_first"), F.max("o_orderkey").alias("sample_last"))
+    return g.select("country", "split", "n", "sample_first", "sample_last")
+
+
+@query("SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS month, count(*) AS n, strftime(max(o_orderdate) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M') AS last_and_half FROM orders GROUP BY 1")
+def d_months(spark, sf):
+    """Month starts, and times shifted by a duration."""
+    o = table(spark, sf, "orders")
+    shifted = F.date_format(F.max("o_orderdate") + F.expr("interval 36 hours"), "yyyy-MM-dd HH:mm")
+    return o.groupBy(F.date_format(F.date_trunc("month", "o_orderdate"), "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), shifted.alias("last_and_half"))
