@@ -174,7 +174,7 @@ def g8_stitched_hulls(spark, sf):
 @query(sql("di da dd", f", {TILES}, {FRAG}, {LINK}, e AS (SELECT a AS u, b AS v FROM lk0 UNION SELECT b, a FROM lk0), cc(n, l) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, cc.l FROM cc JOIN e ON cc.n = e.u), lb AS (SELECT n, min(l) AS label FROM cc GROUP BY n) SELECT coalesce(label, det_id) AS group_id, image_id, cls, round(max(conf * retained), 5) AS score, CAST(greatest(0, min(x0)) AS DOUBLE) AS x0, CAST(greatest(0, min(y0)) AS DOUBLE) AS y0, CAST(least(max(width), max(x1)) AS DOUBLE) AS x1, CAST(least(max(height), max(y1)) AS DOUBLE) AS y1, count(*) AS n_parts, array_to_string(list_sort(list(DISTINCT tile_index)), ',') AS tiles FROM f LEFT JOIN lb ON n = det_id GROUP BY 1, 2, 3", True))
 def g8_stitch(spark, sf):
     """Fragments joined across seams; whole images pass through."""
-    return tiling.stitch(cut(_fragments(spark, sf))).withColumn("score", F.round("score", 5)).select("group_id", "image_id", "cls", "score", "x0", "y0", "x1", "y1", "n_parts", "tiles")
+    return tiling.stitch(_fragments(spark, sf)).withColumn("score", F.round("score", 5)).select("group_id", "image_id", "cls", "score", "x0", "y0", "x1", "y1", "n_parts", "tiles")
 
 
 @query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE}, lv AS (SELECT cu.subset, cu.cls, cu.thr, i, max(tpc / CAST(rk AS DOUBLE)) AS m FROM cu JOIN range(101) g(i) ON tpc / CAST(n AS DOUBLE) * 100 + 1e-9 >= i GROUP BY ALL) SELECT sg.subset, sg.cls, th.thr, round(coalesce(sum(m), 0) / 101, 6) AS ap FROM sg JOIN th ON TRUE LEFT JOIN lv ON lv.subset = sg.subset AND lv.cls = sg.cls AND lv.thr = th.thr GROUP BY ALL"))
