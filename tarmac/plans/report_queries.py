@@ -168,7 +168,7 @@ def g7_seam_relations(spark, sf):
 
 @query(sql("di da dd", f", {TILES}, {FRAG}, {LINK}, e AS (SELECT a AS u, b AS v FROM lk0 UNION SELECT b, a FROM lk0), cc(n, l) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, cc.l FROM cc JOIN e ON cc.n = e.u), lb AS (SELECT n, min(l) AS label FROM cc GROUP BY n) SELECT coalesce(label, det_id) AS group_id, count(*) AS n_parts, CAST(greatest(0, min(x0)) AS DOUBLE) AS x0, CAST(least(max(width), max(x1)) AS DOUBLE) AS x1 FROM f LEFT JOIN lb ON n = det_id GROUP BY 1", True))
 def g8_stitched_hulls(spark, sf):
-    return tiling.stitch(cut(_fragments(spark, sf))).select("group_id", "n_parts", "x0", "x1")
+    return tiling.stitch(_fragments(spark, sf)).select("group_id", "n_parts", "x0", "x1")
 
 
 @query(sql("di da dd", f", {TILES}, {FRAG}, {LINK}, e AS (SELECT a AS u, b AS v FROM lk0 UNION SELECT b, a FROM lk0), cc(n, l) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, cc.l FROM cc JOIN e ON cc.n = e.u), lb AS (SELECT n, min(l) AS label FROM cc GROUP BY n) SELECT coalesce(label, det_id) AS group_id, image_id, cls, round(max(conf * retained), 5) AS score, CAST(greatest(0, min(x0)) AS DOUBLE) AS x0, CAST(greatest(0, min(y0)) AS DOUBLE) AS y0, CAST(least(max(width), max(x1)) AS DOUBLE) AS x1, CAST(least(max(height), max(y1)) AS DOUBLE) AS y1, count(*) AS n_parts, array_to_string(list_sort(list(DISTINCT tile_index)), ',') AS tiles FROM f LEFT JOIN lb ON n = det_id GROUP BY 1, 2, 3", True))
