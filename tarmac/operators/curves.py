@@ -7,11 +7,16 @@ their ranks and the later maximum give, so false positives count by rank alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.operators.components import ranges, running
-from tarmac.session import cut
+from tarmac.session import cut, shared
 
 GRID = 1000
 
@@ -149,3 +154,110 @@ def mean_of_recalls(ranks: DataFrame, tps: DataFrame, n_gt: DataFrame, threshold
     ap = p.groupBy("subset", "cls", "thr").agg((F.sum(F.when(hi >= lo, (hi - lo + 1) * F.col("envelope")).otherwise(0.0)) / 101).alias("ap"))
     every = n_gt.select("subset", "cls", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("thr"))
     return every.join(ap, ["subset", "cls", "thr"], "left").select("subset", "cls", "thr", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+class Lines:
+    """The curves of marked detections, of all subsets (ALL) and of each, in one pass over detections sorted once.
+
+    marked: as `matching.marked` gives them. They are laid out in ranges of class and confidence, shuffled once and
+    kept nowhere else; how many rows and true positives of each subset and class lie before a range goes to the driver.
+    """
+
+    def __init__(self, marked: DataFrame, thresholds: tuple[float, ...]):
+        order = ["cls", F.desc("conf"), "pred_id"]
+        parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.rows, self.thresholds, self.kind = shared(marked.repartitionByRange(parts, *order).sortWithinPartitions(*order)), thresholds, dict(marked.dtypes)
+        self.n: dict = {}
+        for r in self.rows.filter("n is not null").groupBy("subset", "cls").agg(F.sum("n").alias("n")).collect():
+            self.n[r.subset, r.cls] = r.n
+            self.n["ALL", r.cls] = self.n.get(("ALL", r.cls), 0) + r.n
+        bits = [F.count_if(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias(f"c{i}") for i in range(len(thresholds))]
+        found = self.rows.filter("n is null").groupBy(F.spark_partition_id().alias("part"), "subset", "cls").agg(F.count("*").alias("c"), *bits).collect()
+        self.before: dict = {}
+        so_far: dict = {}
+        for part in sorted({r.part for r in found}):
+            self.before[part] = dict(so_far)
+            for r in (r for r in found if r.part == part):
+                for key in {(r.subset, r.cls), ("ALL", r.cls)}:
+                    so_far[key] = so_far.get(key, 0) + np.array(r[3:], "int64")
+
+    def ground_truth(self) -> DataFrame:
+        return self.rows.sparkSession.createDataFrame([(*k, v) for k, v in self.n.items()], f"subset string, cls {self.kind['cls']}, n long")
+
+    def _walk(self):
+        """A function from batches to (subset, cls, n, table, counts) of rows that are true somewhere; counts: rank, then true positives at each threshold."""
+        before, n, bits = self.before, self.n, np.arange(len(self.thresholds))
+
+        def walk(batches: Iterator[pa.RecordBatch]):
+            here = dict(before.get(TaskContext.get().partitionId(), {}))
+            for batch in batches:
+                t = pa.Table.from_batches([batch])
+                t = t.filter(t.column("n").is_null())
+                mask, cls = t.column("mask").to_numpy(), t.column("cls").to_numpy()
+                one = np.column_stack((np.ones(t.num_rows, "int64"), (mask[:, None] >> bits) & 1))
+                own = t.column("subset").combine_chunks().dictionary_encode()
+                for codes, names in ((np.zeros(t.num_rows, int), ["ALL"]), (own.indices.fill_null(len(own.dictionary)).to_numpy(), [*own.dictionary.to_pylist(), None])):
+                    order = np.lexsort((codes, cls))
+                    at = np.flatnonzero((np.diff(codes[order], prepend=-1) != 0) | (np.diff(cls[order], prepend=cls[:1] - 1) != 0))
+                    for lo, hi in zip(at, [*at[1:], t.num_rows], strict=True):
+                        at_rows = order[lo:hi]  # in order of rank, as sorting is stable
+                        key = (names[codes[at_rows[0]]], cls[at_rows[0]].item())
+                        k = here.get(key, 0) + np.cumsum(one[at_rows], axis=0)
+                        here[key] = k[-1]
+                        true = mask[at_rows] != 0
+                        if key in n and true.any():
+                            yield *key, n[key], t.take(pa.array(at_rows[true])), k[true]
+
+        return walk
+
+    def points(self) -> DataFrame:
+        """subset, cls, thr, pred_id, rank, k (true positives so far), recall, precision at every true positive."""
+        walk = self._walk()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for subset, cls, n, t, k in walk(batches):
+                rows = t.num_rows
+                ks = pa.ListArray.from_arrays(pa.array(np.arange(0, k[:, 1:].size + 1, k.shape[1] - 1), pa.int32()), pa.array(k[:, 1:].ravel()))
+                yield from pa.table({"subset": pa.repeat(subset, rows), "cls": pa.repeat(pa.scalar(cls, t.schema.field("cls").type), rows), "pred_id": t.column("pred_id"), "mask": t.column("mask"), "rank": k[:, 0], "n": pa.repeat(pa.scalar(n, pa.int64()), rows), "k": ks}).to_batches()
+
+        wide = self.rows.mapInArrow(run, f"subset string, cls {self.kind['cls']}, pred_id {self.kind['pred_id']}, mask int, rank long, n long, k array<long>")
+        each = F.array(*(F.struct(F.lit(float(x)).alias("thr"), F.lit(1 << i).alias("bit"), F.get("k", i).alias("k")) for i, x in enumerate(self.thresholds)))
+        rows = wide.withColumn("s", F.explode(each)).filter("mask & s.bit <> 0")
+        return rows.select("subset", "cls", F.col("s.thr").alias("thr"), "pred_id", "rank", F.col("s.k").alias("k"), (F.col("s.k") / F.col("n")).alias("recall"), (F.col("s.k") / F.col("rank")).alias("precision"))
+
+    def scores(self) -> DataFrame:
+        """subset, cls, thr, ap (`average_precision`) and mean (of the envelope at 101 recalls, without interpolation: an independent cross-check).
+
+        The envelope is constant between two true positives, as a rank that is none lies below it. So both scores ask
+        at each recall level for the greatest precision among true positives beyond it (mean: at or beyond it): a
+        range keeps the greatest precision per number of levels reached.
+        """
+        walk, thresholds = self._walk(), self.thresholds
+        levels = np.arange(100) * 0.01
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict = {}
+            for subset, cls, n, t, k in walk(batches):
+                mask = t.column("mask").to_numpy()
+                for i in range(len(thresholds)):
+                    rows = mask & (1 << i) != 0
+                    r, p = k[rows, i + 1] / n, k[rows, i + 1] / k[rows, 0]
+                    top = best.setdefault((subset, cls, i), np.zeros((2, 102)))
+                    np.maximum.at(top[0], np.searchsorted(levels, r), p)
+                    np.maximum.at(top[1], np.floor(r * 100 + 1e-9).astype(int) + 1, p)
+            out = [(s, c, float(thresholds[i]), kind, b, top[kind, b]) for (s, c, i), top in best.items() for kind in (0, 1) for b in np.flatnonzero(top[kind]).tolist()]
+            yield pa.RecordBatch.from_pylist([dict(zip(("subset", "cls", "thr", "kind", "reached", "p"), r, strict=True)) for r in out], schema)
+
+        small = self.rows.select("cls").schema
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        schema = pa.schema([("subset", pa.string()), ("cls", to_arrow_type(small["cls"].dataType)), ("thr", pa.float64()), ("kind", pa.int32()), ("reached", pa.int32()), ("p", pa.float64())])
+        tops = self.rows.mapInArrow(run, f"subset string, cls {self.kind['cls']}, thr double, kind int, reached int, p double").groupBy("subset", "cls", "thr", "kind", "reached").agg(F.max("p").alias("p"))
+        w = Window.partitionBy("subset", "cls", "thr", "kind")
+        e = tops.withColumn("e", F.max("p").over(w.orderBy(F.desc("reached")))).withColumn("_from", F.coalesce(F.lag("reached").over(w.orderBy("reached")), F.lit(0)))
+        steps = F.col("reached") - F.col("_from")
+        half = F.when((F.col("_from") == 0) & (F.col("reached") > 0), 0.5).otherwise(0.0)
+        area = F.when(F.col("kind") == 0, F.col("e") * (steps - half) * 0.01).otherwise(F.col("e") * steps / 101)
+        got = e.groupBy("subset", "cls", "thr").agg(F.sum(F.when(F.col("kind") == 0, area)).alias("ap"), F.sum(F.when(F.col("kind") == 1, area)).alias("mean"))
+        every = self.ground_truth().select("subset", "cls", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("thr"))
+        return every.join(got, ["subset", "cls", "thr"], "left").fillna(0.0, ["ap", "mean"])

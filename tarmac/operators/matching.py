@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import geometry as G
 from tarmac.operators.components import least_labels
+from tarmac.operators.sweep import chains, doubles, lined_up
 from tarmac.session import cut
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -53,6 +57,60 @@ def true_masks(pairs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) ->
     return best.select("image_id", "cls", "gt_id", "pred_id", mask.alias("mask")).filter("mask <> 0")
 
 
+def marked(boxes: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, least: float = 0.5) -> DataFrame:
+    """subset, cls, pred_id, conf, mask of every detection, as `true_masks` has it (0: true nowhere); and counts of ground truth, as rows with n.
+
+    boxes: subset, image_id, cls, id, gt (whether it is ground truth), conf, x0..y1. Pairs are found and settled
+    where an image's boxes are, and never written.
+    """
+    kind = dict(boxes.dtypes)
+    sides = ("x0", "y0", "x1", "y1")
+
+    def iou(t: pa.Table):
+        c = {k: doubles(t, k) for k in sides}
+        area = (c["x1"] - c["x0"]) * (c["y1"] - c["y0"])
+
+        def value(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            w, h = (np.minimum(c[f"{k}1"][i], c[f"{k}1"][j]) - np.maximum(c[f"{k}0"][i], c[f"{k}0"][j]) for k in "xy")
+            lap = w * h
+            with np.errstate(all="ignore"):
+                return np.where((w > 0) & (h > 0), lap / (area[i] + area[j] - lap), 0.0)
+
+        return value
+
+    def linked(t: pa.Table):
+        gt, value = t.column("gt").to_numpy(), iou(t)
+        return lambda i, j: (gt[i] != gt[j]) & ((v := value(i, j)) >= least) & (v > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, a, b in chains(batches, ["image_id", "cls"], "x0", "x1", 0.0, linked):
+            gt, conf = t.column("gt").to_numpy(), doubles(t, "conf")
+            g, p = np.where(gt[a], a, b), np.where(gt[a], b, a)
+            v = iou(t)(g, p)
+            place = np.empty(t.num_rows, int)
+            place[pc.sort_indices(t.column("id")).to_numpy()] = np.arange(t.num_rows)
+            order = np.lexsort((place[g], -v, p))
+            order = order[np.diff(p[order], prepend=-1) != 0]
+            g, p, v = g[order], p[order], v[order]
+            order = np.lexsort((place[p], -conf[p], g))
+            g, p = g[order], p[order]
+            # Thresholds reached, and the most that a more confident detection of the same ground truth has reached.
+            level = np.searchsorted(np.asarray(thresholds), v[order], side="right")
+            part = np.cumsum(np.diff(g, prepend=-1) != 0) * 64
+            most = np.maximum.accumulate(level + part) - part if len(g) else level
+            had = np.where(np.diff(g, prepend=-1) != 0, 0, np.append(0, most[:-1])) if len(g) else level
+            mask = np.zeros(t.num_rows, "int32")
+            mask[p] = (1 << level) - (1 << np.minimum(had, level))
+            kept = t.filter(pa.array(~gt))
+            yield from pa.table({"subset": kept.column("subset"), "cls": kept.column("cls"), "pred_id": kept.column("id"), "conf": kept.column("conf"), "mask": pa.array(mask[~gt]), "n": pa.nulls(kept.num_rows, pa.int64())}).to_batches()
+            n = t.filter(pa.array(gt)).group_by(["subset", "cls"]).aggregate([([], "count_all")])
+            none = lambda k: pa.nulls(n.num_rows, t.schema.field(k).type)  # noqa: B023, E731
+            yield from pa.table({"subset": n.column("subset"), "cls": n.column("cls"), "pred_id": none("id"), "conf": none("conf"), "mask": pa.array(np.zeros(n.num_rows, "int32")), "n": n.column("count_all")}).to_batches()
+
+    needs = ["subset", "image_id", "cls", "id", "gt", "conf", *sides]
+    return lined_up(boxes.select(*needs), ["image_id", "cls"], "x0").mapInArrow(run, f"subset string, cls {kind['cls']}, pred_id {kind['id']}, conf {kind['conf']}, mask int, n long")
+
+
 def exploded(masks: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """One row per threshold (thr) of a mask."""
     each = F.array(*(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(float(t))) for i, t in enumerate(thresholds)))

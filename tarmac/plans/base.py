@@ -48,25 +48,30 @@ def _id(prefix=""):
     return F.concat_ws("-", *(F.lpad(F.col(f"l_{k}").cast("string"), n, "0") for k, n in (("orderkey", 10), ("linenumber", 2), ("partkey", 8), ("suppkey", 8))))
 
 
-def d_annotations(spark, sf):
+def d_annotations(spark, sf, more=()):
     li = table(spark, sf, "lineitem")
-    im = d_images(spark, sf).select("image_id", "width", "height")
+    im = d_images(spark, sf).select("image_id", "width", "height", *more)
     x0 = (F.col("l_partkey") * 37 + F.col("l_linenumber") * 211) % F.col("width")
     y0 = (F.col("l_suppkey") * 53 + F.col("l_linenumber") * 97) % F.col("height")
     q = F.col("l_quantity").cast("bigint")
     j = li.join(im, li.l_orderkey == im.image_id)
     return j.select(
-        "image_id", "width", "height", _id().alias("gt_id"), (F.col("l_partkey") % 6).cast("int").alias("cls"), (F.col("l_partkey") % 12).cast("int").alias("label_ix"),
+        *more, "image_id", "width", "height", _id().alias("gt_id"), (F.col("l_partkey") % 6).cast("int").alias("cls"), (F.col("l_partkey") % 12).cast("int").alias("label_ix"),
         x0.cast("long").alias("x0"), y0.cast("long").alias("y0"), F.least(F.col("width"), x0 + q * 4).cast("long").alias("x1"), F.least(F.col("height"), y0 + q * 3).cast("long").alias("y1"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def d_detections(spark, sf):
-    a = d_annotations(spark, sf).filter("l_linenumber <> 7 and x1 - x0 > 4 and y1 - y0 > 8")
+def detected():
+    """Whether an annotation has a detection, and that one's columns."""
     conf = ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % 100003) / F.lit(100003.0)
-    return a.select(
-        "image_id", "width", "height", F.col("gt_id").alias("pred_id"), F.when(F.col("l_suppkey") % 17 == 0, (F.col("cls") + 1) % 6).otherwise(F.col("cls")).alias("cls"), conf.alias("conf"),
-        *((F.col(k) + F.col("l_suppkey") % m - s).cast("long").alias(k) for k, m, s in (("x0", 9, 4), ("y0", 7, 3), ("x1", 5, 2), ("y1", 11, 5))))
+    cls = F.when(F.col("l_suppkey") % 17 == 0, (F.col("cls") + 1) % 6).otherwise(F.col("cls"))
+    sides = {k: (F.col(k) + F.col("l_suppkey") % m - s).cast("long") for k, m, s in (("x0", 9, 4), ("y0", 7, 3), ("x1", 5, 2), ("y1", 11, 5))}
+    return F.expr("l_linenumber <> 7 and x1 - x0 > 4 and y1 - y0 > 8"), {"cls": cls, "conf": conf} | sides
+
+
+def d_detections(spark, sf):
+    found, columns = detected()
+    return d_annotations(spark, sf).filter(found).select("image_id", "width", "height", F.col("gt_id").alias("pred_id"), *(c.alias(k) for k, c in columns.items()))
 
 
 def d_hash(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarmac.functions import labels as L
 from tarmac.operators import curves, gates, matching, tiling
 from tarmac.plans.base import annotations, images, split_name, sql
-from tarmac.plans.detection_queries import CLIPPED, CURVE, FRAG, IOU, SUBSETS, TILES, TP, scored, tile_detections, tiles_and_boxes
+from tarmac.plans.detection_queries import CLIPPED, CURVE, FRAG, IOU, SUBSETS, TILES, TP, lines, tile_detections, tiles_and_boxes
 from tarmac.session import cut, table
 from tarmac.sources import config
 
@@ -180,8 +180,7 @@ def g8_stitch(spark, sf):
 @query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE}, lv AS (SELECT cu.subset, cu.cls, cu.thr, i, max(tpc / CAST(rk AS DOUBLE)) AS m FROM cu JOIN range(101) g(i) ON tpc / CAST(n AS DOUBLE) * 100 + 1e-9 >= i GROUP BY ALL) SELECT sg.subset, sg.cls, th.thr, round(coalesce(sum(m), 0) / 101, 6) AS ap FROM sg JOIN th ON TRUE LEFT JOIN lv ON lv.subset = sg.subset AND lv.cls = sg.cls AND lv.thr = th.thr GROUP BY ALL"))
 def w15_mean_of_recalls(spark, sf):
     """The independent scorer over the same matches."""
-    ranks, tps, n = scored(spark, sf)
-    return curves.mean_of_recalls(ranks, matching.exploded(tps), n, matching.THRESHOLDS).withColumn("ap", F.round("ap", 6))
+    return lines(spark, sf).scores().select("subset", "cls", "thr", F.round("mean", 6).alias("ap"))
 
 
 @query(sql("im", "SELECT country, count(*) AS n FROM i WHERE country IS NOT NULL GROUP BY country ORDER BY n DESC, country LIMIT 10"))

@@ -28,3 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are written once to the shared folder and read from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """The frame with one lineage for all plans that read it: its shuffles are written once, its partitions and their order stay the same."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
