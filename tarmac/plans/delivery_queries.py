@@ -8,7 +8,7 @@ from tarmac.functions import geometry as G
 from tarmac.functions import labels as L
 from tarmac.operators import curves, dedup, gates, matching, monitor, stats, tiling
 from tarmac.plans.base import annotations, d_annotations, d_detections, d_hash, d_images, images, split_name, sql
-from tarmac.plans.detection_queries import CURVE, IOU, SUBSETS, TILES, TP, _fold, scored
+from tarmac.plans.detection_queries import CURVE, IOU, SUBSETS, TILES, TP, _fold, lines
 from tarmac.plans.group_queries import CC, NAMES, NEAR, REPS, SEQS, names, seqs
 from tarmac.plans.label_queries import NORM, normalised
 from tarmac.plans.report_queries import RUNS, field, runs
@@ -181,9 +181,8 @@ def sc8_too_few_reports(spark, sf):
 @query(sql("di da dd", f", {IOU}, {TP}, {SUBSETS}, {CURVE}, lv AS (SELECT cu.subset, cu.cls, cu.thr, i, max(tpc / CAST(rk AS DOUBLE)) AS m FROM cu JOIN range(101) g(i) ON tpc / CAST(n AS DOUBLE) * 100 + 1e-9 >= i GROUP BY ALL), ot AS (SELECT sg.subset, sg.cls, th.thr, coalesce(sum(m), 0) / 101 AS ap FROM sg JOIN th ON TRUE LEFT JOIN lv ON lv.subset = sg.subset AND lv.cls = sg.cls AND lv.thr = th.thr GROUP BY ALL) SELECT ot.subset, count(*) AS n, count(*) FILTER (abs(ap.ap - ot.ap) <= 0.004) AS n_ok, count(*) = count(*) FILTER (abs(ap.ap - ot.ap) <= 0.004) AS passed FROM ot JOIN ap ON ot.subset = ap.subset AND ot.cls = ap.cls AND ot.thr = ap.thr GROUP BY ot.subset"))
 def q9_metric_gate(spark, sf):
     """Two scorers over the same matches must agree within 0.004 at every class and threshold, or the subset is refused."""
-    ranks, tps, n = scored(spark, sf)
-    got = curves.average_precision(ranks, tps, n, matching.THRESHOLDS).withColumnRenamed("ap", "got")
-    other = curves.mean_of_recalls(ranks, matching.exploded(tps), n, matching.THRESHOLDS).withColumnRenamed("ap", "expected")
+    both = lines(spark, sf).scores()
+    got, other = (both.select("subset", "cls", "thr", F.col(c).alias(n)) for c, n in (("ap", "got"), ("mean", "expected")))
     g = gates.metric_gate(got, other, ["subset", "cls", "thr"], 0.004)
     return g.groupBy("subset").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.bool_and("ok").alias("passed"))
 
