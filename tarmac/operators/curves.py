@@ -7,18 +7,19 @@ their ranks and the later maximum give, so false positives count by rank alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.operators.components import ranges, running
 from tarmac.session import cut, shared
 
 GRID = 1000
+HELD = 65_536  # rows of a range that are looked at together
 
 
 def ranked(pred: DataFrame) -> DataFrame:
@@ -156,30 +157,57 @@ def mean_of_recalls(ranks: DataFrame, tps: DataFrame, n_gt: DataFrame, threshold
     return every.join(ap, ["subset", "cls", "thr"], "left").select("subset", "cls", "thr", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
+def bounded(like: DataFrame, rows: int, parts: int) -> Callable[..., np.ndarray]:
+    """What gives rows their range, of `parts` that follow cls, falling conf, image_id and id.
+
+    like: rows of these columns, numbers, about as the detections are spread, so that nothing has to be matched to find
+    bounds; `rows` is how many. Bounds come from a hash of the ids and decide only how even the ranges are.
+    """
+    one_in = max(1, rows // (64 * parts))
+    some = like.select(F.col("cls").cast("double"), -F.col("conf"), "image_id", "id").filter(F.pmod(F.xxhash64("image_id", "id"), F.lit(one_in)) == 0).dropna()
+    got = sorted(tuple(r) for r in some.collect())
+    cuts = [got[len(got) * i // parts] for i in range(1, parts)] if got else []
+    bounds = [np.array([c[k] for c in cuts]) for k in range(4)]
+
+    def place(cls: np.ndarray, conf: np.ndarray, image: np.ndarray, id_: np.ndarray) -> np.ndarray:
+        keys = [np.concatenate(x) for x in zip(bounds, (cls, -conf, image, id_), strict=True)]
+        order = np.lexsort(keys[::-1])  # stable: a row that equals a bound comes after it
+        part = np.empty(len(order), "int32")
+        part[order] = np.cumsum(order < len(cuts))
+        return part[len(cuts):]
+
+    return place
+
+
 class Lines:
     """The curves of marked detections, of all subsets (ALL) and of each, in one pass over detections sorted once.
 
     marked: as `matching.marked` gives them. They are laid out in ranges of class and confidence, shuffled once and
     kept nowhere else; how many rows and true positives of each subset and class lie before a range goes to the driver.
+    If they have their range already (part, of `parts`), equal confidences are in order of image_id and pred_id, and
+    matching runs once; else in order of pred_id, and the bounds are sampled from the matched rows.
     """
 
-    def __init__(self, marked: DataFrame, thresholds: tuple[float, ...]):
-        order = ["cls", F.desc("conf"), "pred_id"]
-        parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.rows, self.thresholds, self.kind = shared(marked.repartitionByRange(parts, *order).sortWithinPartitions(*order)), thresholds, dict(marked.dtypes)
-        self.n: dict = {}
-        for r in self.rows.filter("n is not null").groupBy("subset", "cls").agg(F.sum("n").alias("n")).collect():
-            self.n[r.subset, r.cls] = r.n
-            self.n["ALL", r.cls] = self.n.get(("ALL", r.cls), 0) + r.n
+    def __init__(self, marked: DataFrame, thresholds: tuple[float, ...], parts: int = 0):
+        placed = "part" in marked.columns
+        order = ["cls", F.desc("conf"), *["image_id"] * placed, "pred_id"]
+        parts = parts or int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        laid = shared(marked.repartitionById(parts, F.col("part")) if placed else marked.repartitionByRange(parts, *order))
+        self.rows, self.thresholds, self.kind = laid.drop("part").sortWithinPartitions(*order), thresholds, dict(marked.dtypes)
+        self.ids = [*["image_id"] * placed, "pred_id"]
         bits = [F.count_if(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias(f"c{i}") for i in range(len(thresholds))]
-        found = self.rows.filter("n is null").groupBy(F.spark_partition_id().alias("part"), "subset", "cls").agg(F.count("*").alias("c"), *bits).collect()
+        found = laid.groupBy(F.spark_partition_id().alias("at"), "subset", "cls").agg(F.sum("n").alias("n"), F.count_if(F.col("n").isNull()).alias("c"), *bits).collect()
+        self.n: dict = {}
         self.before: dict = {}
         so_far: dict = {}
-        for part in sorted({r.part for r in found}):
-            self.before[part] = dict(so_far)
-            for r in (r for r in found if r.part == part):
-                for key in {(r.subset, r.cls), ("ALL", r.cls)}:
-                    so_far[key] = so_far.get(key, 0) + np.array(r[3:], "int64")
+        for r in sorted(found, key=lambda r: r["at"]):
+            if r["at"] not in self.before:
+                self.before[r["at"]] = dict(so_far)
+            for key in {(r.subset, r.cls), ("ALL", r.cls)}:
+                if r.n is not None:
+                    self.n[key] = self.n.get(key, 0) + r.n
+                if r.c:
+                    so_far[key] = so_far.get(key, 0) + np.array(r[4:], "int64")
 
     def ground_truth(self) -> DataFrame:
         return self.rows.sparkSession.createDataFrame([(*k, v) for k, v in self.n.items()], f"subset string, cls {self.kind['cls']}, n long")
@@ -188,11 +216,23 @@ class Lines:
         """A function from batches to (subset, cls, n, table, counts) of rows that are true somewhere; counts: rank, then true positives at each threshold."""
         before, n, bits = self.before, self.n, np.arange(len(self.thresholds))
 
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+            wait, held = [], 0
+            for batch in batches:
+                wait.append(batch)
+                held += batch.num_rows
+                if held >= HELD:
+                    yield pa.Table.from_batches(wait).combine_chunks()
+                    wait, held = [], 0
+            if held:
+                yield pa.Table.from_batches(wait).combine_chunks()
+
         def walk(batches: Iterator[pa.RecordBatch]):
             here = dict(before.get(TaskContext.get().partitionId(), {}))
-            for batch in batches:
-                t = pa.Table.from_batches([batch])
+            for t in joined(batches):
                 t = t.filter(t.column("n").is_null())
+                if not t.num_rows:  # only counts of ground truth
+                    continue
                 mask, cls = t.column("mask").to_numpy(), t.column("cls").to_numpy()
                 one = np.column_stack((np.ones(t.num_rows, "int64"), (mask[:, None] >> bits) & 1))
                 own = t.column("subset").combine_chunks().dictionary_encode()
@@ -210,20 +250,26 @@ class Lines:
 
         return walk
 
-    def points(self) -> DataFrame:
-        """subset, cls, thr, pred_id, rank, k (true positives so far), recall, precision at every true positive."""
-        walk = self._walk()
+    def points(self, name: Column | None = None) -> DataFrame:
+        """subset, cls, thr, pred_id (and image_id, if ranges were given), rank, k (true positives so far), recall, precision at every true positive.
+
+        name: what pred_id is to be, of these columns; it is made once a detection.
+        """
+        walk, ids = self._walk(), self.ids
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for subset, cls, n, t, k in walk(batches):
                 rows = t.num_rows
                 ks = pa.ListArray.from_arrays(pa.array(np.arange(0, k[:, 1:].size + 1, k.shape[1] - 1), pa.int32()), pa.array(k[:, 1:].ravel()))
-                yield from pa.table({"subset": pa.repeat(subset, rows), "cls": pa.repeat(pa.scalar(cls, t.schema.field("cls").type), rows), "pred_id": t.column("pred_id"), "mask": t.column("mask"), "rank": k[:, 0], "n": pa.repeat(pa.scalar(n, pa.int64()), rows), "k": ks}).to_batches()
-
-        wide = self.rows.mapInArrow(run, f"subset string, cls {self.kind['cls']}, pred_id {self.kind['pred_id']}, mask int, rank long, n long, k array<long>")
-        each = F.array(*(F.struct(F.lit(float(x)).alias("thr"), F.lit(1 << i).alias("bit"), F.get("k", i).alias("k")) for i, x in enumerate(self.thresholds)))
-        rows = wide.withColumn("s", F.explode(each)).filter("mask & s.bit <> 0")
-        return rows.select("subset", "cls", F.col("s.thr").alias("thr"), "pred_id", "rank", F.col("s.k").alias("k"), (F.col("s.k") / F.col("n")).alias("recall"), (F.col("s.k") / F.col("rank")).alias("precision"))
+                yield from pa.table({"subset": pa.repeat(subset, rows), "cls": pa.repeat(pa.scalar(cls, t.schema.field("cls").type), rows), **{c: t.column(c) for c in ids}, "mask": t.column("mask"), "rank": k[:, 0], "n": pa.repeat(pa.scalar(n, pa.int64()), rows), "k": ks}).to_batches()
+
+        wide = self.rows.mapInArrow(run, f"subset string, cls {self.kind['cls']}, {', '.join(f'{c} {self.kind[c]}' for c in ids)}, mask int, rank long, n long, k array<long>")
+        if name is not None:
+            wide = wide.select("subset", "cls", name.alias("pred_id"), "mask", "rank", "n", "k")
+        rows = wide.withColumn("i", F.explode(F.array(*(F.lit(i) for i in range(len(self.thresholds)))))).filter("shiftright(mask, i) & 1 <> 0")
+        thr = F.get(F.array(*(F.lit(float(x)) for x in self.thresholds)), F.col("i"))
+        rows = rows.select("subset", "cls", thr.alias("thr"), *(["pred_id"] if name is not None else ids), "rank", F.get("k", F.col("i")).alias("k"), "n")
+        return rows.select("*", (F.col("k") / F.col("n")).alias("recall"), (F.col("k") / F.col("rank")).alias("precision")).drop("n")
 
     def scores(self) -> DataFrame:
         """subset, cls, thr, ap (`average_precision`) and mean (of the envelope at 101 recalls, without interpolation: an independent cross-check).

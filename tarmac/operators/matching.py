@@ -7,7 +7,7 @@ doesn't compare all with all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,11 +57,12 @@ def true_masks(pairs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) ->
     return best.select("image_id", "cls", "gt_id", "pred_id", mask.alias("mask")).filter("mask <> 0")
 
 
-def marked(boxes: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, least: float = 0.5) -> DataFrame:
+def marked(boxes: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, least: float = 0.5, place: Callable[..., np.ndarray] | None = None) -> DataFrame:
     """subset, cls, pred_id, conf, mask of every detection, as `true_masks` has it (0: true nowhere); and counts of ground truth, as rows with n.
 
     boxes: subset, image_id, cls, id, gt (whether it is ground truth), conf, x0..y1. Pairs are found and settled
-    where an image's boxes are, and never written.
+    where an image's boxes are, and never written. place: gives the range (part) of rows by their cls, conf, image_id
+    and id, as numbers; the rows then also have image_id and part.
     """
     kind = dict(boxes.dtypes)
     sides = ("x0", "y0", "x1", "y1")
@@ -87,12 +88,12 @@ def marked(boxes: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, least:
             gt, conf = t.column("gt").to_numpy(), doubles(t, "conf")
             g, p = np.where(gt[a], a, b), np.where(gt[a], b, a)
             v = iou(t)(g, p)
-            place = np.empty(t.num_rows, int)
-            place[pc.sort_indices(t.column("id")).to_numpy()] = np.arange(t.num_rows)
-            order = np.lexsort((place[g], -v, p))
+            nth = np.empty(t.num_rows, int)
+            nth[pc.sort_indices(t.column("id")).to_numpy()] = np.arange(t.num_rows)
+            order = np.lexsort((nth[g], -v, p))
             order = order[np.diff(p[order], prepend=-1) != 0]
             g, p, v = g[order], p[order], v[order]
-            order = np.lexsort((place[p], -conf[p], g))
+            order = np.lexsort((nth[p], -conf[p], g))
             g, p = g[order], p[order]
             # Thresholds reached, and the most that a more confident detection of the same ground truth has reached.
             level = np.searchsorted(np.asarray(thresholds), v[order], side="right")
@@ -102,13 +103,18 @@ def marked(boxes: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, least:
             mask = np.zeros(t.num_rows, "int32")
             mask[p] = (1 << level) - (1 << np.minimum(had, level))
             kept = t.filter(pa.array(~gt))
-            yield from pa.table({"subset": kept.column("subset"), "cls": kept.column("cls"), "pred_id": kept.column("id"), "conf": kept.column("conf"), "mask": pa.array(mask[~gt]), "n": pa.nulls(kept.num_rows, pa.int64())}).to_batches()
+            rows = {"subset": kept.column("subset"), "cls": kept.column("cls"), "pred_id": kept.column("id"), "conf": kept.column("conf"), "mask": pa.array(mask[~gt]), "n": pa.nulls(kept.num_rows, pa.int64())}
+            at = {"image_id": kept.column("image_id"), "part": pa.array(place(*(kept.column(k).to_numpy() for k in ("cls", "conf", "image_id", "id"))), pa.int32())} if place else {}
+            yield from pa.table(rows | at).to_batches()
             n = t.filter(pa.array(gt)).group_by(["subset", "cls"]).aggregate([([], "count_all")])
             none = lambda k: pa.nulls(n.num_rows, t.schema.field(k).type)  # noqa: B023, E731
-            yield from pa.table({"subset": n.column("subset"), "cls": n.column("cls"), "pred_id": none("id"), "conf": none("conf"), "mask": pa.array(np.zeros(n.num_rows, "int32")), "n": n.column("count_all")}).to_batches()
+            rows = {"subset": n.column("subset"), "cls": n.column("cls"), "pred_id": none("id"), "conf": none("conf"), "mask": pa.array(np.zeros(n.num_rows, "int32")), "n": n.column("count_all")}
+            at = {"image_id": none("image_id"), "part": pa.array(np.arange(n.num_rows, dtype="int32") % 16)} if place else {}
+            yield from pa.table(rows | at).to_batches()
 
     needs = ["subset", "image_id", "cls", "id", "gt", "conf", *sides]
-    return lined_up(boxes.select(*needs), ["image_id", "cls"], "x0").mapInArrow(run, f"subset string, cls {kind['cls']}, pred_id {kind['id']}, conf {kind['conf']}, mask int, n long")
+    more = f", image_id {kind['image_id']}, part int" if place else ""
+    return lined_up(boxes.select(*needs), ["image_id", "cls"], "x0").mapInArrow(run, f"subset string, cls {kind['cls']}, pred_id {kind['id']}, conf {kind['conf']}, mask int, n long{more}")
 
 
 def exploded(masks: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:

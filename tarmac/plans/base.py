@@ -44,13 +44,32 @@ def d_images(spark, sf):
     return j.select(F.col("o_orderkey").alias("image_id"), F.col("n_name").alias("country"), F.concat("n_name", F.lit("_"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("stem"), side(0).alias("width"), side(1).alias("height"))
 
 
+ID = (("orderkey", 10), ("linenumber", 2), ("partkey", 8), ("suppkey", 8))
+
+
 def _id(prefix=""):
-    return F.concat_ws("-", *(F.lpad(F.col(f"l_{k}").cast("string"), n, "0") for k, n in (("orderkey", 10), ("linenumber", 2), ("partkey", 8), ("suppkey", 8))))
+    return F.concat_ws("-", *(F.lpad(F.col(f"l_{k}").cast("string"), n, "0") for k, n in ID))
+
+
+def number_id():
+    """What follows the order key in `_id`, as one number of the same order: it cuts what is too wide, as lpad does."""
+    part = lambda k, n: F.when(F.col(k) < 10**n, F.col(k).cast("bigint")).otherwise(F.substring(F.col(k).cast("string"), 1, n).cast("bigint"))
+    return part("l_linenumber", 2) * F.lit(10**16) + part("l_partkey", 8) * F.lit(10**8) + part("l_suppkey", 8)
+
+
+def named_id(order, rest):
+    """`_id` again, of the order key and `number_id`."""
+    text = F.lpad(rest.cast("string"), 18, "0")
+    return F.concat(F.lpad(order.cast("string"), 10, "0"), F.lit("-"), F.substring(text, 1, 2), F.lit("-"), F.substring(text, 3, 8), F.lit("-"), F.substring(text, 11, 8))
 
 
-def d_annotations(spark, sf, more=()):
+def d_annotations(spark, sf, more=(), parts=0):
+    """parts: lays the rows out by image in so many tasks, however many the session would take."""
     li = table(spark, sf, "lineitem")
     im = d_images(spark, sf).select("image_id", "width", "height", *more)
+    if parts:
+        li = li.select(*(f"l_{k}" for k in ("orderkey", "linenumber", "partkey", "suppkey")), F.col("l_quantity").cast("bigint").alias("l_quantity")).repartition(parts, "l_orderkey")
+        im = im.repartition(parts, "image_id").hint("shuffle_hash")
     x0 = (F.col("l_partkey") * 37 + F.col("l_linenumber") * 211) % F.col("width")
     y0 = (F.col("l_suppkey") * 53 + F.col("l_linenumber") * 97) % F.col("height")
     q = F.col("l_quantity").cast("bigint")
